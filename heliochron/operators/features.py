@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from .ordered import CHUNK, series_window, with_halo
+from .ordered import CHUNK, join_keys, series_window, with_halo
 
 
 def _replace(df: DataFrame, new: Mapping[str, Column]) -> DataFrame:
@@ -124,7 +124,6 @@ def naive_carry(df: DataFrame, y: str, ts: str, by: Sequence[str] = (), out: str
 
 def naive_mean(train: DataFrame, test: DataFrame, y: str, by: Sequence[str] = (), out: str = "yhat") -> DataFrame:
     """The train mean on every test row."""
-    from .ordered import join_keys
     m = train.groupBy(*by).agg(F.avg(y).alias(out))
     return join_keys(test, m, list(by)) if by else test.withColumn(out, m.scalar())
 
@@ -148,20 +147,18 @@ def fill_trailing_mean(df: DataFrame, y: str, ts: str, by: Sequence[str] = (), n
         mean = F.aggregate(last, F.lit(0.0), lambda a, v: a + v) / F.lit(float(n))
         guess = (F.when(F.size(last) >= n, mean)
                  .when(F.size(last) >= 1, F.try_element_at(last, F.lit(-1))).otherwise(F.lit(0.0)))
-        v = F.when(x["y"].isNull() & x["m"], guess).otherwise(x["y"])
+        gap = x["y"].isNull() & x["m"]
+        v = F.when(gap, guess).otherwise(x["y"])
         grown = F.when(v.isNull(), last).otherwise(
             F.slice(F.concat(last, F.array(v)), F.greatest(F.size(last) + 2 - n, F.lit(1)), F.lit(n)))
-        return F.struct(grown.alias("last"), F.concat(acc["done"], F.array(v)).alias("done"))
-
-    none = F.array().cast("array<double>")
-    folded = F.aggregate("__rows", F.struct(none.alias("last"), none.alias("done")), step)["done"]
-    z = g.select(*by, F.inline(F.transform(
-        F.arrays_zip(F.col("__rows").alias("r"), folded.alias("v")),
-        lambda s: F.struct(s["r"]["t"].alias(ts), s["v"].alias("__v")))))
-    from .ordered import join_keys
-    if out == y and set(df.columns) == {*by, ts, y}:
-        return z.select(*[F.col("__v").alias(c) if c == y else F.col(c) for c in df.columns])
-    return _replace(join_keys(df, z, [*by, ts]), {out: F.col("__v")}).drop("__v")
+        filled = F.when(gap, F.concat(acc["filled"], F.array(F.struct(x["t"].alias(ts), v.alias("__v")))))
+        return F.struct(grown.alias("last"), F.coalesce(filled, acc["filled"]).alias("filled"))
+
+    at = df.schema[ts].dataType.simpleString()
+    zero = F.struct(F.array().cast("array<double>").alias("last"),
+                    F.array().cast(f"array<struct<{ts}:{at},__v:double>>").alias("filled"))
+    z = g.select(*by, F.inline(F.aggregate("__rows", zero, step)["filled"]))
+    return _replace(join_keys(df, z, [*by, ts]), {out: F.coalesce(F.col(y).cast("double"), "__v")}).drop("__v")
 
 
 def safe_corr(x: Column, y: Column) -> Column:
