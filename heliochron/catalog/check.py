@@ -23,7 +23,7 @@ def norm(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
 
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
         if isinstance(v, (pd.Timestamp,)) or hasattr(v, "isoformat"):
             return str(pd.Timestamp(v))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.times import micros
+from ..functions.cells import to_number
+from ..functions.times import micros, parse_time
 from .ordered import chunk_by_number, join_keys, previous_by_chunk
 from .quantile import ROWS_IN_ONE_TASK, exact_percentiles
 from .resample import step_median
@@ -123,3 +124,25 @@ def profile_files(df: DataFrame, ts: str, file: str = "file", value_columns: Seq
     if cat:
         out = out.unionByName(profile_categorical(df, cat, [file]), allowMissingColumns=True)
     return join_keys(out, profile_time(df, ts, [file]), [file])
+
+
+def infer_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> list[str]:
+    """Text columns in which every value reads as a number (one aggregate row decides)."""
+    cols = list(cols or text_columns(df))
+    if not cols:
+        return []
+    row = df.agg(*[F.count(to_number(F.col(f"`{c}`"))) for c in cols],
+                 *[F.count(F.when(F.trim(f"`{c}`") != "", 1)) for c in cols]).first()
+    n = len(cols)
+    return [c for i, c in enumerate(cols) if row[i] > 0 and row[i] == row[n + i]]
+
+
+def profile_folder(spark, path, ts: str, value_columns: Sequence[str] | None = None,
+                   recursive: bool = False) -> DataFrame:
+    """Profile of every CSV below a folder, one scan per distinct header."""
+    from ..sources.readers import union_folder
+    d = union_folder(spark, path, clean=False, recursive=recursive, with_file=True)
+    num = list(value_columns or infer_numeric(d, [c for c in d.columns if c not in (ts, "file")]))
+    d = d.select(*[parse_time(F.col(c)).alias(c) if c == ts else to_number(F.col(f"`{c}`")).alias(c) if c in num
+                   else F.col(f"`{c}`") for c in d.columns])
+    return profile_files(d, ts, "file", num)

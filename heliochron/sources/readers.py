@@ -96,7 +96,7 @@ def union_folder(spark: SparkSession, path, clean: bool = True, recursive: bool
         d = spark.read.schema(schema).options(header="true", enforceSchema="true").csv(sorted(groups[head]))
         cols = [F.col(f"`{n}`").alias(clean_name(n) if clean else n) for n in names]
         if with_file:
-            cols.append(F.col("_metadata.file_name").alias("file"))
+            cols.append(F.url_decode(F.col("_metadata.file_path")).alias("file"))
         d = d.select(*cols)
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     return out
