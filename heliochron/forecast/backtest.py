@@ -37,8 +37,9 @@ def horizons(df: DataFrame, ts: str, hs: Sequence[int] = HORIZONS, by: Sequence[
     """Each row once per horizon with ``horizon`` and ``role``; series too short for one skip it."""
     r = F.row_number().over(series_window(by, F.col(ts).desc()))
     n = F.count(F.lit(1)).over(Window.partitionBy(*(by or [F.lit(0)])))
-    d = df.select("*", r.alias("__r"), n.alias("__n"),
-                  F.explode(F.array(*[F.lit(int(h)) for h in hs])).alias("horizon"))
+    d = df.select("*", r.alias("__r"), n.alias("__n"))
+    # a generator in the same projection would be run before the windows
+    d = d.select("*", F.explode(F.array(*[F.lit(int(h)) for h in hs])).alias("horizon"))
     d = d.where(F.col("__n") > F.col("horizon"))
     role = F.when(F.col("__r") <= F.col("horizon"), "test").otherwise("train")
     return d.select(*df.columns, "horizon", role.alias("role"))

@@ -109,7 +109,7 @@ def read_monthly_files(spark: SparkSession, path) -> DataFrame:
     lines on the executors.  A ``yyyymmddhh`` column, where present, gives the date parts;
     otherwise they come from the file name and ``ObsTime`` (or ``Day``, or 1).
     """
-    f = spark.read.option("wholetext", "true").text(path).select(
+    f = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("lines"))
     f = f.select("file", F.col("lines")[1].alias("head"), F.slice("lines", 3, 1_000_000).alias("rows"))
     heads = sorted(r["head"] for r in f.select("head").distinct().collect() if r["head"])
@@ -157,11 +157,10 @@ def sniff(spark: SparkSession, path, encodings: Sequence[str] = ("UTF-8", "ISO-8
           seps: Sequence[str] = SEPARATORS, sample: int = 50) -> dict[str, str]:
     """Reader options for files of unknown encoding and separator.
 
-    The first encoding under which no line has a broken character is taken (Spark stops at the
-    first broken line); the separator is the one found equally often in every sampled line.
+    The second encoding is taken as soon as a line is not valid UTF-8 (Spark stops at the first); the separator is the one found equally often in every sampled line.
     """
     t = spark.read.text(path)
-    broken = bool(t.where(F.col("value").contains("�")).take(1))
+    broken = bool(t.where(~F.is_valid_utf8("value")).take(1))
     encoding = encodings[-1] if broken else encodings[0]
     lines = [r["value"] for r in t.where(~F.col("value").startswith("#") & (F.trim("value") != "")).take(sample)]
     best = seps[0]
@@ -180,7 +179,7 @@ def read_csv_any(spark: SparkSession, path, schema=None, encodings: Sequence[str
 
 
 def read_hourly_json(spark: SparkSession, path, path_expr: str, row_schema: T.StructType,
-                     time_col: str = "time(UTC)", with_file: bool = False) -> DataFrame:
+                     time_col: str = "time(UTC)", with_file: bool = False, multi_line: bool = True) -> DataFrame:
     """The array at ``path_expr`` of each JSON document as rows in time order of their stamps.
 
     ``path_expr`` such as ``outputs.tmy_hourly`` names where the table is; only that branch of
@@ -189,7 +188,7 @@ def read_hourly_json(spark: SparkSession, path, path_expr: str, row_schema: T.St
     schema: T.DataType = T.ArrayType(row_schema)
     for part in reversed(path_expr.split(".")):
         schema = T.StructType([T.StructField(part, schema)])
-    d = spark.read.schema(schema).option("multiLine", "true").json(path)
+    d = spark.read.schema(schema).option("multiLine", str(multi_line).lower()).json(path)
     cols = [F.col("_metadata.file_path").alias("file")] if with_file else []
     d = d.select(*cols, F.explode(path_expr).alias("r")).select(*(["file"] if with_file else []), "r.*")
     stamp = F.col(f"`{time_col}`")
