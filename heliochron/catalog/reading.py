@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import sources as src
-from ..session import scratch_path
+from ..session import scratch_path, union_all
 from .base import AOD, all_order_days, events, query, r, rnd, table
 
 _STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -48,7 +48,7 @@ def _preamble_files(spark, sf):
     data = e.select("event_type", F.concat_ws(",", F.date_format("ts", "yyyyMMdd:HHmm"), F.col("value").cast("string"),
                                               F.col("user_id").cast("string")).alias("value"))
     head = e.select("event_type").distinct().select("event_type", F.explode(F.array(*[F.lit(x) for x in _BEFORE + _AFTER])).alias("value"))
-    data.unionByName(head).write.partitionBy("event_type").text(path)
+    union_all([data, head]).write.partitionBy("event_type").text(path)
     return path
 
 
@@ -142,11 +142,11 @@ def a9(spark, sf):
 @query("a10_sinks", f"""SELECT 'csv' AS fmt, count(*) AS n, {r('sum(round(value / 7, 5))', 3)} AS total FROM events
 UNION ALL SELECT 'json', count(*), {r('sum(value / 7)', 3)} FROM events UNION ALL SELECT 'parquet', count(*), {r('sum(value / 7)', 3)} FROM events""")
 def a10(spark, sf):
-    d, out = events(spark, sf).select("event_id", "event_type", (F.col("value") / 7).alias("v")), None
+    d, parts = events(spark, sf).select("event_id", "event_type", (F.col("value") / 7).alias("v")), []
     for fmt, digits, part in (("csv", 5, ()), ("json", None, ()), ("parquet", None, ("event_type",))):
         path = scratch_path(spark, fmt)
         src.write_table(d, path, fmt, digits, part)
         back = spark.read.format(fmt).schema("event_id bigint, event_type string, v double").options(header="true").load(path)
         one = back.agg(F.lit(fmt).alias("fmt"), F.count(F.lit(1)).alias("n"), rnd(F.sum("v"), 3).alias("total"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        parts.append(one)
+    return union_all(parts)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import scaling as sc
+from ..session import union_all
 from .base import AOD, ED, LD, ODF, all_order_days, event_days, line_days, order_days_filled, query, r, rnd, table
 
 BY = ["series"]
@@ -42,8 +43,8 @@ SELECT series, CASE WHEN k = 1 THEN 'wh' ELSE 'kwh' END AS unit_detected, {r('lo
 {r('lo * k / 1000', 2)} AS min_kwh, {r('hi * k / 1000', 2)} AS max_kwh, count FROM g""")
 def f3(spark, sf):
     l = table(spark, sf, "lineitem")
-    both = l.select(F.col("l_returnflag").alias("series"), F.col("l_quantity").alias("v")).unionByName(
-        l.select(F.lit("price").alias("series"), F.col("l_extendedprice").alias("v")))
+    both = union_all([l.select(F.col("l_returnflag").alias("series"), F.col("l_quantity").alias("v")),
+                      l.select(F.lit("price").alias("series"), F.col("l_extendedprice").alias("v"))])
     s = sc.ref_stats(both, "v", BY)
     return s.select("series", "unit_detected", *[rnd(c, 2).alias(c) for c in ("min_wh", "max_wh", "min_kwh", "max_kwh")], "count")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as fe
 from ..operators import score as so
+from ..session import union_all
 from .base import ED, EH, ODF, event_days, event_hours, order_days_filled, query, r, rnd
 
 BY = ["series"]
@@ -91,8 +92,8 @@ def h11(spark, sf):
     train, test = split(spark, sf)
     # the stored forecast also covers ten days beyond the truth, which must not count
     f = test.select("series", "ds", F.col("lag7").alias("yhat"))
-    f = f.unionByName(f.groupBy("series").agg(F.max("ds").alias("m")).select(
-        "series", F.explode(F.sequence(F.date_add("m", 1), F.date_add("m", 10))).alias("ds"), F.lit(0.0).alias("yhat")))
+    f = union_all([f, f.groupBy("series").agg(F.max("ds").alias("m")).select(
+        "series", F.explode(F.sequence(F.date_add("m", 1), F.date_add("m", 10))).alias("ds"), F.lit(0.0).alias("yhat"))])
     return rounded(so.score_stored(f, order_days_filled(spark, sf), ts="ds", by=BY), BY)
 
 

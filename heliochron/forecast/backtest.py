@@ -11,7 +11,7 @@ from ..operators.align import align
 from ..operators.features import fill
 from ..operators.ordered import join_keys, series_window
 from ..operators.score import scores
-from ..session import cut_lineage
+from ..session import cut_lineage, union_all
 from .baselines import _attach, future_spine, mean_or_last
 
 HORIZONS = (120, 90, 60, 30)
@@ -58,10 +58,8 @@ def backtest(grid: DataFrame, models: Mapping[str, Model], y: str, ts: str, by:
     keys = [*by, *extra]
     train = grid.where("role = 'train'").drop("role")
     test = grid.where("role = 'test'").select(*keys, ts, y)
-    out = None
-    for name, f in models.items():
-        p = f(train, keys).select(*keys, "lead", ts, "yhat", F.lit(name).alias("model"))
-        out = p if out is None else out.unionByName(p)
+    out = union_all([f(train, keys).select(*keys, "lead", ts, "yhat", F.lit(name).alias("model"))
+                     for name, f in models.items()])
     return test.join(out, [*keys, ts], "inner").select(*keys, "model", "lead", ts, y, "yhat")
 
 
@@ -156,9 +154,6 @@ def forecast_in_chunks(history: DataFrame, model: Callable[[DataFrame, int], Dat
         chunk = cut_lineage(chunk.select(*by, (F.col("lead") + done).alias("lead"), ts,
                                          F.coalesce("yhat", "fallback").alias("yhat")))
         parts.append(chunk)
-        hist = hist.unionByName(chunk.select(*by, ts, F.col("yhat").alias(y)))
+        hist = union_all([hist, chunk.select(*by, ts, F.col("yhat").alias(y))])
         done += n
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return union_all(parts)

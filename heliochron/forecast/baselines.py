@@ -38,13 +38,14 @@ def _attach(spine: DataFrame, one: DataFrame, by: Sequence[str]) -> DataFrame:
 def baseline(history: DataFrame, name: str, h: int, y: str = "y", ts: str = "ds", by: Sequence[str] = (),
              step: str = "day", season: int = 7) -> DataFrame:
     """``(by, lead, ts, yhat)`` of one of ``BASELINES``."""
-    known = history.where(F.col(y).isNotNull())
+    if name in ("last", "mean"):
+        v = F.max_by(y, F.when(F.col(y).isNotNull(), F.col(ts))) if name == "last" else F.avg(y)
+        one = history.groupBy(*by).agg(F.max(ts).alias("__last"), v.cast("double").alias("yhat"))
+        d = one.select(*by, "__last", "yhat", F.explode(F.sequence(F.lit(1), F.lit(h))).alias("lead"))
+        return d.select(*by, "lead", _ahead(F.col("__last"), F.col("lead"), step).alias(ts), "yhat")
     spine = future_spine(history, ts, h, by, step)
-    if name == "last":
-        out = _attach(spine, known.groupBy(*by).agg(F.max_by(y, ts).alias("yhat")), by)
-    elif name == "mean":
-        out = _attach(spine, known.groupBy(*by).agg(F.avg(y).alias("yhat")), by)
-    elif name == "clock_hour":
+    if name == "clock_hour":
+        known = history.where(F.col(y).isNotNull())
         means = known.groupBy(*by, F.hour(ts).alias("__h")).agg(F.avg(y).alias("yhat"))
         out = join_keys(spine.withColumn("__h", F.hour(ts)), means, [*by, "__h"])
     elif name == "seasonal":

@@ -150,26 +150,31 @@ def fit_predict_window(full: DataFrame, is_train: Column, y: str, ts: str, by: S
 class TreeForecaster:
     """Random forest or gradient-boosted trees over all series together.
 
-    The series enters as an index feature beside the calendar and lag columns, so one
-    distributed fit serves every series.
+    A series enters through the level and spread of its own train values, beside the calendar
+    and lag columns.  Unlike an index feature that needs no list of series on the driver, and
+    one distributed fit serves any number of them.
     """
 
     def __init__(self, kind: str = "rf", seed: int = 7, **params):
         self.kind, self.seed, self.params = kind, seed, params
 
+    def _with_level(self, df: DataFrame) -> DataFrame:
+        return join_keys(df, self.level, self.by) if self.by else df
+
     def fit(self, train: DataFrame, xs: Sequence[str], y: str, by: Sequence[str]):
         from pyspark.ml import Pipeline
-        from pyspark.ml.feature import StringIndexer, VectorAssembler
+        from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-        idx = [f"__i{i}" for i in range(len(by))]
-        stages = [StringIndexer(inputCol=c, outputCol=i, handleInvalid="keep") for c, i in zip(by, idx)]
-        stages.append(VectorAssembler(inputCols=[*idx, *xs], outputCol="__x", handleInvalid="skip"))
+        self.by = list(by)
+        level = ["__level", "__spread"] if by else []
+        self.level = train.groupBy(*by).agg(F.avg(y).alias("__level"), F.coalesce(F.stddev_samp(y), F.lit(0.0)).alias("__spread"))
         cls = {"rf": RandomForestRegressor, "gbt": GBTRegressor}[self.kind]
-        stages.append(cls(featuresCol="__x", labelCol=y, predictionCol="yhat", seed=self.seed,
-                          **{"maxBins": 64, **self.params}))
-        self.xs, self.by = list(xs), list(by)
-        self.model = Pipeline(stages=stages).fit(train.where(F.col(y).isNotNull()))
+        stages = [VectorAssembler(inputCols=[*level, *xs], outputCol="__x", handleInvalid="skip"),
+                  cls(featuresCol="__x", labelCol=y, predictionCol="yhat", seed=self.seed, **self.params)]
+        self.model = Pipeline(stages=stages).fit(self._with_level(train.where(F.col(y).isNotNull())))
         return self
 
     def predict(self, future: DataFrame) -> DataFrame:
-        return self.model.transform(future).select(*future.columns, F.col("yhat").cast("double").alias("yhat"))
+        """Rows with a missing feature get no row."""
+        out = self.model.transform(self._with_level(future))
+        return out.select(*future.columns, F.col("yhat").cast("double").alias("yhat"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import union_all
 from .features import fill
 from .ordered import join_keys
 
@@ -97,7 +98,7 @@ def align_typical_year(target: DataFrame, typical: DataFrame, ts: str, typical_t
     names = [typical_name(c) for c in cols]
     leap = means.where(F.col("__key").startswith("02-28-")).select(
         *by, F.regexp_replace("__key", "^02-28", "02-29").alias("__key"), F.lit(1).alias("__pri"), *names)
-    both = means.select(*by, "__key", F.lit(0).alias("__pri"), *names).unionByName(leap)
+    both = union_all([means.select(*by, "__key", F.lit(0).alias("__pri"), *names), leap])
     year = both.groupBy(*by, "__key").agg(F.min_by(F.struct(*names), "__pri").alias("__v")).select(
         *by, "__key", "__v.*")
     if not by:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import to_number
-from ..functions.times import micros, parse_time
-from .ordered import chunk_by_number, join_keys, previous_by_chunk
+from ..functions.times import parse_time
+from ..session import union_all
+from .ordered import join_keys
 from .quantile import ROWS_IN_ONE_TASK, exact_percentiles
 from .resample import step_median
 
@@ -95,19 +96,14 @@ def profile_categorical(df: DataFrame, cols: Sequence[str] | None = None, by: Se
 
 def profile_time(df: DataFrame, ts: str, by: Sequence[str] = (), chunk_seconds: int = 21_600) -> DataFrame:
     """First and last time, a step label when all steps are equal, else the median step."""
-    us = df.where(F.col(ts).isNotNull()).select(*by, ts, micros(F.col(ts)).alias("__us"))
-    ends = us.groupBy(*by).agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("__n"))
-    one = us.groupBy(*by, "__us").agg(F.count(F.lit(1)).alias("__c"))
-    gaps = previous_by_chunk(one, "__us", "__us", chunk_by_number("__us", chunk_seconds * 1_000_000), by, "__p")
-    g = gaps.groupBy(*by).agg(F.min(F.col("__us") - F.col("__p")).alias("__lo"),
-                              F.max(F.col("__us") - F.col("__p")).alias("__hi"), F.max("__c").alias("__dup"))
+    ends = df.where(F.col(ts).isNotNull()).groupBy(*by).agg(F.min(ts).alias("start"), F.max(ts).alias("end"))
     med = step_median(df, ts, by, chunk_seconds)
     if by:
-        d = join_keys(join_keys(ends, g, list(by)), med, list(by))
+        d = join_keys(ends, med, list(by))
     else:
-        d = ends.select("*", *[x.select(c).scalar().alias(c) for x in (g, med) for c in x.columns])
-    secs = F.col("__lo") / 1_000_000
-    even = (F.col("__lo") == F.col("__hi")) & (F.col("__dup") == 1) & (F.col("__n") >= 3)
+        d = ends.join(med)  # one row beside one row
+    secs = F.col("least_step")
+    even = (secs == F.col("greatest_step")) & (secs > 0) & (F.col("steps") >= 2)
     label = F.lit(None).cast("string")
     for s, name in STEP_NAMES.items():
         label = F.when(secs == s, F.lit(name)).otherwise(label)
@@ -122,7 +118,7 @@ def profile_files(df: DataFrame, ts: str, file: str = "file", value_columns: Seq
     cat = [c for c in text_columns(df) if c not in num and c != file]
     out = profile_numeric(df, num, [file])
     if cat:
-        out = out.unionByName(profile_categorical(df, cat, [file]), allowMissingColumns=True)
+        out = union_all([out, profile_categorical(df, cat, [file])], allow_missing=True)
     return join_keys(out, profile_time(df, ts, [file]), [file])
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.circular import circular_mean, circular_std, sector_index, sector_name
+from ..functions.circular import directions_from_sums, sector_index, sector_name, sector_sums
 from ..functions.times import floor_time, micros, step_interval
-from .ordered import chunk_by_number, join_keys, previous_by_chunk, series_window
+from ..session import union_all
+from .ordered import CHUNK, chunk_by_number, join_keys, series_window
 from .quantile import (ROWS_IN_ONE_TASK, exact_percentiles, levels_for, percentiles_of_counts,
                        range_bounds)
 
@@ -27,7 +28,7 @@ def complete(df: DataFrame, ts: str, step: str, by: Sequence[str] = ()) -> DataF
     nxt = F.lead(ts).over(w)
     d = df.withColumn("__next", nxt)
     until = F.col("__next") - step_interval(step)
-    if isinstance(df.schema[ts].dataType.typeName(), str) and df.schema[ts].dataType.typeName() == "date":
+    if df.schema[ts].dataType.typeName() == "date":
         until = until.cast("date")
     steps = F.when(F.col("__next").isNull(), F.array(F.col(ts))).otherwise(
         F.sequence(F.col(ts), until, step_interval(step)))
@@ -78,39 +79,56 @@ def monthly_energy(df: DataFrame, ts: str, value: str, by: Sequence[str] = (),
                     F.col(value).alias(out or f"{value}_sum"))
 
 
-def step_hours(df: DataFrame, ts: str, by: Sequence[str] = (), chunk_seconds: int = 21_600,
-               limit: int = ROWS_IN_ONE_TASK) -> DataFrame:
-    """Median distance of successive times in hours; 1.0 where there is none or it is 0."""
-    med = step_median(df, ts, by, chunk_seconds, limit)
-    hours = F.col("median_step_seconds") / 3600
-    out = med.select(*by, F.when(hours > 0, hours).otherwise(F.lit(1.0)).alias("step_hours"))
-    return out
+def step_counts(df: DataFrame, ts: str, by: Sequence[str] = (), chunk_seconds: int = 21_600) -> DataFrame:
+    """``(by, variable, value, freq)``: distances of successive times in seconds and how often each occurs.
+
+    Equal times are counted first (each further copy is a distance of 0), so neither a hot
+    series nor a hot instant is ordered as a whole.  Distances inside a chunk come from its
+    own rows, those across chunks from one (first, last) row per chunk; nothing is joined
+    back.  A series' first time has no distance and stays as one missing value.
+    """
+    t = df.where(F.col(ts).isNotNull()).select(*by, micros(F.col(ts)).alias("__us"))
+    chunk = chunk_by_number("__us", chunk_seconds * 1_000_000).alias(CHUNK)
+    one = t.groupBy(*by, "__us").agg(F.count(F.lit(1)).alias("__c")).withColumn(CHUNK, chunk)
+    inside = Window.partitionBy(*by, CHUNK).orderBy("__us")
+    seconds = lambda us: (us / F.lit(1_000_000)).cast("double")
+    once = F.lit(1).cast("bigint")
+    parts = F.array(F.struct(seconds(F.col("__us") - F.lag("__us").over(inside)).alias("value"), once.alias("freq")),
+                    F.struct(F.lit(0.0).alias("value"), (F.col("__c") - 1).alias("freq")))
+    within = one.select(*by, parts.alias("__p")).select(*by, F.inline("__p")).where("value IS NOT NULL AND freq > 0")
+    ends = t.groupBy(*by, chunk).agg(F.min("__us").alias("__lo"), F.max("__us").alias("__hi"))
+    across = ends.select(*by, seconds(F.col("__lo") - F.lag("__hi").over(series_window(by, CHUNK))).alias("value"),
+                         once.alias("freq"))
+    return (union_all([within, across]).select(*by, F.lit("step").alias("variable"), "value", "freq")
+            .groupBy(*by, "variable", "value").agg(F.sum("freq").alias("freq")))
 
 
 def step_median(df: DataFrame, ts: str, by: Sequence[str] = (), chunk_seconds: int = 21_600,
                 limit: int = ROWS_IN_ONE_TASK) -> DataFrame:
-    """Median of the distances of successive times, in seconds.
-
-    Equal times are counted first (each further copy is one distance of 0), so neither a hot
-    series nor a hot instant is ordered as a whole.
-    """
-    one = (df.where(F.col(ts).isNotNull()).groupBy(*by, micros(F.col(ts)).alias("__us"))
-           .agg(F.count(F.lit(1)).alias("__c")))
-    pairs = previous_by_chunk(one, "__us", "__us", chunk_by_number("__us", chunk_seconds * 1_000_000),
-                              by, out="__prev")
-    gap = (F.col("__us") - F.col("__prev")) / 1_000_000
-    parts = F.array(F.struct(gap.alias("value"), F.lit(1).cast("bigint").alias("freq")),
-                    F.struct(F.lit(0.0).alias("value"), (F.col("__c") - 1).alias("freq")))
-    steps = (pairs.select(*by, F.lit("step").alias("variable"), F.inline(parts))
-             .where("value IS NOT NULL AND freq > 0")
-             .groupBy(*by, "variable", "value").agg(F.sum("freq").alias("freq")))
+    """Median distance of successive times in seconds, missing for a single time, with the
+    least and greatest distance and the number of distances."""
+    steps = step_counts(df, ts, by, chunk_seconds)
+    v, n = F.col("value"), F.col("freq")
+    known = F.when(v.isNotNull(), n)
+    shape = [F.min(v).alias("least_step"), F.max(v).alias("greatest_step"), F.coalesce(F.sum(known), F.lit(0)).alias("steps")]
     levels = levels_for(df.count(), limit)
-    bounds = {"step": range_bounds(steps, ["value"], levels)["value"]} if levels else None
-    med = percentiles_of_counts(steps, by, [0.5], bounds, levels)
-    seen = one.groupBy(*by).agg(F.count(F.lit(1)).alias("__k"))
-    if not by:
-        return med.select(F.col("value").alias("median_step_seconds"))
-    return join_keys(seen, med.select(*by, F.col("value").alias("median_step_seconds")), list(by)).drop("__k")
+    if not levels:
+        return steps.groupBy(*by).agg(F.percentile(v, F.lit(0.5), n).alias("median_step_seconds"), *shape)
+    real = steps.where(v.isNotNull())
+    bounds = {"step": range_bounds(real, ["value"], levels)["value"]}
+    med = percentiles_of_counts(real, by, [0.5], bounds, levels).select(*by, F.col("value").alias("median_step_seconds"))
+    g = steps.groupBy(*by).agg(*shape)
+    if by:
+        return join_keys(g, med, list(by))
+    return g.select(med.scalar().alias("median_step_seconds"), "*")
+
+
+def step_hours(df: DataFrame, ts: str, by: Sequence[str] = (), chunk_seconds: int = 21_600,
+               limit: int = ROWS_IN_ONE_TASK) -> DataFrame:
+    """Median distance of successive times in hours; 1.0 where there is none or it is 0."""
+    hours = F.col("median_step_seconds") / 3600
+    return step_median(df, ts, by, chunk_seconds, limit).select(
+        *by, F.when(hours > 0, hours).otherwise(F.lit(1.0)).alias("step_hours"))
 
 
 def to_energy(value: Column, hours: Column | float, kilo: bool = False) -> Column:
@@ -123,19 +141,21 @@ QUANTILES = {"p10": 0.1, "p90": 0.9}
 
 
 def daily_stats(df: DataFrame, ts: str, spec: Sequence[tuple[str, str, str]], by: Sequence[str] = (),
-                full: bool = True, limit: int = ROWS_IN_ONE_TASK) -> DataFrame:
+                full: bool = True, limit: int = ROWS_IN_ONE_TASK, rows: int | None = None) -> DataFrame:
     """A block of day statistics, one grouping for all of them.
 
     ``spec`` lists ``(name, column, statistic)``; statistics are sum, mean, min, max, std, p10,
-    p90, count (values present) and frac (share of the day's rows that have a value).
+    p90, count (values present) and frac (share of the day's rows that have a value).  ``rows``
+    is a known bound on the table's rows; without it they are counted when percentiles are
+    asked for.
     """
     day = floor_time(F.col(ts), "day").alias("date")
-    rows = F.count(F.lit(1))
+    of_day = F.count(F.lit(1))
     want = [s for s in spec if s[2] in QUANTILES]
     plain = [s for s in spec if s[2] not in QUANTILES]
-    aggs = [(F.count(F.col(f"`{c}`")) / rows if f == "frac" else AGGREGATES[f](F.col(f"`{c}`"))).alias(n)
+    aggs = [(F.count(F.col(f"`{c}`")) / of_day if f == "frac" else AGGREGATES[f](F.col(f"`{c}`"))).alias(n)
             for n, c, f in plain]
-    small = not want or df.count() <= limit
+    small = not want or (df.count() if rows is None else rows) <= limit
     if small:
         aggs += [F.percentile(F.col(f"`{c}`"), QUANTILES[f]).alias(n) for n, c, f in want]
     out = df.groupBy(*by, day).agg(*aggs)
@@ -190,24 +210,23 @@ def daily_direction(df: DataFrame, ts: str, deg: str, weight: str | None = None,
                     strict: bool = False) -> DataFrame:
     """Circular mean, circular deviation and commonest sector of each day.
 
-    Rows are first reduced to at most eight sectors per day; the commonest is then picked by
-    count and, on ties, by which came first.
+    The raw rows are reduced to the sums of at most nine sectors per day (eight and unknown);
+    everything else is made from those.
     """
-    d, w = F.col(deg), F.col(weight) if weight else None
-    day = floor_time(F.col(ts), "day").alias("date")
-    mean = df.groupBy(*by, day).agg(circular_mean(d, w, strict).alias(f"{deg}_circmean"),
-                                    circular_std(d, w, strict).alias(f"{deg}_circstd_deg"))
-    return join_keys(mean, mode_sector(df, ts, deg, by), [*by, "date"])
+    d = F.col(deg)
+    w = F.col(weight) if weight else F.lit(None).cast("double")
+    sums = sector_sums(d, w)
+    per = (df.groupBy(*by, floor_time(F.col(ts), "day").alias("date"), sector_index(d).alias("__s"))
+           .agg(*[c.alias(n) for n, c in sums.items()], F.count(d).alias("__n"), F.min(ts).alias("__t")))
+    best = F.min(F.when(F.col("__s").isNotNull(), F.struct((-F.col("__n")).alias("n"), F.col("__t").alias("t"), F.col("__s").alias("s"))))
+    mean, std = directions_from_sums(weighted=weight is not None, strict=strict)
+    return per.groupBy(*by, "date").agg(mean.alias(f"{deg}_circmean"), std.alias(f"{deg}_circstd_deg"),
+                                        sector_name(best["s"]).alias(f"{deg}_mode_sector"))
 
 
 def mode_sector(df: DataFrame, ts: str, deg: str, by: Sequence[str] = ()) -> DataFrame:
     """Commonest of the eight sectors per day, the earliest seen on ties."""
-    day = floor_time(F.col(ts), "day").alias("date")
-    per = (df.where(F.col(deg).isNotNull())
-           .groupBy(*by, day, sector_index(F.col(deg)).alias("__s"))
-           .agg(F.count(F.lit(1)).alias("__n"), F.min(ts).alias("__t")))
-    best = F.min(F.struct((-F.col("__n")).alias("n"), F.col("__t").alias("t"), F.col("__s").alias("s")))
-    return per.groupBy(*by, "date").agg(sector_name(best["s"]).alias(f"{deg}_mode_sector"))
+    return daily_direction(df, ts, deg, None, by).select(*by, "date", f"{deg}_mode_sector")
 
 
 def coverage(df: DataFrame, ts: str, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

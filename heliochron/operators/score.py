@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import union_all
 from .ordered import join_keys, series_window
 
 
@@ -99,10 +100,7 @@ def compare_models(y: DataFrame, preds: dict[str, DataFrame], train: DataFrame,
                    by: Sequence[str] = ()) -> DataFrame:
     """One score pass over several predictions ``(by, ts, yhat)`` of the same truth."""
     parts = [p.select(*by, ts, "yhat", F.lit(m).alias("model")) for m, p in preds.items()]
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    return scores(y.join(allp, [*by, ts]), train, ts=ts, by=by, extra=["model"])
+    return scores(y.join(union_all(parts), [*by, ts]), train, ts=ts, by=by, extra=["model"])
 
 
 def score_stored(forecast: DataFrame, truth: DataFrame, y: str = "y", yhat: str = "yhat", ts: str = "ds",
@@ -114,8 +112,8 @@ def score_stored(forecast: DataFrame, truth: DataFrame, y: str = "y", yhat: str
     both = forecast.select(*by, ts, yhat).join(truth.select(*by, ts, y), [*by, ts], "inner")
     first = both.groupBy(*by).agg(F.min(ts).alias("__first"))
     t = _beside(truth.select(*by, ts, y), first, by).where("__first IS NOT NULL")
-    seen = t.groupBy(*by).agg((F.min(ts) < F.first("__first")).alias("__some"))
-    t = _beside(t, seen, by).where(~F.col("__some") | (F.col(ts) < F.col("__first")))
+    start = F.min(ts).over(series_window(by, ts))
+    t = t.withColumn("__start", start).where((F.col("__start") >= F.col("__first")) | (F.col(ts) < F.col("__first")))
     return scores(both, t, y, yhat, ts, by)
 
 

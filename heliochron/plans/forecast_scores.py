@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from ..forecast.backtest import Model, backtest, backtest_scores, folds
 from ..operators.features import fill
 from ..operators.resample import complete
+from ..session import cut_lineage
 
 
 def model_ready(df: DataFrame, y: str, ts: str, by: Sequence[str] = ()) -> DataFrame:
@@ -19,7 +20,11 @@ def model_ready(df: DataFrame, y: str, ts: str, by: Sequence[str] = ()) -> DataF
 
 def backtest_days(df: DataFrame, models: Mapping[str, Model], y: str, ts: str, h: int, k: int = 3,
                   by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(predictions, scores) of each model on k folds of h days."""
-    grid = folds(model_ready(df, y, ts, by), ts, h, k, by)
+    """(predictions, scores) of each model on k folds of h days.
+
+    Every model and the train scale read the daily table again, so it is written to the shared
+    folder once; the raw rows behind it are read a single time.
+    """
+    grid = folds(cut_lineage(model_ready(df, y, ts, by)), ts, h, k, by)
     pred = backtest(grid, models, y, ts, by)
     return pred, backtest_scores(grid, pred, y, ts, by)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,3 +49,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint()
+
+
+def union_all(parts: Sequence[DataFrame], allow_missing: bool = False) -> DataFrame:
+    """Union by name.
+
+    Spark 4.1 may take a union of equally partitioned inputs for partitioned as well and leave
+    out a shuffle that it then turns out to need; groups come out split.  That inference is
+    switched off for the session.
+    """
+    out = parts[0]
+    key = "spark.sql.unionOutputPartitioning"
+    if out.sparkSession.version.startswith("4.1"):
+        out.sparkSession.conf.set(key, "false")
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=allow_missing)
+    return out

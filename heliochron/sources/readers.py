@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.times import date_from_parts, date_from_stamp
 from ..operators.clean import clean_name
+from ..session import union_all
 
 BOM = "﻿"
 # A data line of the irradiance model, stamped 20050101:0010 or in ISO form.
@@ -64,14 +65,30 @@ def read_preamble_meta(spark: SparkSession, path) -> DataFrame:
             F.when(month.between(1, 12), F.struct(month.alias("month"), year.alias("year")))))).alias("years"))
 
 
+def _files(spark: SparkSession, path, pattern: str = "*", recursive: bool = False) -> DataFrame:
+    """``(path, modificationTime)`` of the files; their contents are not read."""
+    return (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+            .option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "modificationTime"))
+
+
 def _file_heads(spark: SparkSession, path, recursive: bool = False) -> list[tuple[str, str]]:
-    """(file, first line): each file's first split is looked at, one line of it kept."""
-    t = (spark.read.option("recursiveFileLookup", str(recursive).lower()).text(path)
-         .select("value", F.col("_metadata.file_path").alias("file"),
-                 F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
-         .where("at = 0"))
-    heads = t.groupBy("file").agg(F.min_by("value", "id").alias("head"))
-    return [(r["file"], r["head"]) for r in heads.collect()]
+    """(file, first line): one line of each file is fetched, no scan is run."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    out = []
+    for r in _files(spark, path, recursive=recursive).select("path").toLocalIterator():
+        p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r["path"].replace(" ", "%20")))
+        raw = p.getFileSystem(conf).open(p)
+        codec = codecs.getCodec(p)
+        stream = codec.createInputStream(raw) if codec is not None else raw
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        try:
+            head = reader.readLine()
+        finally:
+            reader.close()
+        if head:
+            out.append((r["path"], head))
+    return out
 
 
 def _split_header(line: str, sep: str = ",") -> list[str]:
@@ -89,7 +106,7 @@ def union_folder(spark: SparkSession, path, clean: bool = True, recursive: bool
         groups.setdefault(head, []).append(file)
     if not groups:
         raise FileNotFoundError(f"no readable file at {path}")
-    out = None
+    parts = []
     for head in sorted(groups):
         names = _split_header(head)
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -98,8 +115,8 @@ def union_folder(spark: SparkSession, path, clean: bool = True, recursive: bool
         if with_file:
             cols.append(F.url_decode(F.col("_metadata.file_path")).alias("file"))
         d = d.select(*cols)
-        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
-    return out
+        parts.append(d)
+    return union_all(parts, allow_missing=True)
 
 
 def read_monthly_files(spark: SparkSession, path) -> DataFrame:
@@ -115,7 +132,7 @@ def read_monthly_files(spark: SparkSession, path) -> DataFrame:
     heads = sorted(r["head"] for r in f.select("head").distinct().collect() if r["head"])
     # a copy mark such as " (1)" after the month is passed over
     stamp = r"-(\d{4})-(\d{1,2})[^/\-]*?\.csv"
-    out = None
+    parts = []
     for head in heads:
         names = _split_header(head)
         ddl = ", ".join(f"`{n}` string" for n in names)
@@ -132,20 +149,19 @@ def read_monthly_files(spark: SparkSession, path) -> DataFrame:
         if "ObsTime" in names:
             day = F.col("ObsTime").try_cast("double").cast("int")
             d = d.withColumn("ObsTime", F.lpad("ObsTime", 2, "0"))
-        parts = {"Year": year, "Month": month, "Day": day}
-        rest = [c for c in d.columns if c not in parts]
-        d = d.select(*[F.col(f"`{c}`") for c in rest], *[v.cast("int").alias(k) for k, v in parts.items()])
+        stamp_cols = {"Year": year, "Month": month, "Day": day}
+        rest = [c for c in d.columns if c not in stamp_cols]
+        d = d.select(*[F.col(f"`{c}`") for c in rest], *[v.cast("int").alias(k) for k, v in stamp_cols.items()])
         d = d.withColumn("Date", date_from_parts(F.col("Year"), F.col("Month"), F.col("Day")))
-        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
-    if out is None:
+        parts.append(d)
+    if not parts:
         raise FileNotFoundError(f"no monthly file at {path}")
-    return out
+    return union_all(parts, allow_missing=True)
 
 
 def latest_file(spark: SparkSession, path, pattern: str = "*", recursive: bool = True) -> str | None:
     """Path of the newest file whose name matches the glob; contents are not read."""
-    d = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-         .option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "modificationTime"))
+    d = _files(spark, path, pattern, recursive)
     row = d.agg(F.max_by("path", F.struct("modificationTime", "path"))).first()
     return row[0]
 
