@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.resample import complete, resample
+from ..session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,6 +77,11 @@ def order_days_filled(spark, sf) -> DataFrame:
     return fill(order_days(spark, sf), ["y"], "ds", ["series"])
 
 
+def stored_order_days(spark, sf) -> DataFrame:
+    """The filled daily table, written to the shared folder: for queries that read it more than once."""
+    return cut_lineage(order_days_filled(spark, sf))
+
+
 def all_order_days(spark, sf) -> DataFrame:
     """Daily order totals over everything as (ds, y)."""
     return (table(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("date").alias("ds"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.cells import type_cell
 from ..functions.times import date_from_parts, date_from_stamp, date_text, parse_time
 from ..operators import clean
 from .base import events, query, r, rnd, table
@@ -38,7 +37,7 @@ CASE k WHEN 0 THEN '' WHEN 1 THEN CAST(event_id + 1000000 AS VARCHAR) WHEN 2 THE
   WHEN 4 THEN CASE WHEN strftime(ts, '%H:%M:%S') = '00:00:00' THEN strftime(ts, '%Y-%m-%d') ELSE cell END
   ELSE cell END AS text FROM c""")
 def b1(spark, sf):
-    return _cells(spark, sf).select("event_id", type_cell(F.col("cell")).alias("c")).select("event_id", "c.*")
+    return clean.type_cells(_cells(spark, sf), ["cell"]).select("event_id", "cell.*")
 
 
 @query("b2_numeric_coercion", f"""WITH {_CELLS} SELECT event_id, TRY_CAST(cell AS DOUBLE) AS cell,

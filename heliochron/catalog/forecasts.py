@@ -11,7 +11,7 @@ from ..forecast.regress import (LinearForecaster, TreeForecaster, datepart_featu
 from ..forecast.smoothing import ALPHAS, forecast_smoothing
 from ..operators import features as fe
 from ..plans.forecast_scores import backtest_days
-from .base import AOD, ED, EH, LD, ODF, all_order_days, event_days, event_hours, line_days, order_days, order_days_filled, query, r, rnd
+from .base import AOD, ED, EH, LD, ODF, all_order_days, event_days, event_hours, line_days, order_days, stored_order_days, query, r, rnd
 from .scoring import rounded, score_sql
 
 BY = ["series"]
@@ -34,17 +34,17 @@ _SEASONAL = _ahead(30, r("odf.y", 2)) + " LEFT JOIN odf ON odf.series = f.series
 
 @query("g1_last_value", _ahead(30, r("g.v", 2), ", g AS (SELECT series, arg_max(y, ds) AS v FROM odf GROUP BY 1)") + " JOIN g USING (series)")
 def g1_last(spark, sf):
-    return _out(baseline(order_days_filled(spark, sf), "last", 30, by=BY))
+    return _out(baseline(stored_order_days(spark, sf), "last", 30, by=BY))
 
 
 @query("g1_mean", _ahead(30, r("g.v", 2), ", g AS (SELECT series, avg(y) AS v FROM odf GROUP BY 1)") + " JOIN g USING (series)")
 def g1_mean(spark, sf):
-    return _out(baseline(order_days_filled(spark, sf), "mean", 30, by=BY))
+    return _out(baseline(stored_order_days(spark, sf), "mean", 30, by=BY))
 
 
 @query("g1_seasonal_lag", _SEASONAL)
 def g1_seasonal(spark, sf):
-    return _out(baseline(order_days_filled(spark, sf), "seasonal", 30, by=BY))
+    return _out(baseline(stored_order_days(spark, sf), "seasonal", 30, by=BY))
 
 
 @query("g1_clock_hour_mean", f"""WITH {EH}, m AS (SELECT event_type, hour(ts) AS h, avg(value) AS v FROM eh GROUP BY 1, 2),
@@ -56,7 +56,7 @@ def g1_clock(spark, sf):
 
 
 def _cut(spark, sf, h=30):
-    return fe.holdout(order_days_filled(spark, sf), "ds", h, BY)
+    return fe.holdout(stored_order_days(spark, sf), "ds", h, BY)
 
 
 _SPLIT = f"{ODF}, sp AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ds DESC) <= 30 AS is_test FROM odf)"
@@ -92,7 +92,7 @@ query("g2_elastic_net")(_penalty("elasticnet", 100.0))
 
 @query("g3_window_regression")
 def g3(spark, sf):
-    d = fe.mark_holdout(order_days_filled(spark, sf), "ds", 30, BY)
+    d = fe.mark_holdout(stored_order_days(spark, sf), "ds", 30, BY)
     p = fit_predict_window(d, ~F.col("is_test"), "y", "ds", BY, 30)
     return p.select("series", "ds", rnd("yhat", 2).alias("yhat"))
 
@@ -100,7 +100,7 @@ def g3(spark, sf):
 def _trees(kind, **params):
     def f(spark, sf):
         xs = {**datepart_features("ds", (1,)), **lag_features("y", "ds", BY, 30, (0, 6), (7,))}
-        d = fe.mark_holdout(order_days_filled(spark, sf), "ds", 30, BY).select("*", *[c.alias(n) for n, c in xs.items()])
+        d = fe.mark_holdout(stored_order_days(spark, sf), "ds", 30, BY).select("*", *[c.alias(n) for n, c in xs.items()])
         m = TreeForecaster(kind, **params).fit(d.where(~F.col("is_test")), list(xs), "y", BY)
         return m.predict(d.where("is_test")).select("series", "ds", rnd("yhat", 2).alias("yhat"))
     return f
@@ -124,19 +124,19 @@ SELECT series, lead, CAST(last + lead * INTERVAL 1 DAY AS DATE) AS ds, {r(yhat,
 
 @query("g5_exponential_smoothing", _ses_sql(False))
 def g5(spark, sf):
-    return _out(forecast_smoothing(order_days_filled(spark, sf), 30, by=BY), digits=1)
+    return _out(forecast_smoothing(stored_order_days(spark, sf), 30, by=BY), digits=1)
 
 
 @query("g5_theta", _ses_sql(True))
 def g5_theta(spark, sf):
-    return _out(forecast_smoothing(order_days_filled(spark, sf), 30, by=BY, theta=True), digits=1)
+    return _out(forecast_smoothing(stored_order_days(spark, sf), 30, by=BY, theta=True), digits=1)
 
 
 @query("g6_chunked_forecast", _SEASONAL.replace("generate_series(1, 30)", "generate_series(1, 200)"))
 def g6(spark, sf):
     """200 days in chunks of 90, each appended to the history before the next."""
     m = lambda hist, n: baseline(hist, "seasonal", n, by=BY)
-    return _out(bt.forecast_in_chunks(order_days_filled(spark, sf), m, 200, 90, by=BY))
+    return _out(bt.forecast_in_chunks(stored_order_days(spark, sf), m, 200, 90, by=BY))
 
 
 _HZ = f"""{ODF}, x AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ds DESC) AS r FROM odf),
@@ -148,7 +148,7 @@ s AS (SELECT series, horizon, y, p FROM g JOIN m USING (series, horizon) WHERE r
 
 @query("g7_multi_horizon", f"WITH {_HZ} {score_sql('s', 'series, horizon', 'series, horizon')}")
 def g7(spark, sf):
-    grid = bt.horizons(order_days_filled(spark, sf), "ds", by=BY)
+    grid = bt.horizons(stored_order_days(spark, sf), "ds", by=BY)
     m = {"mean": lambda train, keys: baseline(train, "mean", 120, by=keys)}
     pred = bt.backtest(grid, m, "y", "ds", BY, ["horizon"])
     return rounded(bt.backtest_scores(grid, pred, "y", "ds", BY, ["horizon"]), ["series", "horizon"])
@@ -242,7 +242,7 @@ f AS (SELECT series, avg(y) AS yhat, max(ds) AS last FROM odf GROUP BY 1)
 SELECT series, CAST(lead AS INTEGER) AS lead, CAST(last + CAST(lead AS INTEGER) * INTERVAL 1 DAY AS DATE) AS ds, {r('yhat', 2)} AS yhat, {r('yhat + a', 2)} AS lower, {r('yhat + b', 2)} AS upper FROM f JOIN q USING (series)""")
 def g12(spark, sf):
     p, _ = backtest_days(order_days(spark, sf), {"mean": MODELS["mean"]}, "y", "ds", 30, 3, BY)
-    f = baseline(order_days_filled(spark, sf), "mean", 30, by=BY)
+    f = baseline(stored_order_days(spark, sf), "mean", 30, by=BY)
     d = bt.interval(f, p, BY)
     return d.select("series", "lead", "ds", *[rnd(c, 2).alias(c) for c in ("yhat", "lower", "upper")])
 
@@ -270,7 +270,18 @@ def g14(spark, sf):
 def g15(spark, sf):
     """Date-part regression fitted on every row, then the 60 days after the last."""
     from ..forecast.baselines import future_spine
-    d = order_days_filled(spark, sf)
+    d = stored_order_days(spark, sf)
     f = fit_predict_datepart(d, future_spine(d, "ds", 60, BY), "y", "ds", BY, LinearForecaster("ridge", 0.01))
     from ..operators.scaling import clip_zero
     return f.select("series", "lead", "ds", rnd(clip_zero(F.col("yhat")), 2).alias("yhat"))
+
+
+@query("g6_year_ahead_total", f"""WITH {ODF}, nx AS ({_NEXT}), f AS (SELECT series, last, CAST(unnest(generate_series(1, 365)) AS INTEGER) AS lead FROM nx)
+SELECT f.series, CAST(min(f.last + f.lead * INTERVAL 1 DAY) AS DATE) AS forecast_start, CAST(max(f.last + f.lead * INTERVAL 1 DAY) AS DATE) AS forecast_end,
+count(odf.y) AS days_counted, {r('sum(odf.y)', 1)} AS total_wh FROM f LEFT JOIN odf ON odf.series = f.series
+AND odf.ds = CAST(f.last + (f.lead - CAST(ceil(f.lead / 7) AS INTEGER) * 7) * INTERVAL 1 DAY AS DATE) GROUP BY 1""")
+def g6_total(spark, sf):
+    from ..plans.year_ahead import year_ahead
+    m = lambda hist, n: baseline(hist, "seasonal", n, by=BY)
+    _, total = year_ahead(stored_order_days(spark, sf), m, by=BY)
+    return total.withColumn("total_wh", rnd("total_wh", 1))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import scaling as sc
-from ..session import union_all
-from .base import AOD, ED, LD, ODF, all_order_days, event_days, line_days, order_days_filled, query, r, rnd, table
+from ..session import cut_lineage, union_all
+from .base import AOD, ED, LD, ODF, all_order_days, event_days, line_days, stored_order_days, query, r, rnd, table
 
 BY = ["series"]
 
@@ -14,7 +14,7 @@ BY = ["series"]
 @query("f1_map_range", f"""WITH {LD}, {AOD}, o AS (SELECT min(price) AS a, max(price) AS b FROM ld), s AS (SELECT min(y) AS lo, max(y) AS hi FROM aod)
 SELECT ds, {r('(price - a) / (b - a) * (hi - lo) + lo', 2)} AS mapped, {r('(price - lo) / (hi - lo)', 6)} AS normalised FROM ld, o, s""")
 def f1(spark, sf):
-    d = sc.map_range(line_days(spark, sf), "price", all_order_days(spark, sf), "y", mapped="mapped", normalised="normalised")
+    d = sc.map_range(cut_lineage(line_days(spark, sf)), "price", all_order_days(spark, sf), "y", mapped="mapped", normalised="normalised")
     return d.select("ds", rnd("mapped", 2).alias("mapped"), rnd("normalised", 6).alias("normalised"))
 
 
@@ -80,7 +80,7 @@ regr_slope(y, date_diff('day', DATE '1970-01-01', ds)) AS b, regr_intercept(y, d
 {r('(y - mean) / sd')} AS zscore, {r('(y - lo) / (hi - lo)')} AS minmax, {r("y - (a + b * date_diff('day', DATE '1970-01-01', ds))", 1)} AS detrend,
 {r('least(greatest(y, mean - 3 * sd), mean + 3 * sd)', 2)} AS clip_outliers FROM odf JOIN st USING (series) WINDOW w AS (PARTITION BY series ORDER BY ds)""")
 def f6(spark, sf):
-    d = order_days_filled(spark, sf)
+    d = stored_order_days(spark, sf)
     for name in sc.TRANSFORMS:
         d = sc.transform(d, name, "y", "ds", BY, out=name)
     digits = {"zscore": 4, "minmax": 4, "detrend": 1}
@@ -89,7 +89,7 @@ def f6(spark, sf):
 
 @query("f6_inverse_transforms", f"""WITH {ED} SELECT series, ds, {', '.join(f'{r("y", 2)} AS {n}' for n in sc.TRANSFORMS if n != 'clip_outliers')} FROM ed""")
 def f6_inverse(spark, sf):
-    src = event_days(spark, sf)
+    src = cut_lineage(event_days(spark, sf))
     stats = sc.series_stats(src, "y", "ds", BY)
     d = src
     for name in sc.TRANSFORMS:

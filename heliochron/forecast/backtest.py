@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.align import align
-from ..operators.features import fill
+from ..operators.features import fill, rows_left, series_length
 from ..operators.ordered import join_keys, series_window
 from ..operators.score import scores
 from ..session import cut_lineage, union_all
@@ -23,9 +23,7 @@ def folds(df: DataFrame, ts: str, h: int, k: int = 3, by: Sequence[str] = ()) ->
     Fold i ends ``i*h`` rows before the end and tests the ``h`` rows after that; a fold needs a
     train part at least as long as its test part.
     """
-    r = F.row_number().over(series_window(by, F.col(ts).desc())) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy(*(by or [F.lit(0)])))
-    d = df.select("*", r.alias("__r"), n.alias("__n"))
+    d = df.select("*", rows_left(ts, by).alias("__r"), series_length(by).alias("__n"))
     d = d.select("*", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("fold"))
     start = (F.col("fold") - 1) * h
     d = d.where((F.col("__r") >= start) & (F.col("__n") - F.col("fold") * h >= h))
@@ -35,13 +33,11 @@ def folds(df: DataFrame, ts: str, h: int, k: int = 3, by: Sequence[str] = ()) ->
 
 def horizons(df: DataFrame, ts: str, hs: Sequence[int] = HORIZONS, by: Sequence[str] = ()) -> DataFrame:
     """Each row once per horizon with ``horizon`` and ``role``; series too short for one skip it."""
-    r = F.row_number().over(series_window(by, F.col(ts).desc()))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*(by or [F.lit(0)])))
-    d = df.select("*", r.alias("__r"), n.alias("__n"))
+    d = df.select("*", rows_left(ts, by).alias("__r"), series_length(by).alias("__n"))
     # a generator in the same projection would be run before the windows
     d = d.select("*", F.explode(F.array(*[F.lit(int(h)) for h in hs])).alias("horizon"))
     d = d.where(F.col("__n") > F.col("horizon"))
-    role = F.when(F.col("__r") <= F.col("horizon"), "test").otherwise("train")
+    role = F.when(F.col("__r") < F.col("horizon"), "test").otherwise("train")
     return d.select(*df.columns, "horizon", role.alias("role"))
 
 

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,9 @@ from ..functions import calendar as cal
 
 from ..operators.ordered import join_keys, series_window
 
+# The solver below travels to the executors with the task, so the package need not be there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PENALTIES = ("none", "ridge", "lasso", "elasticnet")
 
 

@@ -47,23 +47,28 @@ def step_interval(step: str) -> Column:
                    "hour": "INTERVAL 1 HOUR", "minute": "INTERVAL 1 MINUTE"}[step])
 
 
+def parse_dashed(t: Column) -> Column:
+    """ISO, year-first with slashes, or month-first with slashes; one pattern runs per row."""
+    as_time = lambda c: c.try_cast("timestamp_ntz")
+    return (F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), as_time(t))
+            .when(t.rlike(r"^\d{4}/\d{1,2}/\d{1,2}"), as_time(F.translate(t, "/", "-")))
+            .when(t.rlike(r"^\d{1,2}/\d{1,2}/\d{4}"),
+                  as_time(F.regexp_replace(t, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2"))))
+
+
 def parse_time(text: Column) -> Column:
-    """Text to naive time: ISO, year-first or month-first with slashes, ``yyyymmdd`` with an
-    optional ``hhmm``/``hhmmss``, else bare digits as epoch seconds.  Digits past the last
-    clock second are past the last spreadsheet day as well and stay missing."""
+    """Text to naive time: the forms of :func:`parse_dashed`, ``yyyymmdd`` with an optional
+    ``hhmm`` or ``hhmmss``, else bare digits as epoch seconds.  Digits past the last clock
+    second are past the last spreadsheet day as well and stay missing."""
     t = F.trim(text)
-    iso = F.regexp_replace(t, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
-    iso = F.regexp_replace(iso, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
-    iso = F.regexp_replace(iso, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
-    iso = F.regexp_replace(iso, r"^(\d{4})(\d{2})(\d{2})[: T]?(\d{2})(\d{2})$",
-                           "$1-$2-$3 $4:$5:00")
-    iso = F.regexp_replace(iso, r"^(\d{4})(\d{2})(\d{2})[: T]?(\d{2})(\d{2})(\d{2})$",
-                           "$1-$2-$3 $4:$5:$6")
-    dated = F.when(iso.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), iso.try_cast("timestamp_ntz"))
-    digits = F.when(t.rlike(r"^(\d+\.?\d*|\.\d+)$"), F.floor(t.try_cast("double")))
-    epoch = F.when(digits <= F.lit(LAST_CLOCK_SECOND),
+    short = F.regexp_replace(t, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    long = F.regexp_replace(t, r"^(\d{4})(\d{2})(\d{2})[: T]?(\d{2})(\d{2})(\d{2})?$", "$1-$2-$3 $4:$5:0$6")
+    compact = F.when(t.rlike(r"^\d{8}$"), short.try_cast("timestamp_ntz")).when(
+        t.rlike(r"^\d{8}[: T]?\d{4}(\d{2})?$"), F.regexp_replace(long, r":0(\d{2})$", ":$1").try_cast("timestamp_ntz"))
+    digits = F.floor(t.try_cast("double"))
+    epoch = F.when(t.rlike(r"^(\d+\.?\d*|\.\d+)$") & (digits <= F.lit(LAST_CLOCK_SECOND)),
                    from_micros(digits.cast("bigint") * F.lit(1_000_000)))
-    return F.coalesce(dated, epoch)
+    return F.when(t.rlike(r"^\d{1,4}[-/]"), parse_dashed(t)).otherwise(F.coalesce(compact, epoch))
 
 
 def date_from_parts(year: Column, month: Column, day: Column) -> Column:

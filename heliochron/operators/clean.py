@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cells import null_if, to_number
+from ..functions.cells import cell_parts, null_if, to_number, type_cell
 from ..functions.times import from_micros, micros, parse_time
 from .ordered import CHUNK, chunk_by_number, join_keys, series_window
 
@@ -20,6 +20,14 @@ PROFILE_PARTS = ("time", "date", "timestamp", "datetime", "ts", "local")
 VALUE_NAMES = ("Wh_pred", "Wh")
 
 
+def type_cells(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Each text column as ``struct(kind, text)``; see :func:`type_cell`."""
+    parts = {c: F.struct(*[v.alias(n) for n, v in cell_parts(F.col(f"`{c}`")).items()]) for c in cols}
+    d = df.select("*", *[p.alias(f"__p{i}") for i, p in enumerate(parts.values())])
+    typed = {c: type_cell(F.col(f"__p{i}")) for i, c in enumerate(cols)}
+    return d.select(*[typed[c].alias(c) if c in typed else F.col(f"`{c}`") for c in df.columns])
+
+
 def to_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """All (or the named) columns as DOUBLE, unreadable cells missing."""
     cols = set(df.columns if cols is None else cols)

@@ -96,13 +96,22 @@ def model_features(df: DataFrame, target: str, regressors: Sequence[str], ts: st
     return add_calendar(d, ts)
 
 
+def series_length(by: Sequence[str] = ()) -> Column:
+    """Rows of the series, on each of them."""
+    return F.count(F.lit(1)).over(Window.partitionBy(*(by or [F.lit(0)])))
+
+
+def rows_left(ts: str, by: Sequence[str] = ()) -> Column:
+    """Rows after this one; in time order, so that lags and this share one sort."""
+    return series_length(by) - F.row_number().over(series_window(by, ts))
+
+
 def mark_holdout(df: DataFrame, ts: str, h: int, by: Sequence[str] = (), out: str = "is_test") -> DataFrame:
     """Flag the last ``h`` rows of each series; series of ``h`` rows or fewer are left out."""
-    w = series_window(by, F.col(ts).desc())
-    whole = series_window(by, F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (df.select("*", F.row_number().over(w).alias("__r"), F.count(F.lit(1)).over(whole).alias("__len"))
-            .where(F.col("__len") > h)
-            .select(*df.columns, (F.col("__r") <= h).alias(out)))
+    left = rows_left(ts, by)
+    length = series_length(by)
+    return (df.select("*", left.alias("__left"), length.alias("__len")).where(F.col("__len") > h)
+            .select(*df.columns, (F.col("__left") < h).alias(out)))
 
 
 def holdout(df: DataFrame, ts: str, h: int, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -129,15 +138,16 @@ def naive_mean(train: DataFrame, test: DataFrame, y: str, by: Sequence[str] = ()
 
 
 def fill_trailing_mean(df: DataFrame, y: str, ts: str, by: Sequence[str] = (), n: int = 30,
-                       out: str | None = None, start=None) -> DataFrame:
+                       out: str | None = None, only: Column | None = None) -> DataFrame:
     """Each missing value is the mean of the last ``n`` known or filled ones; with fewer than
     ``n`` the last one; with none 0.
 
     A value depends on values filled before it, so each series is one fold over its days;
-    series run side by side.  With ``start`` only rows from that time on are filled.
+    series run side by side.  With ``only`` just the rows that meet it are filled; other
+    missing rows are passed over.
     """
     out = out or y
-    may = F.lit(True) if start is None else F.col(ts) >= F.lit(start)
+    may = F.lit(True) if only is None else only
     rows = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(y).cast("double").alias("y"),
                                                 may.alias("m"))))
     g = df.groupBy(*by).agg(rows.alias("__rows"))

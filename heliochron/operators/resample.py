@@ -156,13 +156,15 @@ def daily_stats(df: DataFrame, ts: str, spec: Sequence[tuple[str, str, str]], by
     aggs = [(F.count(F.col(f"`{c}`")) / of_day if f == "frac" else AGGREGATES[f](F.col(f"`{c}`"))).alias(n)
             for n, c, f in plain]
     small = not want or (df.count() if rows is None else rows) <= limit
-    if small:
-        aggs += [F.percentile(F.col(f"`{c}`"), QUANTILES[f]).alias(n) for n, c, f in want]
+    at = sorted({QUANTILES[f] for *_, f in want})
+    held = sorted({c for _, c, _ in want}) if small else []  # one value buffer per column
+    aggs += [F.percentile(F.col(f"`{c}`"), at).alias(f"__q{i}") for i, c in enumerate(held)]
     out = df.groupBy(*by, day).agg(*aggs)
+    if held:
+        out = out.select("*", *[F.col(f"__q{held.index(c)}")[at.index(QUANTILES[f])].alias(n) for n, c, f in want])
     if not small:
         src = df.withColumn("date", day)
-        q = exact_percentiles(src, sorted({c for _, c, _ in want}), sorted({QUANTILES[f] for *_, f in want}),
-                              [*by, "date"], limit)
+        q = exact_percentiles(src, sorted({c for _, c, _ in want}), at, [*by, "date"], limit)
         pick = lambda c, p: F.max(F.when((F.col("variable") == c) & (F.col("p") == p), F.col("value")))
         q = q.groupBy(*by, "date").agg(*[pick(c, QUANTILES[f]).alias(n) for n, c, f in want])
         out = join_keys(out, q, [*by, "date"])

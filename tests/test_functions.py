@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from heliochron.functions import calendar as cal
-from heliochron.functions.cells import to_number, type_cell
+from heliochron.functions.cells import to_number
 from heliochron.functions.circular import circular_mean, circular_std
 from heliochron.functions.times import date_from_parts, date_from_stamp, floor_time, from_micros, micros, parse_time
+from heliochron.operators.clean import type_cells
 from heliochron.operators.resample import daily_direction
 
 
@@ -19,7 +20,7 @@ def one(spark, values, schema, col):
 def test_type_cell(spark):
     cells = ["", "  ", None, "1,234", "-7", "+3", "1.50", "1e3", "2024-05-06", "2024/5/6", "2024-05-06 07:08:09", "1799-01-01",
              "2101-01-01", "X", "12:30", "nan", "12345678901234567890"]
-    got = [(r.kind, r.text) for r in one(spark, cells, "string", type_cell(F.col("v")))]
+    got = [(r.v.kind, r.v.text) for r in type_cells(spark.createDataFrame(list(enumerate(cells)), "i int, v string"), ["v"]).orderBy("i").collect()]
     assert got == [("empty", ""), ("empty", ""), ("empty", ""), ("int", "1234"), ("int", "-7"), ("int", "3"), ("float", "1.5"),
                    ("float", "1000.0"), ("date", "2024-05-06"), ("date", "2024-05-06"), ("time", "2024-05-06 07:08:09"),
                    ("text", "1799-01-01"), ("text", "2101-01-01"), ("text", "X"), ("text", "12:30"), ("float", "NaN"),
@@ -34,7 +35,7 @@ def test_parse_time(spark):
     d = dt.datetime
     cases = {
         "2025-04-23 05:06:07": d(2025, 4, 23, 5, 6, 7), "2025/4/3 1:05": d(2025, 4, 3, 1, 5), "4/23/2025 5:06": d(2025, 4, 23, 5, 6),
-        "2025-04-23T05:06:07": d(2025, 4, 23, 5, 6, 7), "20050101:0010": d(2005, 1, 1, 0, 10), "20250423": d(2025, 4, 23),
+        "2025-04-23T05:06:07": d(2025, 4, 23, 5, 6, 7), "20050101:0010": d(2005, 1, 1, 0, 10), "20250423": d(2025, 4, 23), "20250423050607": d(2025, 4, 23, 5, 6, 7), "20250423 0506": d(2025, 4, 23, 5, 6),
         "1745384767": d(2025, 4, 23, 5, 6, 7), "45000": d(1970, 1, 1, 12, 30), "99999999999": None, "soon": None, "": None, None: None,
         "2025-13-01": None, "3000-01-01 00:00:00": d(3000, 1, 1),
     }

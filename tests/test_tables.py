@@ -143,7 +143,7 @@ def test_trailing_mean_fill(spark, known, missing, want):
 
 def test_trailing_mean_fill_from_a_start(spark):
     d = days(spark, [(D("2024-01-01"), 1.0), (D("2024-01-02"), None), (D("2024-01-03"), 3.0), (D("2024-01-04"), None)])
-    got = fe.fill_trailing_mean(d, "y", "ds", start=D("2024-01-03"), out="z").orderBy("ds").collect()
+    got = fe.fill_trailing_mean(d, "y", "ds", only=F.col("ds") >= "2024-01-03", out="z").orderBy("ds").collect()
     assert [r.z for r in got] == [1.0, None, 3.0, 3.0] and [r.y for r in got] == [1.0, None, 3.0, None]
 
 
