@@ -185,10 +185,7 @@ def c14(spark, sf):
 
 @query("c15_group_mean_on_rows", f"WITH {EH} SELECT event_type, ts, {r('avg(value) OVER (PARTITION BY event_type, hour(ts))')} AS hour_mean FROM eh")
 def c15(spark, sf):
-    h = event_hours(spark, sf).select("event_type", "ts", F.lit(None).cast("double").alias("hour_mean"), "value")
-    # a column without any value of its own takes the group mean on every row
-    m = h.groupBy("event_type", F.hour("ts").alias("h")).agg(F.avg("value").alias("m"))
-    d = join_keys(h.withColumn("h", F.hour("ts")), m, ["event_type", "h"])
+    d = rs.group_mean(event_hours(spark, sf), "value", ["event_type", F.hour("ts")], "m")
     return d.select("event_type", "ts", rnd("m").alias("hour_mean"))
 
 

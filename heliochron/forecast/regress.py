@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 
 from ..operators.ordered import join_keys, series_window
+from ..session import cut_lineage
 
 # The solver below travels to the executors with the task, so the package need not be there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -177,7 +178,9 @@ class TreeForecaster:
         cls = {"rf": RandomForestRegressor, "gbt": GBTRegressor}[self.kind]
         stages = [VectorAssembler(inputCols=[*level, *xs], outputCol="__x", handleInvalid="skip"),
                   cls(featuresCol="__x", labelCol=y, predictionCol="yhat", seed=self.seed, **self.params)]
-        self.model = Pipeline(stages=stages).fit(self._with_level(train.where(F.col(y).isNotNull())))
+        # growing trees goes over the table many times; the rows behind it are read once
+        table = cut_lineage(self._with_level(train.where(F.col(y).isNotNull())))
+        self.model = Pipeline(stages=stages).fit(table)
         return self
 
     def predict(self, future: DataFrame) -> DataFrame:

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import to_number
-from ..functions.times import parse_time
+from ..functions.times import from_micros, parse_time
 from ..session import union_all
 from .ordered import join_keys
 from .quantile import ROWS_IN_ONE_TASK, exact_percentiles
-from .resample import step_median
+from .resample import chunk_ends, step_median
 
 # Step lengths in seconds that have a name.
 STEP_NAMES = {60: "minute", 3600: "hour", 86400: "day", 604800: "week"}
@@ -48,7 +48,7 @@ def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None, by: Sequen
     """
     cols = list(cols or numeric_columns(df))
     at = [0.25, 0.5, 0.75]
-    small = df.count() <= limit
+    small = df.count() * len(cols) <= limit
     aggs = []
     for i, c in enumerate(cols):
         v = F.col(f"`{c}`").cast("double")
@@ -96,7 +96,9 @@ def profile_categorical(df: DataFrame, cols: Sequence[str] | None = None, by: Se
 
 def profile_time(df: DataFrame, ts: str, by: Sequence[str] = (), chunk_seconds: int = 21_600) -> DataFrame:
     """First and last time, a step label when all steps are equal, else the median step."""
-    ends = df.where(F.col(ts).isNotNull()).groupBy(*by).agg(F.min(ts).alias("start"), F.max(ts).alias("end"))
+    kind = df.schema[ts].dataType
+    ends = chunk_ends(df, ts, by, chunk_seconds).groupBy(*by).agg(
+        from_micros(F.min("__lo")).cast(kind).alias("start"), from_micros(F.max("__hi")).cast(kind).alias("end"))
     med = step_median(df, ts, by, chunk_seconds)
     if by:
         d = join_keys(ends, med, list(by))

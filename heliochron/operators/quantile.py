@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .ordered import join_keys
 
-ROWS_IN_ONE_TASK = 4_000_000
+# A value buffer entry takes about 80 bytes, so this is about 160 MB in the worst case.
+ROWS_IN_ONE_TASK = 2_000_000
 MAX_LEVELS = 13  # 2**13 ranges per column
 
 

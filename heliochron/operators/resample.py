@@ -59,11 +59,17 @@ def resample(df: DataFrame, ts: str, step: str, aggs: Mapping[str, str], by: Seq
 
 def fill_hour_of_day(df: DataFrame, ts: str, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Missing hours take the mean of that clock hour over all days."""
-    w = series_window([*by, F.hour(ts)], F.lit(1)).rowsBetween(-(2 ** 63), 2 ** 63 - 1)
+    w = Window.partitionBy(*by, F.hour(ts))
     return df.select(*[F.coalesce(F.col(f"`{c}`"), F.avg(F.col(f"`{c}`")).over(w)).alias(c)
                        if c in cols else F.col(f"`{c}`") for c in df.columns])
 
 
+def group_mean(df: DataFrame, col: str, keys: Sequence, out: str) -> DataFrame:
+    """The mean of each group on all its rows; for calendar tables, whose groups are bounded."""
+    w = Window.partitionBy(*keys)
+    return df.select("*", F.avg(F.col(f"`{col}`")).over(w).alias(out))
+
+
 def daily_energy(df: DataFrame, ts: str, sum_cols: Sequence[str], mean_cols: Sequence[str] = (),
                  by: Sequence[str] = ()) -> DataFrame:
     """Days that occur: energy summed, other measures averaged."""
@@ -79,6 +85,16 @@ def monthly_energy(df: DataFrame, ts: str, value: str, by: Sequence[str] = (),
                     F.col(value).alias(out or f"{value}_sum"))
 
 
+def _times(df: DataFrame, ts: str, by: Sequence[str]) -> DataFrame:
+    return df.where(F.col(ts).isNotNull()).select(*by, micros(F.col(ts)).alias("__us"))
+
+
+def chunk_ends(df: DataFrame, ts: str, by: Sequence[str] = (), chunk_seconds: int = 21_600) -> DataFrame:
+    """First and last time (in microseconds) of each series and chunk."""
+    chunk = chunk_by_number("__us", chunk_seconds * 1_000_000).alias(CHUNK)
+    return _times(df, ts, by).groupBy(*by, chunk).agg(F.min("__us").alias("__lo"), F.max("__us").alias("__hi"))
+
+
 def step_counts(df: DataFrame, ts: str, by: Sequence[str] = (), chunk_seconds: int = 21_600) -> DataFrame:
     """``(by, variable, value, freq)``: distances of successive times in seconds and how often each occurs.
 
@@ -87,7 +103,7 @@ def step_counts(df: DataFrame, ts: str, by: Sequence[str] = (), chunk_seconds: i
     own rows, those across chunks from one (first, last) row per chunk; nothing is joined
     back.  A series' first time has no distance and stays as one missing value.
     """
-    t = df.where(F.col(ts).isNotNull()).select(*by, micros(F.col(ts)).alias("__us"))
+    t = _times(df, ts, by)
     chunk = chunk_by_number("__us", chunk_seconds * 1_000_000).alias(CHUNK)
     one = t.groupBy(*by, "__us").agg(F.count(F.lit(1)).alias("__c")).withColumn(CHUNK, chunk)
     inside = Window.partitionBy(*by, CHUNK).orderBy("__us")
@@ -96,8 +112,7 @@ def step_counts(df: DataFrame, ts: str, by: Sequence[str] = (), chunk_seconds: i
     parts = F.array(F.struct(seconds(F.col("__us") - F.lag("__us").over(inside)).alias("value"), once.alias("freq")),
                     F.struct(F.lit(0.0).alias("value"), (F.col("__c") - 1).alias("freq")))
     within = one.select(*by, parts.alias("__p")).select(*by, F.inline("__p")).where("value IS NOT NULL AND freq > 0")
-    ends = t.groupBy(*by, chunk).agg(F.min("__us").alias("__lo"), F.max("__us").alias("__hi"))
-    across = ends.select(*by, seconds(F.col("__lo") - F.lag("__hi").over(series_window(by, CHUNK))).alias("value"),
+    across = chunk_ends(df, ts, by, chunk_seconds).select(*by, seconds(F.col("__lo") - F.lag("__hi").over(series_window(by, CHUNK))).alias("value"),
                          once.alias("freq"))
     return (union_all([within, across]).select(*by, F.lit("step").alias("variable"), "value", "freq")
             .groupBy(*by, "variable", "value").agg(F.sum("freq").alias("freq")))
@@ -155,9 +170,10 @@ def daily_stats(df: DataFrame, ts: str, spec: Sequence[tuple[str, str, str]], by
     plain = [s for s in spec if s[2] not in QUANTILES]
     aggs = [(F.count(F.col(f"`{c}`")) / of_day if f == "frac" else AGGREGATES[f](F.col(f"`{c}`"))).alias(n)
             for n, c, f in plain]
-    small = not want or (df.count() if rows is None else rows) <= limit
     at = sorted({QUANTILES[f] for *_, f in want})
-    held = sorted({c for _, c, _ in want}) if small else []  # one value buffer per column
+    held = sorted({c for _, c, _ in want})  # one value buffer per column
+    small = not want or (df.count() if rows is None else rows) * len(held) <= limit
+    held = held if small else []
     aggs += [F.percentile(F.col(f"`{c}`"), at).alias(f"__q{i}") for i, c in enumerate(held)]
     out = df.groupBy(*by, day).agg(*aggs)
     if held:

@@ -27,14 +27,17 @@ def build_session(app: str = "heliochron", master: str | None = None, **conf) ->
     return b.getOrCreate()
 
 
+_TEMP: list[str] = []
+
+
 def _shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder the cluster names; a temporary one only where none is named (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
-    root = tempfile.mkdtemp(prefix="heliochron-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if not _TEMP:
+        _TEMP.append(tempfile.mkdtemp(prefix="heliochron-"))
+    return _TEMP[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
