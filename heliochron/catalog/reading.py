@@ -38,7 +38,7 @@ def a2(spark, sf):
 # Text that stands around the data in irradiance-model files.
 _BEFORE = ["Latitude (decimal degrees):\t24.148", "Longitude (decimal degrees):\t120.703", "Elevation (m):\t87", "",
            "month,year", *[f"{m},{2004 + (m * 7) % 13}" for m in range(1, 13)], "time,P,T2m"]
-_AFTER = ["", "P: PV system power (W)", "T2m: 2-m air temperature (degree Celsius)", "PVGIS (c) European Union, 2001-2025"]
+_AFTER = ["", "P: PV system power (W)", "T2m: 2-m air temperature (degree Celsius)", "(c) European Union, 2001-2025"]
 
 
 def _preamble_files(spark, sf):

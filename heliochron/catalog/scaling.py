@@ -80,9 +80,7 @@ regr_slope(y, date_diff('day', DATE '1970-01-01', ds)) AS b, regr_intercept(y, d
 {r('(y - mean) / sd')} AS zscore, {r('(y - lo) / (hi - lo)')} AS minmax, {r("y - (a + b * date_diff('day', DATE '1970-01-01', ds))", 1)} AS detrend,
 {r('least(greatest(y, mean - 3 * sd), mean + 3 * sd)', 2)} AS clip_outliers FROM odf JOIN st USING (series) WINDOW w AS (PARTITION BY series ORDER BY ds)""")
 def f6(spark, sf):
-    d = stored_order_days(spark, sf)
-    for name in sc.TRANSFORMS:
-        d = sc.transform(d, name, "y", "ds", BY, out=name)
+    d = sc.transforms(stored_order_days(spark, sf), {n: n for n in sc.TRANSFORMS}, "y", "ds", BY)
     digits = {"zscore": 4, "minmax": 4, "detrend": 1}
     return d.select("series", "ds", *[rnd(n, digits.get(n, 2)).alias(n) for n in sc.TRANSFORMS])
 

@@ -2,7 +2,7 @@
 
 A series' normal equations are sums of products.  They are formed by one grouped aggregate
 with map-side combination, so the length of a series never matters; what reaches Python is one
-row of p*p numbers per series (and fold).
+row of p*p numbers per series (and fold), as Arrow batches.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 import sys
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,13 +107,14 @@ class LinearForecaster:
         g = gram(train, xs, y, by)
         p, pen, a, l1 = len(xs) + 2, self.penalty, self.alpha, self.l1_ratio
 
-        def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b[list(by)].assign(coef=[solve_gram(np.asarray(v, float), p, pen, a, l1).tolist()
-                                               for v in b["__g"]])
+                coef = [solve_gram(np.asarray(v, float), p, pen, a, l1).tolist() for v in b.column("__g").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[b.column(k) for k in by], pa.array(coef, pa.list_(pa.float64()))],
+                                                 names=[*by, "coef"])
 
         keys = ", ".join(f"`{c}` {g.schema[c].dataType.simpleString()}" for c in by)
-        return g.mapInPandas(solve, (keys + ", " if keys else "") + "coef array<double>")
+        return g.mapInArrow(solve, (keys + ", " if keys else "") + "coef array<double>")
 
     @staticmethod
     def predict(coef: DataFrame, future: DataFrame, xs: Sequence[str], by: Sequence[str],

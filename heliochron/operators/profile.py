@@ -29,14 +29,14 @@ def text_columns(df: DataFrame) -> list[str]:
 
 def _sample_skew(c: Column) -> Column:
     n, sd = F.count(c), F.stddev_pop(c)
-    g1 = F.when(sd > 0, F.skewness(c))
+    g1 = F.when(sd > 0, F.skewness(c)).otherwise(F.lit(0.0))  # a constant has no skew
     return F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2))
 
 
 def _sample_kurtosis(c: Column) -> Column:
     n, sd = F.count(c), F.stddev_pop(c)
-    g2 = F.when(sd > 0, F.kurtosis(c))
-    return F.when(n > 3, ((n + 1) * g2 + 6) * (n - 1) / F.when(n > 3, (n - 2) * (n - 3)))
+    k = ((n + 1) * F.kurtosis(c) + 6) * (n - 1) / F.when(n > 3, (n - 2) * (n - 3))
+    return F.when(n > 3, F.when(sd > 0, k).otherwise(F.lit(0.0)))
 
 
 def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = (),

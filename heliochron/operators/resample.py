@@ -47,8 +47,9 @@ def spine_between(bounds: DataFrame, start: str, end: str, step: str, out: str =
 def resample(df: DataFrame, ts: str, step: str, aggs: Mapping[str, str], by: Sequence[str] = (),
              full: bool = True) -> DataFrame:
     """One row per series and step; with ``full`` also the steps without rows, where a sum or
-    count is 0 and anything else is missing."""
-    g = df.groupBy(*by, floor_time(F.col(ts), step).alias(ts)).agg(
+    count is 0 and anything else is missing.  Rows without a time are left out; times far off
+    should be repaired first, as ``full`` opens the gap to them."""
+    g = df.where(F.col(ts).isNotNull()).groupBy(*by, floor_time(F.col(ts), step).alias(ts)).agg(
         *[AGGREGATES[f](F.col(f"`{c}`")).alias(c) for c, f in aggs.items()])
     if full:
         g = complete(g, ts, step, by)
@@ -164,6 +165,7 @@ def daily_stats(df: DataFrame, ts: str, spec: Sequence[tuple[str, str, str]], by
     is a known bound on the table's rows; without it they are counted when percentiles are
     asked for.
     """
+    df = df.where(F.col(ts).isNotNull())
     day = floor_time(F.col(ts), "day").alias("date")
     of_day = F.count(F.lit(1))
     want = [s for s in spec if s[2] in QUANTILES]

@@ -145,20 +145,25 @@ def _position(ts: str) -> Column:
 def transform(df: DataFrame, name: str, y: str, ts: str, by: Sequence[str] = (), out: str | None = None,
               m: int = 7) -> DataFrame:
     """One of ``TRANSFORMS`` on a daily series."""
-    out = out or f"{y}_{name}"
-    v = F.col(y)
-    if name in ("difference", "seasonal_difference"):
-        n = 1 if name == "difference" else m
-        return df.select("*", (v - F.lag(v, n).over(series_window(by, ts))).alias(out))
-    d = _attach(df, series_stats(df, y, ts, by), by)
+    return transforms(df, {name: out or f"{y}_{name}"}, y, ts, by, m)
+
+
+def transforms(df: DataFrame, names: dict[str, str], y: str, ts: str, by: Sequence[str] = (),
+               m: int = 7) -> DataFrame:
+    """Several transforms at once (name to output column): one join of the series' numbers."""
+    v, w = F.col(y), series_window(by, ts)
+    lagged = {"difference": 1, "seasonal_difference": m}
+    d = df
+    if set(names) - set(lagged):
+        d = _attach(df, series_stats(df, y, ts, by), by)
     mean, sd = F.col("__mean"), F.col("__sd")
-    e = {
+    e = {n: v - F.lag(v, k).over(w) for n, k in lagged.items()} | {
         "zscore": F.try_divide(v - mean, sd),
         "minmax": F.try_divide(v - F.col("__min"), F.col("__max") - F.col("__min")),
         "detrend": v - (F.col("__icpt") + F.col("__slope") * _position(ts)),
         "clip_outliers": F.when(v > mean + 3 * sd, mean + 3 * sd).when(v < mean - 3 * sd, mean - 3 * sd).otherwise(v),
-    }[name]
-    return d.select(*df.columns, e.alias(out))
+    }
+    return d.select(*df.columns, *[e[n].alias(out) for n, out in names.items()])
 
 
 def inverse(df: DataFrame, name: str, z: str, stats: DataFrame, ts: str, by: Sequence[str] = (),
