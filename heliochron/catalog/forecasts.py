@@ -12,6 +12,7 @@ from ..forecast.smoothing import ALPHAS, forecast_smoothing
 from ..operators import features as fe
 from ..plans.forecast_scores import backtest_days
 from .base import AOD, ED, EH, LD, ODF, all_order_days, event_days, event_hours, line_days, order_days, stored_order_days, query, r, rnd
+from .elimination import datepart_future_sql, datepart_sql, window_sql
 from .scoring import rounded, score_sql
 
 BY = ["series"]
@@ -72,29 +73,29 @@ def g2_trend(spark, sf):
     return d.select("series", "ds", rnd("yhat", 0).alias("yhat"))
 
 
-@query("g2_datepart_regression")
+@query("g2_datepart_regression", datepart_sql(ODF, 0.0))
 def g2(spark, sf):
     train, test = _cut(spark, sf)
-    return fit_predict_datepart(train, test, "y", "ds", BY).select("series", "ds", rnd("yhat", 2).alias("yhat"))
+    return fit_predict_datepart(train, test, "y", "ds", BY).select("series", "ds", rnd("yhat", 0).alias("yhat"))
 
 
 def _penalty(name, alpha):
     def f(spark, sf):
         train, test = _cut(spark, sf)
-        return fit_predict_datepart(train, test, "y", "ds", BY, LinearForecaster(name, alpha)).select("series", "ds", rnd("yhat", 2).alias("yhat"))
+        return fit_predict_datepart(train, test, "y", "ds", BY, LinearForecaster(name, alpha)).select("series", "ds", rnd("yhat", 0).alias("yhat"))
     return f
 
 
-query("g2_ridge")(_penalty("ridge", 0.1))
+query("g2_ridge", datepart_sql(ODF, 0.1))(_penalty("ridge", 0.1))
 query("g2_lasso")(_penalty("lasso", 1000.0))
 query("g2_elastic_net")(_penalty("elasticnet", 100.0))
 
 
-@query("g3_window_regression")
+@query("g3_window_regression", window_sql(ODF, 0.001, 30, (0, 1, 6, 7, 13, 27), (7, 28)))
 def g3(spark, sf):
     d = fe.mark_holdout(stored_order_days(spark, sf), "ds", 30, BY)
     p = fit_predict_window(d, ~F.col("is_test"), "y", "ds", BY, 30)
-    return p.select("series", "ds", rnd("yhat", 2).alias("yhat"))
+    return p.select("series", "ds", rnd("yhat", 0).alias("yhat"))
 
 
 def _trees(kind, **params):
@@ -266,14 +267,14 @@ def g14(spark, sf):
     return d.select("series", "ds", rnd("yhat", 2).alias("yhat"))
 
 
-@query("g15_forecast_future")
+@query("g15_forecast_future", datepart_future_sql(ODF, 0.01, 60))
 def g15(spark, sf):
     """Date-part regression fitted on every row, then the 60 days after the last."""
     from ..forecast.baselines import future_spine
     d = stored_order_days(spark, sf)
     f = fit_predict_datepart(d, future_spine(d, "ds", 60, BY), "y", "ds", BY, LinearForecaster("ridge", 0.01))
     from ..operators.scaling import clip_zero
-    return f.select("series", "lead", "ds", rnd(clip_zero(F.col("yhat")), 2).alias("yhat"))
+    return f.select("series", "lead", "ds", rnd(clip_zero(F.col("yhat")), 0).alias("yhat"))
 
 
 @query("g6_year_ahead_total", f"""WITH {ODF}, nx AS ({_NEXT}), f AS (SELECT series, last, CAST(unnest(generate_series(1, 365)) AS INTEGER) AS lead FROM nx)
