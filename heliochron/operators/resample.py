@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.circular import directions_from_sums, sector_index, sector_name, sector_sums
 from ..functions.times import floor_time, micros, step_interval
-from ..session import union_all
+from ..session import cut_lineage, union_all
 from .ordered import CHUNK, chunk_by_number, join_keys, series_window
 from .quantile import (ROWS_IN_ONE_TASK, exact_percentiles, levels_for, percentiles_of_counts,
                        range_bounds)
@@ -127,7 +127,11 @@ def step_median(df: DataFrame, ts: str, by: Sequence[str] = (), chunk_seconds: i
     v, n = F.col("value"), F.col("freq")
     known = F.when(v.isNotNull(), n)
     shape = [F.min(v).alias("least_step"), F.max(v).alias("greatest_step"), F.coalesce(F.sum(known), F.lit(0)).alias("steps")]
-    levels = levels_for(df.count(), limit)
+    levels = 0
+    if df.count() > limit:
+        # there are far fewer distinct steps than rows: store them once, then go by their number
+        steps = cut_lineage(steps)
+        levels = levels_for(steps.count(), limit)
     if not levels:
         return steps.groupBy(*by).agg(F.percentile(v, F.lit(0.5), n).alias("median_step_seconds"), *shape)
     real = steps.where(v.isNotNull())
