@@ -61,7 +61,7 @@ def a3(spark, sf):
                     rnd("P").alias("P"), "T2m")
 
 
-@query("a4_preamble_metadata", """SELECT event_type, 24.148 AS latitude, 120.703 AS longitude, CAST(12 AS INTEGER) AS months,
+@query("a4_preamble_metadata", """SELECT event_type, 24.148::DOUBLE AS latitude, 120.703::DOUBLE AS longitude, CAST(12 AS INTEGER) AS months,
 CAST(2004 + 7 AS INTEGER) AS january, CAST(2004 AS INTEGER) + CAST((12 * 7) % 13 AS INTEGER) AS december FROM events GROUP BY 1""")
 def a4(spark, sf):
     m = src.read_preamble_meta(spark, _preamble_files(spark, sf)).where("latitude IS NOT NULL")
