@@ -43,3 +43,24 @@ def token_files(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     write_tokens(documents(spark, sf), path, vocabulary("word_bpe_49k.json"), end_id=1)
     return read_tokens(spark, path, with_ids=False)
+
+
+@query("op8_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .simhash import near_duplicates
+    found = near_duplicates(documents(spark, sf), shingle=3, budget=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op10_exact_dedup", """WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
+  doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256 FROM d""")
+def exact_dedup_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .common import stored
+    from .exact import decide, digests
+    decided = decide(stored(digests(documents(spark, sf)), "digests"))
+    return decided.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
