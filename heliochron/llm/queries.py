@@ -64,3 +64,9 @@ def exact_dedup_decisions(spark: SparkSession, sf: str) -> DataFrame:
     from .exact import decide, digests
     decided = decide(stored(digests(documents(spark, sf)), "digests"))
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+@query("op6_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from .suffix import repeat_digests
+    return repeat_digests(documents(spark, sf), 100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
