@@ -70,3 +70,9 @@ def exact_dedup_decisions(spark: SparkSession, sf: str) -> DataFrame:
 def suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from .suffix import repeat_digests
     return repeat_digests(documents(spark, sf), 100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op4_license_scan")
+def license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    from .licenses import scan
+    return scan(documents(spark, sf)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
