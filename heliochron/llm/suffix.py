@@ -60,26 +60,26 @@ def distances(v: int = V) -> np.ndarray:
 
 
 class SuffixOrder:
-    """Order of suffixes of a byte text, exact to at least ``depth`` bytes.
+    """Order of the suffixes of a byte text; what lies behind its end comes before everything else.
 
     Holds the text as 8-byte words and the ranks of the sampled places; buckets are sorted on demand.
     """
 
-    def __init__(self, text: np.ndarray, depth: int, v: int = V):
+    def __init__(self, text: np.ndarray, v: int = V):
         self.v, self.n = v, len(text)
-        padded = np.concatenate([text, np.zeros(4 * v + depth + 16, np.uint8)]).astype(np.uint64)
-        w = padded
+        w = np.concatenate([text, np.zeros(4 * v + 16, np.uint8)]).astype(np.uint64)
         for m in (1, 2, 4):  # big-endian words of 2, 4, 8 bytes
             w = (w[:-m] << np.uint64(8 * m)) | w[m:]
         self.words, self.apart = w, distances(v)
         inside = np.zeros(v, bool)
         inside[cover(v)] = True
-        sample = np.flatnonzero(inside[np.arange(self.n + v) % v])  # a period more: distances lead past the end
-        rank = self._ranks([self.words[sample + k] for k in range(0, v, 8)])
-        self.rank, reach = np.zeros(self.n + 3 * v + depth, np.int64), v
-        while reach < depth and rank.max(initial=0) + 1 < len(sample):
-            self.rank[sample] = rank + 1  # what begins behind the end comes first
-            rank = self._ranks([rank, self.rank[np.minimum(sample + reach, len(self.rank) - 1)]])
+        sample = np.flatnonzero(inside[np.arange(self.n) % v])
+        rank, reach = self._ranks([self.words[sample + k] for k in range(0, v, 8)]), v
+        self.rank = np.zeros(self.n + 2 * v, np.int64)
+        # The place ``reach`` further on is sampled too: ranks of twice the length come from pairs.
+        while reach < self.n and rank.max(initial=0) + 1 < len(sample):
+            self.rank[sample] = rank + 1
+            rank = self._ranks([rank, self.rank[np.minimum(sample + reach, self.n)]])
             reach *= 2
         self.rank[sample] = rank + 1
 
@@ -138,7 +138,7 @@ class SuffixOrder:
 
 def repeated(text: np.ndarray, places: np.ndarray, width: int, bucket: int = 1 << 18) -> np.ndarray:
     """For increasing places: whether the ``width`` bytes there also stand at an earlier one of the places."""
-    order = SuffixOrder(text, width)
+    order = SuffixOrder(text)
     first = order.words[places]
     cuts = np.unique(np.sort(first[:: max(1, len(first) // 4096)])[:: max(1, 4096 * bucket // max(1, len(first)))]) if len(first) > bucket else first[:0]
     which = np.searchsorted(cuts, first, "right")
