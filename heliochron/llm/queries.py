@@ -76,3 +76,19 @@ def suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def license_scan(spark: SparkSession, sf: str) -> DataFrame:
     from .licenses import scan
     return scan(documents(spark, sf)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def labels(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/labels.parquet")
+
+
+@query("op5_quality_classifier")
+def quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    from .quality import classify
+    return classify(documents(spark, sf), labels(spark, sf), sample=8_000)
+
+
+@query("op7_quality_rules")
+def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    from .rules import judge
+    return judge(documents(spark, sf), labels(spark, sf), sample=20_000)
