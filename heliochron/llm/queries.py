@@ -92,3 +92,9 @@ def quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     from .rules import judge
     return judge(documents(spark, sf), labels(spark, sf), sample=20_000)
+
+
+@query("op9_language_id")
+def language_id(spark: SparkSession, sf: str) -> DataFrame:
+    from .language import identify
+    return identify(documents(spark, sf), sample=20_000)
