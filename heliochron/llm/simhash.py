@@ -120,17 +120,43 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[rest], nodes[label[rest]]
 
 
+def batched(links, size: int):
+    """Lists of pairs of arrays with about ``size`` links each."""
+    out, held = [], 0
+    for pair in links:
+        out.append(pair)
+        held += len(pair[0])
+        if held >= size:
+            yield out
+            out, held = [], 0
+    if out:
+        yield out
+
+
 def _children(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
     """Where in each range the first value with bit ``depth`` (from the top) set stands."""
     shift = np.uint64(63 - depth)
     return np.searchsorted(values, ((values[lo] >> shift) | np.uint64(1)) << shift).clip(lo, hi)
 
 
-def walk(a: np.ndarray, b: np.ndarray, depth: int, errors: int, budget: int, same: bool, brute: int = 64, width: int = 1 << 18):
+def _compare(a, b, alo, na, blo, nb, budget, same):
+    """Links between the values of small node pairs."""
+    counts = na * nb
+    k = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    p = np.repeat(np.arange(len(counts)), counts)
+    i, j = alo[p] + k // nb[p], blo[p] + k % nb[p]
+    near = np.bitwise_count(a[i] ^ b[j]) <= budget
+    near &= a[i] < b[j] if same else a[i] != b[j]
+    if near.any():
+        yield a[i[near]], b[j[near]]
+
+
+def walk(a: np.ndarray, b: np.ndarray, depth: int, errors: int, budget: int, same: bool, brute: int = 64, width: int = 1 << 16, expand: int = 1 << 20):
     """Links (x, y) between sorted values of two nodes that differ in at most ``budget`` bits.
 
     Yields arrays.  ``errors`` bits of the prefixes differ already; ``same``: both nodes are one node.
-    At most about ``width`` node pairs are walked down at a time, depth first over the rest.
+    At most about ``width`` node pairs are walked down at a time, depth first over the rest, and about
+    ``expand`` pairs of values compared.
     """
     one = lambda v: np.array([v], np.int64)
     stack = [(depth, one(0), one(len(a)), one(0), one(len(b)), one(errors))]
@@ -143,14 +169,10 @@ def walk(a: np.ndarray, b: np.ndarray, depth: int, errors: int, budget: int, sam
         na, nb = ahi - alo, bhi - blo
         small = (na * nb <= brute) | (d >= 64)
         if small.any():
-            s, counts = np.flatnonzero(small), (na * nb)[small]
-            k = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            p = np.repeat(s, counts)
-            i, j = alo[p] + k // nb[p], blo[p] + k % nb[p]
-            near = np.bitwise_count(a[i] ^ b[j]) <= budget
-            near &= a[i] < b[j] if same else a[i] != b[j]
-            if near.any():
-                yield a[i[near]], b[j[near]]
+            own_pairs = np.flatnonzero(small)
+            upto = np.cumsum((na * nb)[own_pairs])
+            for part in np.split(own_pairs, np.flatnonzero(np.diff(upto // expand)) + 1):
+                yield from _compare(a, b, alo[part], na[part], blo[part], nb[part], budget, same)
         keep = ~small
         if not keep.any():
             continue
@@ -183,8 +205,9 @@ def links(fps: DataFrame, budget: int = 2, leaf: int = LEAF) -> DataFrame:
         depth, a, b, errors = (table.column(c)[0].as_py() for c in ("depth", "a", "b", "errors"))
         fp, node = (table.column(c).to_numpy() for c in ("fp", "node"))
         left, right = (np.sort(fp[node == x].view(np.uint64)) for x in (a, b))
-        found = list(walk(left, right, depth, errors, budget, a == b))
-        x, y = forest(*(np.concatenate(v) for v in zip(*found))) if found else (np.zeros(0, np.uint64),) * 2
+        x = y = np.zeros(0, np.uint64)
+        for some in batched(walk(left, right, depth, errors, budget, a == b), 1 << 20):
+            x, y = forest(*(np.concatenate(v) for v in zip((x, y), *some)))
         return pa.table({"a": x.view(np.int64), "b": y.view(np.int64)})
     return dealt.groupBy("pair").applyInArrow(join, "a long, b long")
 
