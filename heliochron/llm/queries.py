@@ -98,3 +98,10 @@ def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 def language_id(spark: SparkSession, sf: str) -> DataFrame:
     from .language import identify
     return identify(documents(spark, sf), sample=20_000)
+
+
+@query("op3_bpe_chunk_reuse")
+def bpe_chunk_reuse(spark: SparkSession, sf: str) -> DataFrame:
+    from .bpe import decode_documents, encode_documents
+    path = vocabulary("byte_bpe_50k.json")
+    return decode_documents(encode_documents(documents(spark, sf), path), path).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
