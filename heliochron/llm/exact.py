@@ -19,9 +19,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, by_position, partitions, position, stored, texts_of
+from .common import ascii_lower, by_position, position, stored, texts_of
 
 HEAVY = 512
+GROUPS = 16
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def candidates(keys: DataFrame, heavy: int = HEAVY) -> DataFrame:
     A summary of c counters misses no key above 3.5 / c of its rows, here less than half the share asked
     for; of the keys it counts, fewer than 4 * heavy can reach that share.
     """
-    group = F.pmod(F.spark_partition_id(), F.lit(max(1, partitions(keys) // 4)))
+    group = F.pmod(F.spark_partition_id(), F.lit(GROUPS))
     top = (keys.select("digest", group.alias("g")).groupBy("g")
            .agg(F.expr(f"approx_top_k(digest, {4 * heavy}, {8 * heavy})").alias("t")))
     return top.select(F.explode("t.item").alias("digest")).distinct()
@@ -44,7 +45,8 @@ def candidates(keys: DataFrame, heavy: int = HEAVY) -> DataFrame:
 def frequent(keys: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """(digest, keep_id, group_size) of the digests with at least ``1 / heavy`` of all rows: at most ``heavy`` rows."""
     share = keys.agg(F.count("*")).first()[0] / heavy
-    counted = keys.join(candidates(keys, heavy), "digest", "left_semi").groupBy("digest").agg(
+    some = F.broadcast(candidates(keys, heavy))  # at most GROUPS * 4 * heavy digests
+    counted = keys.join(some, "digest", "left_semi").groupBy("digest").agg(
         F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     return counted.where(F.col("group_size") >= max(2.0, share))
 
