@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, rows_of, stored, texts_of
+from .common import by_position, position, rows_of, stored, texts_of
 from .graph import components
 
 STEP = 4
@@ -68,10 +68,11 @@ def _prefix(fp, bits: int):
     return F.lit(0).cast("long") if bits == 0 else F.shiftrightunsigned(fp, 64 - bits)
 
 
-def node_pairs(fps: DataFrame, budget: int, leaf: int = LEAF, step: int = STEP) -> DataFrame:
+def node_pairs(fps: DataFrame, budget: int, leaf: int = LEAF, step: int = STEP, counted: int = 64) -> DataFrame:
     """(depth, a, b, errors): node pairs within the budget whose nodes are small enough for one task, each pair once.
 
-    ``fps`` has different values.  A node at the last depth is one fingerprint.
+    ``fps`` has different values.  A node at the last depth is one fingerprint.  Bits behind the first
+    ``counted`` only split nodes and cost no error.
     """
     spark = fps.sparkSession
     n = fps.count()
@@ -87,7 +88,7 @@ def node_pairs(fps: DataFrame, budget: int, leaf: int = LEAF, step: int = STEP)
                  .withColumn("up", F.shiftrightunsigned("c", step)))
         child = stored(child, "trie-nodes")
         ca, cb = child.toDF("ca", "nca", "a"), child.toDF("cb", "ncb", "b")
-        errors = F.col("errors") + F.bit_count(F.col("ca").bitwiseXOR(F.col("cb")).bitwiseAND(F.lit((1 << step) - 1)))
+        errors = F.col("errors") + F.lit(int(depth < counted)) * F.bit_count(F.col("ca").bitwiseXOR(F.col("cb")).bitwiseAND(F.lit((1 << step) - 1)))
         open_ = (large.join(ca, "a").join(cb, "b").where((F.col("a") != F.col("b")) | (F.col("ca") <= F.col("cb")))
                  .select(F.col("ca").alias("a"), F.col("cb").alias("b"), errors.cast("int").alias("errors"), F.col("nca").alias("na"), F.col("ncb").alias("nb"))
                  .where(F.col("errors") <= budget))
@@ -139,26 +140,28 @@ def _children(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) ->
     return np.searchsorted(values, ((values[lo] >> shift) | np.uint64(1)) << shift).clip(lo, hi)
 
 
-def _compare(a, b, alo, na, blo, nb, budget, same):
-    """Links between the values of small node pairs."""
+def _compare(a, b, alo, na, blo, nb, budget, same, mask):
+    """Numbers (i, j) of values of small node pairs that are near enough."""
     counts = na * nb
     k = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     p = np.repeat(np.arange(len(counts)), counts)
     i, j = alo[p] + k // nb[p], blo[p] + k % nb[p]
-    near = np.bitwise_count(a[i] ^ b[j]) <= budget
-    near &= a[i] < b[j] if same else a[i] != b[j]
+    near = np.bitwise_count((a[i] ^ b[j]) & mask) <= budget
+    if same:
+        near &= i < j
     if near.any():
-        yield a[i[near]], b[j[near]]
+        yield i[near], j[near]
 
 
-def walk(a: np.ndarray, b: np.ndarray, depth: int, errors: int, budget: int, same: bool, brute: int = 64, width: int = 1 << 16, expand: int = 1 << 20):
-    """Links (x, y) between sorted values of two nodes that differ in at most ``budget`` bits.
+def walk(a: np.ndarray, b: np.ndarray, depth: int, errors: int, budget: int, same: bool, brute: int = 64, width: int = 1 << 16, expand: int = 1 << 20, counted: int = 64):
+    """Numbers (i, j) of sorted values of two nodes that differ in at most ``budget`` of the first ``counted`` bits.
 
     Yields arrays.  ``errors`` bits of the prefixes differ already; ``same``: both nodes are one node.
     At most about ``width`` node pairs are walked down at a time, depth first over the rest, and about
     ``expand`` pairs of values compared.
     """
     one = lambda v: np.array([v], np.int64)
+    mask = np.uint64((1 << 64) - (1 << (64 - counted)))
     stack = [(depth, one(0), one(len(a)), one(0), one(len(b)), one(errors))]
     while stack:
         d, alo, ahi, blo, bhi, err = stack.pop()
@@ -167,12 +170,12 @@ def walk(a: np.ndarray, b: np.ndarray, depth: int, errors: int, budget: int, sam
             stack += [(d, *(v[:half] for v in (alo, ahi, blo, bhi, err))), (d, *(v[half:] for v in (alo, ahi, blo, bhi, err)))]
             continue
         na, nb = ahi - alo, bhi - blo
-        small = (na * nb <= brute) | (d >= 64)
+        small = (na * nb <= brute) | (d >= counted)
         if small.any():
             own_pairs = np.flatnonzero(small)
             upto = np.cumsum((na * nb)[own_pairs])
             for part in np.split(own_pairs, np.flatnonzero(np.diff(upto // expand)) + 1):
-                yield from _compare(a, b, alo[part], na[part], blo[part], nb[part], budget, same)
+                yield from _compare(a, b, alo[part], na[part], blo[part], nb[part], budget, same, mask)
         keep = ~small
         if not keep.any():
             continue
@@ -190,24 +193,38 @@ def walk(a: np.ndarray, b: np.ndarray, depth: int, errors: int, budget: int, sam
             stack.append((d + 1, *merged))
 
 
-def links(fps: DataFrame, budget: int = 2, leaf: int = LEAF) -> DataFrame:
-    """(a, b): links between different fingerprints (column ``fp``, values distinct) that connect all
-    pairs within ``budget`` differing bits, directly or through others."""
-    pairs = stored(node_pairs(fps, budget, leaf).withColumn("pair", F.xxhash64("depth", "a", "b")), "trie-leaves")
+def links(fps: DataFrame, budget: int = 2, leaf: int = LEAF, counted: int = 64, far: int | None = None) -> DataFrame:
+    """(a, b): links that connect, directly or through others, all pairs of different values of ``fp``
+    that differ in at most ``budget`` of their first ``counted`` bits.
+
+    With ``far``, rows are (fp, node, sketch): pairs also need sketches that differ in ``far`` bits at most, and
+    links are between nodes.
+    """
+    pairs = stored(node_pairs(fps, budget, leaf, counted=counted).withColumn("pair", F.xxhash64("depth", "a", "b")), "trie-leaves")
     depths = [r[0] for r in pairs.select("depth").distinct().collect()]  # at most 64 / STEP + 1
-    sides = pairs.select("pair", "depth", "a", "b", "errors", F.explode(F.expr("IF(a = b, array(a), array(a, b))")).alias("node"))
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.col("fp"), d).alias("node")) for d in depths] or
-                                               [F.struct(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("node"))])).alias("k")).select("fp", "k.*")
-    dealt = keyed.join(sides, ["depth", "node"]).select("pair", "depth", "a", "b", "errors", "node", "fp")
+    sides = pairs.select("pair", "depth", "a", "b", "errors", F.explode(F.expr("IF(a = b, array(a), array(a, b))")).alias("at"))
+    own = ["fp"] if far is None else ["fp", "node", "sketch"]
+    keyed = fps.select(*own, F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.col("fp"), d).alias("at")) for d in depths or [0]])).alias("k")).select(*own, "k.*")
+    dealt = keyed.join(sides, ["depth", "at"]).select("pair", "depth", "a", "b", "errors", "at", *own)
 
     def join(table):
         import pyarrow as pa
         depth, a, b, errors = (table.column(c)[0].as_py() for c in ("depth", "a", "b", "errors"))
-        fp, node = (table.column(c).to_numpy() for c in ("fp", "node"))
-        left, right = (np.sort(fp[node == x].view(np.uint64)) for x in (a, b))
+        fp, at = (table.column(c).to_numpy() for c in ("fp", "at"))
+        fp = fp.view(np.uint64)
+        left, right = ((rows := np.flatnonzero(at == x))[np.argsort(fp[rows], kind="stable")] for x in (a, b))
+        if far is None:
+            name = fp
+        else:
+            name = table.column("node").to_numpy().view(np.uint64)
+            bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(fp), -1)
         x = y = np.zeros(0, np.uint64)
-        for some in batched(walk(left, right, depth, errors, budget, a == b), 1 << 20):
-            x, y = forest(*(np.concatenate(v) for v in zip((x, y), *some)))
+        found = walk(fp[left], fp[right], depth, errors, budget, a == b, counted=counted)
+        found = ((left[i], right[j]) for i, j in found)
+        if far is not None:
+            found = ((i[ok], j[ok]) for i, j in found for ok in [np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= far])
+        for some in batched(found, 1 << 20):
+            x, y = forest(*(np.concatenate(v) for v in zip((x, y), *((name[i], name[j]) for i, j in some))))
         return pa.table({"a": x.view(np.int64), "b": y.view(np.int64)})
     return dealt.groupBy("pair").applyInArrow(join, "a long, b long")
 
@@ -230,3 +247,80 @@ def named(own: DataFrame, budget: int, leaf: int = LEAF) -> DataFrame:
     rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rooted.join(names, "root").select("fp", "component_id")
+
+
+# ---- near copies by estimated similarity ---------------------------------------------------------
+
+WORDS = 5
+TABLES = 4
+FAR = 46
+
+
+def sketch(text: str, words: int = WORDS) -> tuple[bytes, list[int]]:
+    """(256 bits over the different shingles of ``words`` words, TABLES keys of 32 bits over those of two words).
+
+    Two sets that share a part J of their union differ in about 256 * acos(2J / (1 + J)) / pi bits: 39 at 0.8, 43 at
+    0.76, 128 if they have nothing in common.
+    """
+    from xxhash import xxh64_intdigest
+    found = text.encode("utf-8", "surrogatepass").lower().split()
+
+    def bits(size: int, n: int) -> bytes:
+        if not found:
+            return bytes(8 * n)
+        runs = map(b" ".join, zip(*(found[i:] for i in range(size)))) if len(found) >= size else [b" ".join(found)]
+        h = np.unique(np.array([xxh64_intdigest(s, 42) for s in runs], np.uint64))
+        out = []
+        for k in range(n):
+            ones = np.zeros(64, np.int64)
+            v = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & (1 << 64) - 1)
+            v ^= v >> np.uint64(32)
+            for at in range(0, len(v), 1 << 16):
+                ones += np.unpackbits(v[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            out.append(np.packbits(ones * 2 > len(v), bitorder="little").tobytes())
+        return b"".join(out)
+    return bits(words, 4), np.frombuffer(bits(2, TABLES // 2), np.uint32).tolist()
+
+
+def drop_near_copies(docs: DataFrame, far: int = FAR, budget: int = 3, leaf: int = LEAF) -> DataFrame:
+    """The documents with one of each group of near copies left, the one of the smallest id; columns as they came.
+
+    Near copies share 0.8 or more of their five-word shingles, as estimated by 256 SimHash bits (``far`` of them may
+    differ; the bound lies 7 bits, more than one deviation, above the mean at 0.8).  Candidates are found by trie self-joins
+    over TABLES keys of 32 bits, ``budget`` of which may differ; two-word shingles make these keys, since they change
+    least between copies.  Groups are what links connect.  Rows that repeat id and text stay or go together.
+    """
+    texts = texts_of(docs).withColumn("th", F.xxhash64("text"))
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+        out = []
+
+        def batch():
+            cols = list(zip(*out)) if out else [[]] * 4
+            made = pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.int64()), pa.array(list(cols[1]), pa.int64()), pa.array(list(cols[2]), pa.binary()),
+                                               pa.array(list(cols[3]), pa.list_(pa.int64()))], ["doc_id", "th", "sketch", "keys"])
+            out.clear()
+            return made
+        for doc_id, text, th in rows_of(batches, "doc_id", "text", "th"):
+            out.append((doc_id, th, *sketch(text)))
+            if len(out) == 5000:
+                yield batch()
+        yield batch()
+    own = stored(texts.mapInArrow(run, "doc_id long, th long, sketch binary, keys array<long>").withColumn("node", F.xxhash64("sketch")), "sketches")
+    nodes = stored(own.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "distinct-sketches")
+    edges = None
+    for t in range(TABLES):
+        fp = F.shiftleft(F.col("keys")[t], 32).bitwiseOR(F.col("node").bitwiseAND(F.lit(0xFFFFFFFF)))
+        some = stored(links(nodes.select(fp.alias("fp"), "node", "sketch"), budget, leaf, counted=32, far=far), "near-links")
+        edges = some if edges is None else edges.unionByName(some)
+    roots = components(edges)
+    grouped = own.join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
+    grouped = stored(grouped, "near-groups")
+    best = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("best"), F.count("*").alias("n")).where("n > 1")
+    losers = (grouped.join(best, "root").where(~F.col("best").eqNullSafe(F.struct("doc_id", "th")))
+              .select(F.col("doc_id").alias("id_"), F.col("th").alias("digest_")).distinct())
+    flat = by_position(docs).withColumns({"i_": F.col(position(docs, "doc_id")).cast("long"),
+                                          "t_": F.xxhash64(F.coalesce(F.col(position(docs, "text")).cast("string"), F.lit("")))})
+    left = flat.join(losers, (flat["t_"] == losers["digest_"]) & flat["i_"].eqNullSafe(losers["id_"]), "left_anti")
+    return left.drop("i_", "t_").toDF(*docs.columns)

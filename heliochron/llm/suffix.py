@@ -306,7 +306,7 @@ def removals(texts: DataFrame, width: int = 100) -> DataFrame:
 def cut(raw: bytes, ranges, width: int, characters: bool = False) -> tuple[bytes, int, int]:
     """(what is left, bytes removed, runs removed); ``characters``: keep characters that a range cuts in two."""
     edges: list[list[int]] = []
-    for s, n in sorted((r["s"], r["n"]) for r in ranges or ()):
+    for s, n in sorted((r["s"], r["n"]) for r in (() if ranges is None else ranges)):
         e = s + n + width - 1
         if edges and s <= edges[-1][1]:
             edges[-1][1] = max(edges[-1][1], e)
