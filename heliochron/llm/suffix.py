@@ -30,8 +30,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import spans
+from .anchors import K, leftmost_smallest, run_hashes, spans
 from .common import by_position, in_slices, partitions, position, rows_of, stored, texts_of
+from .tokens import pick_runs
 
 V = 64
 NO_ID = -1 << 63
@@ -60,12 +61,12 @@ def distances(v: int = V) -> np.ndarray:
 
 
 class SuffixOrder:
-    """Order of the suffixes of a byte text; what lies behind its end comes before everything else.
+    """Order of the suffixes of a byte text, right to at least ``depth`` bytes (all of them by default).
 
     Holds the text as 8-byte words and the ranks of the sampled places; buckets are sorted on demand.
     """
 
-    def __init__(self, text: np.ndarray, v: int = V):
+    def __init__(self, text: np.ndarray, depth: int | None = None, v: int = V):
         self.v, self.n = v, len(text)
         w = np.concatenate([text, np.zeros(4 * v + 16, np.uint8)]).astype(np.uint64)
         for m in (1, 2, 4):  # big-endian words of 2, 4, 8 bytes
@@ -74,71 +75,89 @@ class SuffixOrder:
         inside = np.zeros(v, bool)
         inside[cover(v)] = True
         sample = np.flatnonzero(inside[np.arange(self.n) % v])
-        rank, reach = self._ranks([self.words[sample + k] for k in range(0, v, 8)]), v
-        self.rank = np.zeros(self.n + 2 * v, np.int64)
+        order, tie = self._by_words(sample)
+        rank, reach = np.empty(len(sample), np.int64), v
+        rank[np.searchsorted(sample, order)] = np.cumsum(~tie)
+        self.rank = np.zeros(self.n + 2 * v, np.int64)  # what lies behind the end comes first
+        self.rank[sample] = rank
         # The place ``reach`` further on is sampled too: ranks of twice the length come from pairs.
-        while reach < self.n and rank.max(initial=0) + 1 < len(sample):
-            self.rank[sample] = rank + 1
-            rank = self._ranks([rank, self.rank[np.minimum(sample + reach, self.n)]])
+        while reach < min(self.n, depth or self.n) and rank.max(initial=0) < len(sample):
+            pair = [rank, self.rank[np.minimum(sample + reach, self.n)]]
+            order = np.lexsort(pair[::-1])
+            new = np.ones(len(order), np.int64)
+            new[1:] = (pair[0][order[1:]] != pair[0][order[:-1]]) | (pair[1][order[1:]] != pair[1][order[:-1]])
+            rank[order] = np.cumsum(new)
+            self.rank[sample] = rank
             reach *= 2
-        self.rank[sample] = rank + 1
-
-    @staticmethod
-    def _ranks(keys: list[np.ndarray]) -> np.ndarray:
-        order = np.lexsort(keys[::-1])
-        new = np.zeros(len(order), bool)
-        for k in keys:
-            new[1:] |= k[order[1:]] != k[order[:-1]]
-        out = np.empty(len(order), np.int64)
-        out[order] = np.cumsum(new)
-        return out
-
-    def sort(self, places: np.ndarray) -> np.ndarray:
-        """One bucket of suffixes in order."""
-        kind = places % self.v
-        keys = [self.words[places + k] for k in range(0, self.v, 8)]
-        own = self.rank[places + self.apart[kind, kind]]
-        order = np.lexsort([own, kind, *keys[::-1]])
-        places, kind = places[order], kind[order]
-        tie = np.ones(len(places), bool)
-        for k in keys:
-            k = k[order]
-            tie[1:] &= k[1:] == k[:-1]
-        tie[:1] = False
-        starts = np.flatnonzero(~tie)
-        mixed = np.zeros(len(places), bool)
-        mixed[1:] = tie[1:] & (kind[1:] != kind[:-1])
-        for g in np.unique(np.searchsorted(starts, np.flatnonzero(mixed), "right") - 1):
-            a, b = starts[g], starts[g + 1] if g + 1 < len(starts) else len(places)
-            places[a:b] = self._merge(places[a:b], kind[a:b])
-        return places
+
+    def _tied(self, places: np.ndarray, at: np.ndarray, offsets) -> np.ndarray:
+        """For numbers ``at`` of places: whether the words there are those of the place before."""
+        ok = np.ones(len(at), bool)
+        for k in offsets:
+            some = np.flatnonzero(ok)
+            ok[some] = self.words[places[at[some]] + k] == self.words[places[at[some] - 1] + k]
+        return ok
+
+    def _by_words(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places by their first v bytes, and whether each equals the one before in them.
+
+        Two words settle most; what they tie is sorted by the rest only where the rest differs.
+        """
+        places = places[np.lexsort([self.words[places + 8], self.words[places]])]
+        short = np.zeros(len(places), bool)
+        short[1:] = self._tied(places, np.arange(1, len(places)), (0, 8))
+        at, later = np.flatnonzero(short), range(16, self.v, 8)
+        tie = np.zeros(len(places), bool)
+        tie[at] = self._tied(places, at, later)
+        group = np.cumsum(~short) - 1
+        odd = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
+        odd[group[short & ~tie]] = True
+        rows = np.flatnonzero(odd[group])
+        if len(rows):
+            some = places[rows]
+            places[rows] = some[np.lexsort([*(self.words[some + k] for k in reversed(later)), group[rows]])]
+            again = rows[short[rows]]
+            tie[again] = self._tied(places, again, later)
+        return places, tie
+
+    def sort(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One bucket of suffixes in order, and whether each equals the one before in the first v bytes."""
+        places, tie = self._by_words(places)
+        joined = tie.copy()
+        joined[:-1] |= tie[1:]
+        rows = np.flatnonzero(joined)
+        some, group = places[rows], (np.cumsum(~tie) - 1)[rows]
+        kind = some % self.v
+        order = np.lexsort([self.rank[some + self.apart[kind, kind]], kind, group])
+        places[rows], kind = some[order], kind[order]
+        mixed = np.zeros(len(rows), bool)
+        mixed[1:] = (group[1:] == group[:-1]) & (kind[1:] != kind[:-1])
+        for g in np.unique(group[mixed]):
+            a, b = np.searchsorted(group, [g, g + 1])
+            places[rows[a:b]] = self._merge(places[rows[a:b]], kind[a:b])
+        return places, tie
 
     def _merge(self, places: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """Suffixes tied to V bytes, ordered within each place modulo V: each counts those of other kinds below it."""
+        """Suffixes tied to v bytes, ordered within each place modulo v: each counts those of other kinds below it."""
         cuts = np.flatnonzero(np.diff(kind)) + 1
         runs = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(places)]))
-        at = np.empty(len(places), np.int64)
+        below = np.empty(len(places), np.int64)
         for i, (a, b) in enumerate(runs):
-            at[a:b] = np.arange(b - a)
+            below[a:b] = np.arange(b - a)
             for j, (c, d) in enumerate(runs):
                 if i != j:
                     gap = self.apart[kind[a], kind[c]]
-                    at[a:b] += np.searchsorted(self.rank[places[c:d] + gap], self.rank[places[a:b] + gap], "left" if i < j else "right")
-        out = np.empty_like(places)
-        out[at] = places
-        return out
-
-    def same(self, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
-        """Whether the first ``width`` (8 or more) bytes at a and b agree."""
-        ok = np.ones(len(a), bool)
-        for k in [*range(0, width - 7, 8), width - 8]:
-            ok &= self.words[a + k] == self.words[b + k]
-        return ok
+                    below[a:b] += np.searchsorted(self.rank[places[c:d] + gap], self.rank[places[a:b] + gap], "left" if i < j else "right")
+        return places[np.argsort(below, kind="stable")]
+
+    def same(self, places: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        """For numbers ``at``, tied in their first v bytes: whether ``width`` bytes equal those of the place before."""
+        return self._tied(places, at, [*range(self.v, width - 7, 8), width - 8] if width > self.v else [])
 
 
 def repeated(text: np.ndarray, places: np.ndarray, width: int, bucket: int = 1 << 18) -> np.ndarray:
-    """For increasing places: whether the ``width`` bytes there also stand at an earlier one of the places."""
-    order = SuffixOrder(text)
+    """For increasing places: whether the ``width`` (V or more) bytes there also stand at an earlier one of the places."""
+    order = SuffixOrder(text, width)
     first = order.words[places]
     cuts = np.unique(np.sort(first[:: max(1, len(first) // 4096)])[:: max(1, 4096 * bucket // max(1, len(first)))]) if len(first) > bucket else first[:0]
     which = np.searchsorted(cuts, first, "right")
@@ -147,9 +166,10 @@ def repeated(text: np.ndarray, places: np.ndarray, width: int, bucket: int = 1 <
         own = places[which == k]
         if not len(own):
             continue
-        s = order.sort(own)
+        s, tie = order.sort(own)
         new = np.ones(len(s), bool)
-        new[1:] = ~order.same(s[1:], s[:-1], width)
+        at = np.flatnonzero(tie)
+        new[at] = ~order.same(s, at, width)
         earliest = np.minimum.reduceat(s, np.flatnonzero(new))[np.cumsum(new) - 1]
         out[np.searchsorted(places, s[s != earliest])] = True
     return out
@@ -269,11 +289,24 @@ def _borders(texts: DataFrame, open_: DataFrame, width: int, buckets: int) -> Da
     def settle(table):
         import pyarrow as pa
         rows = sorted(set(zip(*(table.column(c).to_pylist() for c in ("doc", "th", "s", "mine", "bytes")))))
-        text = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-        mine = np.concatenate([np.frombuffer(r[3] + bytes(width - 1), np.uint8) for r in rows])
+        # Anchors are put at multiples of V: equal windows then stand at equal places modulo V.
+        raw = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
+        sizes = np.array([len(r[4]) for r in rows], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        anchor = leftmost_smallest(run_hashes(raw), width - K + 1)[starts].astype(np.int64)
+        begins = np.empty(len(rows), np.int64)
+        gap = (-anchor) % V
+        at = 0
+        for i, (g, n) in enumerate(zip(gap.tolist(), sizes.tolist())):
+            begins[i] = at = at + (g - at) % V
+            at += n
+        ends = begins + sizes
+        text = np.zeros(int(ends[-1]), np.uint8)
+        text[pick_runs(begins, sizes)] = raw
+        mine = np.zeros(len(text), bool)
+        mine[pick_runs(begins, sizes - width + 1)] = np.frombuffer(b"".join(r[3] for r in rows), np.uint8) > 0
         places = np.flatnonzero(mine)
         hit = places[repeated(text, places, width)]
-        begins = np.cumsum([0] + [len(r[4]) for r in rows])[:-1]
         owner = np.searchsorted(begins, hit, "right") - 1
         start = np.ones(len(hit), bool)
         start[1:] = (np.diff(hit) != 1) | (np.diff(owner) != 0)
