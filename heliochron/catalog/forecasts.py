@@ -107,6 +107,23 @@ def _trees(kind, **params):
     return f
 
 
+# One split on the month: the cut with the least squared error, and the mean on either side of it.
+_STUMP = f"""WITH {AOD}, t AS (SELECT ds, month(ds) AS x, y FROM aod), c AS (SELECT DISTINCT x AS cut FROM t),
+s AS (SELECT cut, avg(y) FILTER (x <= cut) AS l, avg(y) FILTER (x > cut) AS h, count(*) FILTER (x <= cut) AS nl, count(*) FILTER (x > cut) AS nh
+FROM t, c GROUP BY cut), b AS (SELECT * FROM s WHERE nh > 0 ORDER BY nl * l * l + nh * h * h DESC LIMIT 1)
+SELECT ds, {r('CASE WHEN x <= cut THEN l ELSE h END', 2)} AS yhat FROM t, b"""
+
+
+def _stump(kind, **params):
+    def f(spark, sf):
+        d = all_order_days(spark, sf).select("ds", "y", F.month("ds").cast("double").alias("x"))
+        m = TreeForecaster(kind, maxDepth=1, maxBins=64, **params).fit(d, ["x"], "y", [])
+        return m.predict(d).select("ds", rnd("yhat", 2).alias("yhat"))
+    return f
+
+
+query("g4_forest_of_one_split", _STUMP)(_stump("rf", numTrees=1, featureSubsetStrategy="all", bootstrap=False))
+query("g4_boosting_of_one_split", _STUMP)(_stump("gbt", maxIter=1, featureSubsetStrategy="all"))
 query("g4_random_forest")(_trees("rf", numTrees=12, maxDepth=5))
 query("g4_boosted_trees")(_trees("gbt", maxIter=6, maxDepth=4))
 

@@ -129,6 +129,26 @@ def c9_block(spark, sf):
                     "doy", "month", "day")
 
 
+@query("c9_percentiles_only", f"""WITH g AS (SELECT l_returnflag AS series, CAST(l_shipdate AS DATE) AS date,
+quantile_cont(l_extendedprice, 0.1) AS price_p10, quantile_cont(l_quantity, 0.9) AS qty_p90 FROM lineitem GROUP BY 1, 2)
+SELECT series, date, {r('price_p10', 2)} AS price_p10, {r('qty_p90')} AS qty_p90 FROM g""")
+def c9_percentiles(spark, sf):
+    d = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("series"), "l_shipdate", "l_extendedprice", "l_quantity")
+    s = rs.daily_stats(d, "l_shipdate", [("price_p10", "l_extendedprice", "p10"), ("qty_p90", "l_quantity", "p90")], ["series"], full=False)
+    return s.select("series", "date", rnd("price_p10", 2).alias("price_p10"), rnd("qty_p90").alias("qty_p90"))
+
+
+@query("c9_day_energies", f"""WITH g AS (SELECT event_type, CAST(ts + INTERVAL 8 HOUR AS DATE) AS date, sum(value) AS s FROM events GROUP BY 1, 2), {_STEP}
+SELECT event_type, date, {r('s * med / 3600e9', 6)} AS "E_day_kWh", {r('2 * s * med / 3600e9', 6)} AS "Hpoa_day_kWhm2",
+{r('2 * s * med / 3600e6')} AS "Gi_Whm2" FROM g JOIN st USING (event_type)""")
+def c9_energies(spark, sf):
+    from ..plans.irradiance_days import irradiance_days
+    e = events(spark, sf).select("event_type", F.col("ts").alias("time_utc"), F.col("value").alias("P"), (2 * F.col("value")).alias("G(i)"))
+    d = irradiance_days(e, "time_utc", TYPE)
+    return d.select("event_type", "date", rnd("E_day_kWh", 6).alias("E_day_kWh"), rnd("Hpoa_day_kWhm2", 6).alias("Hpoa_day_kWhm2"),
+                    rnd(F.col("`G(i)_Whm2`")).alias("Gi_Whm2"))
+
+
 def _wind(spark, sf):
     deg = F.col("value") * 37 - F.floor(F.col("value") * 37 / 360) * 360
     return events(spark, sf).select("event_type", "ts", deg.alias("wd"), "value")

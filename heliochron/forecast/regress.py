@@ -47,51 +47,59 @@ def lag_features(y: str, ts: str, by: Sequence[str], h: int, ns: Sequence[int] =
 
 
 def gram(df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str]) -> DataFrame:
-    """Sums for least squares with an intercept, rows with a missing value left out."""
+    """``(by, __g)``: count, means and covariances for least squares, rows with a missing value left out.
+
+    Covariances are the engine's own, which update running means; nothing is lost to large offsets.
+    """
     whole = F.col(y).isNotNull()
     for x in xs:
         whole = whole & F.col(f"`{x}`").isNotNull()
-    cols = [F.lit(1.0), *[F.col(f"`{x}`").cast("double") for x in xs], F.col(y).cast("double")]
+    cols = [*[F.col(f"`{x}`").cast("double") for x in xs], F.col(y).cast("double")]
     p = len(cols)
-    sums = [F.sum(cols[i] * cols[j]) for i in range(p) for j in range(i, p)]
-    return df.where(whole).groupBy(*by).agg(F.array(*sums).alias("__g"))
+    parts = [F.count(F.lit(1)).cast("double"), *[F.avg(c) for c in cols]]
+    parts += [F.covar_pop(cols[i], cols[j]) for i in range(p) for j in range(i, p)]
+    return df.where(whole).groupBy(*by).agg(F.array(*parts).alias("__g"))
 
 
-def solve_gram(g: np.ndarray, p: int, penalty: str, alpha: float, l1_ratio: float = 0.5) -> np.ndarray:
-    """Intercept and coefficients from the packed upper triangle of sums.
+def solve_moments(g: np.ndarray, penalty: str, alpha: float, l1_ratio: float = 0.5, sweeps: int = 10_000) -> np.ndarray:
+    """Intercepts and coefficients, a row for each row of packed (count, means, upper covariances).
 
-    Columns are centred and scaled, so ``alpha`` means the same for each; columns that do not
-    vary get 0.  Lasso and elastic net run coordinate descent on the correlations.
+    Columns are scaled, so ``alpha`` means the same for each; columns that do not vary get 0.  Lasso
+    and elastic net run coordinate descent on the correlations.  A row without data, or whose
+    descent has not settled after ``sweeps`` rounds, is all NaN.
     """
-    m = np.zeros((p, p))
-    m[np.triu_indices(p)] = g
-    m = m + np.triu(m, 1).T
-    n = m[0, 0]
-    mean = m[0, 1:] / n
-    cov = m[1:, 1:] / n - np.outer(mean, mean)
-    sd = np.sqrt(np.clip(np.diag(cov)[:-1], 0.0, None))
-    use = sd > 1e-9 * (1.0 + np.abs(mean[:-1]))
-    beta = np.zeros(p - 2)
-    if use.any():
-        s = sd[use]
-        c = cov[:-1, :-1][np.ix_(use, use)] / np.outer(s, s)
-        r = cov[:-1, -1][use] / s
-        if penalty in ("none", "ridge"):
-            lam = alpha if penalty == "ridge" else 0.0
-            b = np.linalg.lstsq(c + lam * np.eye(len(s)), r, rcond=1e-10)[0]
-        else:
-            ratio = 1.0 if penalty == "lasso" else l1_ratio
-            l1, l2 = alpha * ratio, alpha * (1.0 - ratio)
-            b = np.zeros(len(s))
-            for _ in range(500):
-                old = b.copy()
-                for j in range(len(s)):
-                    rho = r[j] - c[j] @ b + c[j, j] * b[j]
-                    b[j] = np.sign(rho) * max(abs(rho) - l1, 0.0) / (c[j, j] + l2)
-                if np.max(np.abs(b - old)) < 1e-10:
-                    break
-        beta[use] = b / s
-    return np.r_[mean[-1] - beta @ mean[:-1], beta]
+    p = next(k for k in range(1, g.shape[1]) if 1 + k + k * (k + 1) // 2 == g.shape[1])
+    mean, cov = g[:, 1:p + 1], np.zeros((len(g), p, p))
+    i, j = np.triu_indices(p)
+    cov[:, i, j] = cov[:, j, i] = g[:, p + 1:]
+    sd = np.sqrt(np.clip(np.diagonal(cov, axis1=1, axis2=2)[:, :-1], 0.0, None))
+    use = sd > 1e-9 * (1.0 + np.abs(mean[:, :-1]) * 1e-3)
+    scale = np.where(use, 1.0 / np.where(use, sd, 1.0), 0.0)
+    c = cov[:, :-1, :-1] * scale[:, :, None] * scale[:, None, :]
+    r = cov[:, :-1, -1] * scale
+    ok = np.isfinite(g).all(axis=1) & (g[:, 0] > 0)
+    c, r = np.where(ok[:, None, None], c, 0.0), np.where(ok[:, None], r, 0.0)
+    if penalty in ("none", "ridge"):
+        lam = alpha if penalty == "ridge" else 0.0
+        b = (np.linalg.pinv(c + lam * np.eye(p - 1), rcond=1e-10, hermitian=True) @ r[:, :, None])[:, :, 0]
+    else:
+        ratio = 1.0 if penalty == "lasso" else l1_ratio
+        l1, l2 = alpha * ratio, alpha * (1.0 - ratio)
+        b, moving = np.zeros_like(r), ok.copy()
+        for _ in range(sweeps):
+            old = b.copy()
+            for k in range(p - 1):
+                own = c[:, k, k]
+                rho = r[:, k] - (c[:, k] * b).sum(axis=1) + own * b[:, k]
+                step = np.sign(rho) * np.maximum(np.abs(rho) - l1, 0.0) / np.where(own + l2 > 0, own + l2, 1.0)
+                b[:, k] = np.where(moving, step, b[:, k])
+            moving &= np.abs(b - old).max(axis=1, initial=0.0) >= 1e-10 * (1.0 + np.abs(b).max(axis=1, initial=0.0))
+            if not moving.any():
+                break
+        ok &= ~moving
+    beta = b * scale
+    out = np.concatenate([(mean[:, -1] - (beta * mean[:, :-1]).sum(axis=1))[:, None], beta], axis=1)
+    return np.where(ok[:, None], out, np.nan)
 
 
 class LinearForecaster:
@@ -103,13 +111,15 @@ class LinearForecaster:
         self.penalty, self.alpha, self.l1_ratio = penalty, alpha, l1_ratio
 
     def fit(self, train: DataFrame, xs: Sequence[str], y: str, by: Sequence[str]) -> DataFrame:
-        """``(by, coef)``: intercept first."""
+        """``(by, coef)``: intercept first; missing where there is nothing to fit."""
         g = gram(train, xs, y, by)
-        p, pen, a, l1 = len(xs) + 2, self.penalty, self.alpha, self.l1_ratio
+        p, pen, a, l1 = len(xs) + 1, self.penalty, self.alpha, self.l1_ratio
+        size = 1 + p + p * (p + 1) // 2
 
         def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                coef = [solve_gram(np.asarray(v, float), p, pen, a, l1).tolist() for v in b.column("__g").to_pylist()]
+                packed = np.array([[np.nan if x is None else x for x in v] for v in b.column("__g").to_pylist()], float).reshape(-1, size)
+                coef = [None if np.isnan(v[0]) else v.tolist() for v in solve_moments(packed, pen, a, l1)]
                 yield pa.RecordBatch.from_arrays([*[b.column(k) for k in by], pa.array(coef, pa.list_(pa.float64()))],
                                                  names=[*by, "coef"])
 
@@ -177,14 +187,23 @@ class TreeForecaster:
         level = ["__level", "__spread"] if by else []
         self.level = train.groupBy(*by).agg(F.avg(y).alias("__level"), F.coalesce(F.stddev_samp(y), F.lit(0.0)).alias("__spread"))
         cls = {"rf": RandomForestRegressor, "gbt": GBTRegressor}[self.kind]
-        stages = [VectorAssembler(inputCols=[*level, *xs], outputCol="__x", handleInvalid="skip"),
+        stages = [VectorAssembler(inputCols=[*level, *xs], outputCol="__x"),
                   cls(featuresCol="__x", labelCol=y, predictionCol="yhat", seed=self.seed, **self.params)]
         # growing trees goes over the table many times; the rows behind it are read once
-        table = cut_lineage(self._with_level(train.where(F.col(y).isNotNull())))
+        self.inputs = [*level, *xs]
+        table = cut_lineage(self._with_level(train.where(F.col(y).isNotNull())).dropna(subset=self.inputs))
         self.model = Pipeline(stages=stages).fit(table)
         return self
 
     def predict(self, future: DataFrame) -> DataFrame:
-        """Rows with a missing feature get no row."""
-        out = self.model.transform(self._with_level(future))
-        return out.select(*future.columns, F.col("yhat").cast("double").alias("yhat"))
+        """One row for each; ``yhat`` is missing where a feature is."""
+        d = self._with_level(future)
+        whole = F.lit(True)
+        for c in self.inputs:
+            whole = whole & F.col(f"`{c}`").isNotNull()
+        keep = {c: f"__k{i}" for i, c in enumerate(future.columns) if c in self.inputs}
+        kept = d.withColumns({k: F.col(f"`{c}`") for c, k in keep.items()}).withColumn("__whole", whole)
+        filled = kept.withColumns({c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in self.inputs})
+        out = self.model.transform(filled)
+        return out.select(*[F.col(keep.get(c, f"`{c}`")).alias(c) for c in future.columns],
+                          F.when(F.col("__whole"), F.col("yhat").cast("double")).alias("yhat"))

@@ -16,8 +16,9 @@ def no_nan(c: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """DOUBLE where the cell reads as a number, else missing."""
-    return no_nan(c.try_cast("double"))
+    """DOUBLE where the cell reads as a number, else missing; suffixes such as 1d or 5f are no part of one."""
+    text = c.cast("string")
+    return F.when(~text.rlike(r"[dDfF]\s*$") | text.rlike(r"(?i)inf\s*$"), no_nan(c.try_cast("double")))
 
 
 def null_if(c: Column, values: Iterable[str]) -> Column:

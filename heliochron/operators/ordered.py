@@ -39,13 +39,17 @@ def chunk_by_time(ts: str, width_seconds: int) -> Column:
     return F.floor(micros(F.col(ts)) / F.lit(width_seconds * 1_000_000)).cast("bigint")
 
 
-def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Equi-join in which missing keys match each other; right keys are dropped."""
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", plain: Sequence[str] = (CHUNK,)) -> DataFrame:
+    """Equi-join in which missing keys match each other; right keys are dropped.
+
+    Keys in ``plain`` are never missing and are compared as they are: a side that lies partitioned by
+    such a key already, as a window or an aggregate leaves it, is not dealt out again.
+    """
     ren = {k: f"__r_{k}" for k in keys}
     r = right.select(*[F.col(f"`{c}`").alias(ren.get(c, c)) for c in right.columns])
     cond = None
     for k, rk in ren.items():
-        one = left[f"`{k}`"].eqNullSafe(r[rk])
+        one = left[f"`{k}`"] == r[rk] if k in plain else left[f"`{k}`"].eqNullSafe(r[rk])
         cond = one if cond is None else cond & one
     return left.join(r, cond, how).drop(*ren.values())
 

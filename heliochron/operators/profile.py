@@ -12,7 +12,7 @@ from ..functions.cells import to_number
 from ..functions.times import from_micros, parse_time
 from ..session import union_all
 from .ordered import join_keys
-from .quantile import ROWS_IN_ONE_TASK, exact_percentiles
+from .quantile import exact_percentiles
 from .resample import chunk_ends, step_median
 
 # Step lengths in seconds that have a name.
@@ -39,16 +39,13 @@ def _sample_kurtosis(c: Column) -> Column:
     return F.when(n > 3, F.when(sd > 0, k).otherwise(F.lit(0.0)))
 
 
-def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = (),
-                    limit: int = ROWS_IN_ONE_TASK) -> DataFrame:
+def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """One row per column: counts, moments (sample forms), range and exact quartiles.
 
-    One wide aggregate gives everything but the quartiles; those come from value counts when
-    the table is too large for one task.
+    One wide aggregate gives everything but the quartiles; those come from value counts.
     """
     cols = list(cols or numeric_columns(df))
     at = [0.25, 0.5, 0.75]
-    small = df.count() * len(cols) <= limit
     aggs = []
     for i, c in enumerate(cols):
         v = F.col(f"`{c}`").cast("double")
@@ -57,18 +54,13 @@ def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None, by: Sequen
             "missing_count": F.count(F.lit(1)) - F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v),
             "min": F.min(v), "max": F.max(v), "sum": F.coalesce(F.sum(v), F.lit(0.0)),
             "skew": _sample_skew(v), "kurtosis": _sample_kurtosis(v)}
-        if small:
-            fields["q"] = F.percentile(v, at)
         aggs.append(F.struct(*[e.alias(n) for n, e in fields.items()]).alias(f"__s{i}"))
     d = df.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*[F.col(f"__s{i}") for i in range(len(cols))])))
-    if small:
-        q25, q50, q75 = (F.col("q")[i] for i in range(3))
-    else:
-        q = exact_percentiles(df, cols, at, by, limit)
-        pick = lambda p: F.max(F.when(F.col("p") == p, F.col("value")))
-        q = q.groupBy(*by, "variable").agg(*[pick(p).alias(f"__q{i}") for i, p in enumerate(at)])
-        d = join_keys(d, q, [*by, "variable"])
-        q25, q50, q75 = (F.col(f"__q{i}") for i in range(3))
+    q = exact_percentiles(df, cols, at, by)
+    pick = lambda p: F.max(F.when(F.col("p") == p, F.col("value")))
+    q = q.groupBy(*by, "variable").agg(*[pick(p).alias(f"__q{i}") for i, p in enumerate(at)])
+    d = join_keys(d, q, [*by, "variable"], plain=["variable"])
+    q25, q50, q75 = (F.col(f"__q{i}") for i in range(3))
     return d.select(*by, "variable", F.lit("numeric").alias("type"), "count", "non_null", "missing_count", "mean",
                     q50.alias("median"), "std", "min", q25.alias("25%"), q75.alias("75%"), "max", "sum",
                     "skew", "kurtosis")
@@ -103,7 +95,7 @@ def profile_time(df: DataFrame, ts: str, by: Sequence[str] = (), chunk_seconds:
     if by:
         d = join_keys(ends, med, list(by))
     else:
-        d = ends.join(med)  # one row beside one row
+        d = ends.select("*", *[med.select(c).scalar().alias(c) for c in med.columns])  # one row beside one row
     secs = F.col("least_step")
     even = (secs == F.col("greatest_step")) & (secs > 0) & (F.col("steps") >= 2)
     label = F.lit(None).cast("string")

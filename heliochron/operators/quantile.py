@@ -1,24 +1,23 @@
-"""Exact percentiles (linear interpolation) of groups of any size.
+"""Exact percentiles (linear interpolation) of groups of any size, in one form for all sizes.
 
-Rows are first counted per distinct value, on a shuffle by group *and* value.  A small table
-then takes the built-in ``percentile`` with those counts.  A large one is cut at boundaries
-measured once per column, so that no (group, range) holds more than a fixed share of the
-table; ranges are counted, the range that holds each rank is found from at most
-``ranges`` rows per group, and only that range is ordered.
+Rows are first counted per distinct value, on a shuffle by group *and* value.  Each value then falls
+into a range that depends on nothing but the value: its sign and the leading digits of its
+logarithm, a thousand ranges to each factor of e.  Ranges keep the order of values.  They are counted,
+the range that holds each rank is found from one row per range, and only the values of these ranges are
+ordered.  No group is held as a whole, nothing is measured beforehand and nothing comes to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import join_keys
 
-# A value buffer entry takes about 80 bytes, so this is about 160 MB in the worst case.
-ROWS_IN_ONE_TASK = 2_000_000
-MAX_LEVELS = 13  # 2**13 ranges per column
+RANGES_PER_E = 1024
+FINEST = float(2 ** 20)  # values much smaller than its inverse share a range
 
 
 def value_counts(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -29,41 +28,16 @@ def value_counts(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataF
             .groupBy(*by, "variable", "value").agg(F.count(F.lit(1)).alias("freq")))
 
 
-def range_bounds(df: DataFrame, cols: Sequence[str], levels: int) -> dict[str, list[float]]:
-    """2**levels - 1 cut points per column from one pass; only these numbers reach the driver."""
-    n = 2 ** levels
-    at = [i / n for i in range(1, n)]
-    row = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).agg(
-        *[F.percentile_approx(f"c{i}", at, max(10_000, 10 * n)).alias(f"c{i}")
-          for i in range(len(cols))]).first()
-    return {c: [float(v) for v in (row[i] or [])] for i, c in enumerate(cols)}
+def range_of(value: Column) -> Column:
+    """The range of a value; never falls as the value rises, since Java's logarithm never does."""
+    return F.floor(F.signum(value) * F.log1p(F.abs(value) * FINEST) * RANGES_PER_E).cast("bigint")
 
 
-def _range_index(counts: DataFrame, bounds: Mapping[str, Sequence[float]], levels: int) -> DataFrame:
-    """Number of cut points below each value, by bisection in ``levels`` column steps."""
-    cuts: Column = F.lit(None).cast("array<double>")
-    for name, b in bounds.items():
-        lits = F.array(*[F.lit(x) for x in b]) if b else F.array().cast("array<double>")
-        cuts = F.when(F.col("variable") == name, lits).otherwise(cuts)
-    d = counts.select("*", cuts.alias("__cuts"), F.lit(0).alias("__at"))
-    for level in range(levels - 1, -1, -1):
-        half = 2 ** level
-        probe = F.try_element_at(F.col("__cuts"), F.col("__at") + half)
-        d = d.withColumn("__at", F.col("__at") + F.when(probe < F.col("value"), half).otherwise(0))
-    return d.withColumnRenamed("__at", "__range").drop("__cuts")
-
-
-def percentiles_of_counts(counts: DataFrame, by: Sequence[str], ps: Sequence[float],
-                          bounds: Mapping[str, Sequence[float]] | None = None,
-                          levels: int = 0) -> DataFrame:
+def percentiles_of_counts(counts: DataFrame, by: Sequence[str], ps: Sequence[float]) -> DataFrame:
     """``(by, variable, p, value)`` from a ``value_counts`` table."""
     keys = [*by, "variable"]
-    if not bounds:
-        at = [float(p) for p in ps]
-        q = counts.groupBy(*keys).agg(F.percentile("value", at, F.col("freq")).alias("__q"))
-        return q.select(*keys, F.inline(F.arrays_zip(
-            F.array(*[F.lit(p) for p in at]).alias("p"), F.col("__q").alias("value"))))
-    d = _range_index(counts, bounds, levels)
+    # the filters change nothing; with them both uses of the counts are one plan and share its shuffle
+    d = counts.withColumn("__range", range_of(F.col("value"))).where("variable IS NOT NULL AND __range IS NOT NULL")
     rk = [*keys, "__range"]
     sizes = d.groupBy(*rk).agg(F.sum("freq").alias("__n"))
     w = Window.partitionBy(*keys)
@@ -81,7 +55,7 @@ def percentiles_of_counts(counts: DataFrame, by: Sequence[str], ps: Sequence[flo
                                  F.collect_list(F.struct("p", "__pos", "__lo", "__hi")).alias("__marks"))
     cum = F.sum("freq").over(Window.partitionBy(*rk).orderBy("value")
                              .rowsBetween(Window.unboundedPreceding, 0))
-    part = join_keys(d, hit, rk, "inner").withColumn("__cum", cum + F.col("__before"))
+    part = join_keys(d, hit, rk, "inner", plain=["variable", "__range"]).withColumn("__cum", cum + F.col("__before"))
     rows = part.select(*keys, "value", "freq", "__cum", F.explode("__marks").alias("m"))
     holds = lambda r: (r < F.col("__cum")) & (r >= F.col("__cum") - F.col("freq"))
     frac = F.first(F.col("m.__pos") - F.col("m.__lo"))
@@ -91,17 +65,6 @@ def percentiles_of_counts(counts: DataFrame, by: Sequence[str], ps: Sequence[flo
             .groupBy(*keys, F.col("m.p").alias("p")).agg((lo + (hi - lo) * frac).alias("value")))
 
 
-def levels_for(rows: int, limit: int = ROWS_IN_ONE_TASK) -> int:
-    """Levels of bisection that bring a range under ``limit`` rows."""
-    levels = 0
-    while rows > limit * 2 ** levels and levels < MAX_LEVELS:
-        levels += 1
-    return levels
-
-
-def exact_percentiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float],
-                      by: Sequence[str] = (), limit: int = ROWS_IN_ONE_TASK) -> DataFrame:
-    """``(by, variable, p, value)``; ``limit`` is the most rows left to one task."""
-    levels = levels_for(df.count(), limit)
-    bounds = range_bounds(df, cols, levels) if levels else None
-    return percentiles_of_counts(value_counts(df, by, cols), by, ps, bounds, levels)
+def exact_percentiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """``(by, variable, p, value)``."""
+    return percentiles_of_counts(value_counts(df, by, cols), by, ps)

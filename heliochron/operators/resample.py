@@ -11,8 +11,7 @@ from ..functions.circular import directions_from_sums, sector_index, sector_name
 from ..functions.times import floor_time, micros, step_interval
 from ..session import cut_lineage, union_all
 from .ordered import CHUNK, chunk_by_number, join_keys, series_window
-from .quantile import (ROWS_IN_ONE_TASK, exact_percentiles, levels_for, percentiles_of_counts,
-                       range_bounds)
+from .quantile import exact_percentiles, percentiles_of_counts
 
 AGGREGATES = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp,
               "count": F.count}
@@ -113,41 +112,31 @@ def step_counts(df: DataFrame, ts: str, by: Sequence[str] = (), chunk_seconds: i
     parts = F.array(F.struct(seconds(F.col("__us") - F.lag("__us").over(inside)).alias("value"), once.alias("freq")),
                     F.struct(F.lit(0.0).alias("value"), (F.col("__c") - 1).alias("freq")))
     within = one.select(*by, parts.alias("__p")).select(*by, F.inline("__p")).where("value IS NOT NULL AND freq > 0")
-    across = chunk_ends(df, ts, by, chunk_seconds).select(*by, seconds(F.col("__lo") - F.lag("__hi").over(series_window(by, CHUNK))).alias("value"),
+    ends = one.groupBy(*by, CHUNK).agg(F.min("__us").alias("__lo"), F.max("__us").alias("__hi"))
+    across = ends.select(*by, seconds(F.col("__lo") - F.lag("__hi").over(series_window(by, CHUNK))).alias("value"),
                          once.alias("freq"))
     return (union_all([within, across]).select(*by, F.lit("step").alias("variable"), "value", "freq")
             .groupBy(*by, "variable", "value").agg(F.sum("freq").alias("freq")))
 
 
-def step_median(df: DataFrame, ts: str, by: Sequence[str] = (), chunk_seconds: int = 21_600,
-                limit: int = ROWS_IN_ONE_TASK) -> DataFrame:
+def step_median(df: DataFrame, ts: str, by: Sequence[str] = (), chunk_seconds: int = 21_600) -> DataFrame:
     """Median distance of successive times in seconds, missing for a single time, with the
     least and greatest distance and the number of distances."""
     steps = step_counts(df, ts, by, chunk_seconds)
     v, n = F.col("value"), F.col("freq")
     known = F.when(v.isNotNull(), n)
     shape = [F.min(v).alias("least_step"), F.max(v).alias("greatest_step"), F.coalesce(F.sum(known), F.lit(0)).alias("steps")]
-    levels = 0
-    if df.count() > limit:
-        # there are far fewer distinct steps than rows: store them once, then go by their number
-        steps = cut_lineage(steps)
-        levels = levels_for(steps.count(), limit)
-    if not levels:
-        return steps.groupBy(*by).agg(F.percentile(v, F.lit(0.5), n).alias("median_step_seconds"), *shape)
-    real = steps.where(v.isNotNull())
-    bounds = {"step": range_bounds(real, ["value"], levels)["value"]}
-    med = percentiles_of_counts(real, by, [0.5], bounds, levels).select(*by, F.col("value").alias("median_step_seconds"))
+    med = percentiles_of_counts(steps.where(v.isNotNull()), by, [0.5]).select(*by, F.col("value").alias("median_step_seconds"))
     g = steps.groupBy(*by).agg(*shape)
     if by:
         return join_keys(g, med, list(by))
     return g.select(med.scalar().alias("median_step_seconds"), "*")
 
 
-def step_hours(df: DataFrame, ts: str, by: Sequence[str] = (), chunk_seconds: int = 21_600,
-               limit: int = ROWS_IN_ONE_TASK) -> DataFrame:
+def step_hours(df: DataFrame, ts: str, by: Sequence[str] = (), chunk_seconds: int = 21_600) -> DataFrame:
     """Median distance of successive times in hours; 1.0 where there is none or it is 0."""
     hours = F.col("median_step_seconds") / 3600
-    return step_median(df, ts, by, chunk_seconds, limit).select(
+    return step_median(df, ts, by, chunk_seconds).select(
         *by, F.when(hours > 0, hours).otherwise(F.lit(1.0)).alias("step_hours"))
 
 
@@ -160,33 +149,22 @@ def to_energy(value: Column, hours: Column | float, kilo: bool = False) -> Colum
 QUANTILES = {"p10": 0.1, "p90": 0.9}
 
 
-def daily_stats(df: DataFrame, ts: str, spec: Sequence[tuple[str, str, str]], by: Sequence[str] = (),
-                full: bool = True, limit: int = ROWS_IN_ONE_TASK, rows: int | None = None) -> DataFrame:
-    """A block of day statistics, one grouping for all of them.
+def daily_stats(df: DataFrame, ts: str, spec: Sequence[tuple[str, str, str]], by: Sequence[str] = (), full: bool = True) -> DataFrame:
+    """A block of day statistics, one grouping for all of them and one for the percentiles.
 
     ``spec`` lists ``(name, column, statistic)``; statistics are sum, mean, min, max, std, p10,
-    p90, count (values present) and frac (share of the day's rows that have a value).  ``rows``
-    is a known bound on the table's rows; without it they are counted when percentiles are
-    asked for.
+    p90, count (values present) and frac (share of the day's rows that have a value).
     """
     df = df.where(F.col(ts).isNotNull())
     day = floor_time(F.col(ts), "day").alias("date")
     of_day = F.count(F.lit(1))
     want = [s for s in spec if s[2] in QUANTILES]
-    plain = [s for s in spec if s[2] not in QUANTILES]
     aggs = [(F.count(F.col(f"`{c}`")) / of_day if f == "frac" else AGGREGATES[f](F.col(f"`{c}`"))).alias(n)
-            for n, c, f in plain]
-    at = sorted({QUANTILES[f] for *_, f in want})
-    held = sorted({c for _, c, _ in want})  # one value buffer per column
-    small = not want or (df.count() if rows is None else rows) * len(held) <= limit
-    held = held if small else []
-    aggs += [F.percentile(F.col(f"`{c}`"), at).alias(f"__q{i}") for i, c in enumerate(held)]
-    out = df.groupBy(*by, day).agg(*aggs)
-    if held:
-        out = out.select("*", *[F.col(f"__q{held.index(c)}")[at.index(QUANTILES[f])].alias(n) for n, c, f in want])
-    if not small:
+            for n, c, f in spec if f not in QUANTILES]
+    out = df.groupBy(*by, day).agg(*(aggs or [of_day.alias("__rows")]))
+    if want:
         src = df.withColumn("date", day)
-        q = exact_percentiles(src, sorted({c for _, c, _ in want}), at, [*by, "date"], limit)
+        q = exact_percentiles(src, sorted({c for _, c, _ in want}), sorted({QUANTILES[f] for *_, f in want}), [*by, "date"])
         pick = lambda c, p: F.max(F.when((F.col("variable") == c) & (F.col("p") == p), F.col("value")))
         q = q.groupBy(*by, "date").agg(*[pick(c, QUANTILES[f]).alias(n) for n, c, f in want])
         out = join_keys(out, q, [*by, "date"])

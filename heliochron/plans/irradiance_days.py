@@ -28,9 +28,13 @@ def irradiance_days(df: DataFrame, ts_utc: str = "time_utc", by: Sequence[str] =
         if c in IRRADIANCE:
             new[f"{c}_Whm2"] = F.col(f"`{c}_Whm2`") * h
             new[f"{c}_kWhm2"] = F.col(f"`{c}_Whm2`") * h / 1000.0
+            if c == "G(i)":
+                new["Hpoa_day_kWhm2"] = new[f"{c}_kWhm2"]
         elif c in POWER:
             new[c] = F.col(f"`{c}`") * h
             new[f"{c}_kWh"] = F.col(f"`{c}`") * h / 1000.0
+            if c == "P":
+                new["E_day_kWh"] = new[f"{c}_kWh"]
     cols = [c for c in d.columns if c not in (*by, "date", "step_hours")]
     d = d.select(*by, "date", F.dayofyear("date").alias("doy"), F.month("date").alias("month"), F.day("date").alias("day"),
                  *[new.pop(c, F.col(f"`{c}`")).alias(c) for c in cols], *[v.alias(k) for k, v in new.items()])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,7 @@ def build_session(app: str = "heliochron", master: str | None = None, **conf) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.unionOutputPartitioning": "false",  # see union_all
         **conf,
     }
     for k, v in settings.items():
@@ -28,13 +30,16 @@ def build_session(app: str = "heliochron", master: str | None = None, **conf) ->
 
 
 _TEMP: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def _shared_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named (tests)."""
+    """The shared folder the cluster names.  Only a session on this machine may go without: it gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     if not _TEMP:
         _TEMP.append(tempfile.mkdtemp(prefix="heliochron-"))
     return _TEMP[0]
@@ -42,16 +47,25 @@ def _shared_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other call has been given."""
-    return f"{_shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append(f"{_shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
+    return _WRITTEN[-1]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of any executor."""
-    spark = df.sparkSession
-    root = _shared_root(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint()
+    """The table written to the shared folder as Parquet and read back: it survives the loss of any executor."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete what this session has written to the shared folder; results that read it must be done with."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def union_all(parts: Sequence[DataFrame], allow_missing: bool = False) -> DataFrame:

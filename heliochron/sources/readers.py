@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,11 +43,23 @@ def _lines(spark: SparkSession, path) -> DataFrame:
 def read_preamble_csv(spark: SparkSession, path, schema: T.StructType, row_regex: str = DATA_ROW) -> DataFrame:
     """Data lines of files with text before and after them; everything else is passed over.
 
-    Lines are told apart by their own shape, so a file may be read in any number of splits.
+    Lines are told apart by their own shape, so a file may be read in any number of splits.  A line that
+    begins with the schema's first name is the file's header: cells are then taken by name, in whatever
+    order the file has them.  A file without one has the schema's order.
     """
-    data = _lines(spark, path).where(F.col("value").rlike(row_regex))
-    row = F.from_csv(F.trim("value"), _ddl(schema))
-    return data.select("file", row.alias("r")).select("file", "r.*")
+    first = schema.fields[0].name
+    lines = _lines(spark, path)
+    cells = F.transform(F.split(F.trim("value"), ","), lambda c: F.trim(c))
+    heads = (lines.where(F.lower(F.trim("value")).startswith(first.lower() + ",")).groupBy("file")
+             .agg(F.min(F.transform(cells, lambda c: F.lower(c))).alias("names")).withColumnRenamed("file", "of"))
+    data = lines.where(F.col("value").rlike(row_regex)).select("file", cells.alias("cells"))
+    d = data.join(heads, F.col("file") == F.col("of"), "left")
+
+    def cell(i: int, f: T.StructField) -> Column:
+        own = F.nullif(F.array_position("names", f.name.lower()), F.lit(0).cast("bigint")).cast("int")
+        at = F.when(F.col("names").isNull(), F.lit(i + 1)).otherwise(own)
+        return F.nullif(F.try_element_at("cells", at), F.lit("")).try_cast(f.dataType).alias(f.name)
+    return d.select("file", *[cell(i, f) for i, f in enumerate(schema.fields)])
 
 
 def _ddl(schema: T.StructType) -> str:
@@ -71,28 +86,24 @@ def _files(spark: SparkSession, path, pattern: str = "*", recursive: bool = Fals
             .option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "modificationTime"))
 
 
+def _plain_path(url: str) -> str:
+    """A file's path for a reader: as it is on disk, with the signs that globs read marked."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(url))
+
+
 def _file_heads(spark: SparkSession, path, recursive: bool = False) -> list[tuple[str, str]]:
-    """(file, first line): one line of each file is fetched, no scan is run."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
-    out = []
-    for r in _files(spark, path, recursive=recursive).select("path").toLocalIterator():
-        p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r["path"].replace(" ", "%20")))
-        raw = p.getFileSystem(conf).open(p)
-        codec = codecs.getCodec(p)
-        stream = codec.createInputStream(raw) if codec is not None else raw
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        try:
-            head = reader.readLine()
-        finally:
-            reader.close()
-        if head:
-            out.append((r["path"], head))
-    return out
+    """(file, first line) of each file that has one: the first row of its first block, found on the executors.
+
+    A row's number rises within a block, and a file's first block is read by one task.
+    """
+    d = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    heads = d.where("block = 0").groupBy("file").agg(F.min_by("value", "n").alias("head"))
+    return [(r["file"], r["head"]) for r in heads.where(F.trim("head") != "").collect()]  # a row per file
 
 
 def _split_header(line: str, sep: str = ",") -> list[str]:
-    return [c.strip().strip('"').strip("\r") for c in line.lstrip(BOM).rstrip("\r\n").split(sep)]
+    return [c.strip() for c in next(csv.reader([line.lstrip(BOM).rstrip("\r\n")], delimiter=sep))]
 
 
 def union_folder(spark: SparkSession, path, clean: bool = True, recursive: bool = False,
@@ -110,7 +121,7 @@ def union_folder(spark: SparkSession, path, clean: bool = True, recursive: bool
     for head in sorted(groups):
         names = _split_header(head)
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        d = spark.read.schema(schema).options(header="true", enforceSchema="true").csv(sorted(groups[head]))
+        d = spark.read.schema(schema).options(header="true", enforceSchema="true").csv([_plain_path(f) for f in sorted(groups[head])])
         cols = [F.col(f"`{n}`").alias(clean_name(n) if clean else n) for n in names]
         if with_file:
             cols.append(F.url_decode(F.col("_metadata.file_path")).alias("file"))
@@ -128,7 +139,7 @@ def read_monthly_files(spark: SparkSession, path) -> DataFrame:
     """
     f = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("lines"))
-    f = f.select("file", F.col("lines")[1].alias("head"), F.slice("lines", 3, 1_000_000).alias("rows"))
+    f = f.select("file", F.col("lines")[1].alias("head"), F.slice("lines", 3, F.size("lines")).alias("rows"))
     heads = sorted(r["head"] for r in f.select("head").distinct().collect() if r["head"])
     # a copy mark such as " (1)" after the month is passed over
     stamp = r"-(\d{4})-(\d{1,2})[^/\-]*?\.csv"
@@ -170,22 +181,20 @@ SEPARATORS = (",", ";", "\t", "|")
 
 
 def sniff(spark: SparkSession, path, encodings: Sequence[str] = ("UTF-8", "ISO-8859-1"),
-          seps: Sequence[str] = SEPARATORS, sample: int = 50) -> dict[str, str]:
-    """Reader options for files of unknown encoding and separator.
+          seps: Sequence[str] = SEPARATORS) -> dict[str, str]:
+    """Reader options for files of unknown encoding and separator, from one pass over all lines.
 
-    The second encoding is taken as soon as a line is not valid UTF-8 (Spark stops at the first); the separator is the one found equally often in every sampled line.
+    The second encoding is taken if any line is not valid UTF-8; the separator is the first one that stands
+    equally often, outside quotes, in every line that is neither empty nor a comment.
     """
-    t = spark.read.text(path)
-    broken = bool(t.where(~F.is_valid_utf8("value")).take(1))
-    encoding = encodings[-1] if broken else encodings[0]
-    lines = [r["value"] for r in t.where(~F.col("value").startswith("#") & (F.trim("value") != "")).take(sample)]
-    best = seps[0]
-    for s in seps:
-        n = {line.count(s) for line in lines}
-        if n and min(n) > 0 and len(n) == 1:
-            best = s
-            break
-    return {"encoding": encoding, "sep": best, "comment": "#"}
+    line = F.col("value")
+    bare = F.regexp_replace(line, '"[^"]*"', "")
+    counted = F.when(~line.startswith("#") & (F.trim("value") != ""), F.lit(1))
+    often = [F.when(counted.isNotNull(), F.size(F.split(bare, re.escape(s))) - 1) for s in seps]
+    row = spark.read.text(path).agg(F.coalesce(F.bool_or(~F.is_valid_utf8("value")), F.lit(False)).alias("broken"),
+                                    *[F.min(n).alias(f"lo{i}") for i, n in enumerate(often)], *[F.max(n).alias(f"hi{i}") for i, n in enumerate(often)]).first()
+    best = next((s for i, s in enumerate(seps) if row[f"lo{i}"] and row[f"lo{i}"] == row[f"hi{i}"]), seps[0])
+    return {"encoding": encodings[-1] if row["broken"] else encodings[0], "sep": best, "comment": "#"}
 
 
 def read_csv_any(spark: SparkSession, path, schema=None, encodings: Sequence[str] = ("UTF-8", "ISO-8859-1"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from heliochron.forecast import backtest as bt
 from heliochron.forecast.baselines import baseline
-from heliochron.forecast.regress import LinearForecaster, TreeForecaster, datepart_features, fit_predict_datepart, fit_predict_window, solve_gram
+from heliochron.forecast.regress import LinearForecaster, TreeForecaster, datepart_features, fit_predict_datepart, fit_predict_window, solve_moments
 from heliochron.forecast.smoothing import fit_smoothing, forecast_smoothing
 from heliochron.plans.forecast_scores import backtest_days
 
@@ -29,8 +29,8 @@ def test_baselines(spark):
 
 
 def packed(x, y):
-    m = np.c_[np.ones(len(x)), x, y]
-    return (m.T @ m)[np.triu_indices(m.shape[1])]
+    m = np.c_[x, y]
+    return np.r_[len(x), m.mean(axis=0), np.cov(m.T, bias=True)[np.triu_indices(m.shape[1])]][None, :]
 
 
 def test_gram_solutions():
@@ -40,17 +40,41 @@ def test_gram_solutions():
     y = 3 + x[:, 0] - 0.5 * x[:, 1] + rng.normal(size=200) * 0.1
     g = packed(x, y)
     ols = np.linalg.lstsq(np.c_[np.ones(200), x[:, :3]], y, rcond=None)[0]
-    assert np.allclose(solve_gram(g, 6, "none", 0), np.r_[ols, 0], atol=1e-6)
+    assert np.allclose(solve_moments(g, "none", 0)[0], np.r_[ols, 0], atol=1e-6)
     # ridge on scaled columns, checked by its normal equations
     s = x[:, :3].std(axis=0)
     z, r = (x[:, :3] - x[:, :3].mean(axis=0)) / s, y - y.mean()
     b = np.linalg.solve(z.T @ z / 200 + 0.3 * np.eye(3), z.T @ r / 200)
-    assert np.allclose(solve_gram(g, 6, "ridge", 0.3)[1:4], b / s, atol=1e-6)
+    assert np.allclose(solve_moments(g, "ridge", 0.3)[0, 1:4], b / s, atol=1e-6)
     # lasso meets its optimality conditions
-    c = solve_gram(g, 6, "lasso", 0.5)[1:4] * s
+    c = solve_moments(g, "lasso", 0.5)[0, 1:4] * s
     grad = z.T @ (r - z @ c) / 200
     assert all(abs(v) <= 0.5 + 1e-6 if w == 0 else abs(v - 0.5 * np.sign(w)) < 1e-6 for v, w in zip(grad, c))
-    assert c[2] == 0 and np.allclose(solve_gram(g, 6, "elasticnet", 0.0), np.r_[ols, 0], atol=1e-5)
+    assert c[2] == 0 and np.allclose(solve_moments(g, "elasticnet", 0.0)[0], np.r_[ols, 0], atol=1e-5)
+
+
+def test_descent_that_has_not_settled_is_missing():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(100, 3)) + rng.normal(size=(100, 1)) * 5
+    g = packed(x, x.sum(axis=1))
+    assert np.isnan(solve_moments(g, "lasso", 1e-4, sweeps=1)).all() and np.isfinite(solve_moments(g, "lasso", 1e-4)).all()
+
+
+def test_large_offsets_and_empty_trains(spark):
+    for offset in (1e6, 1e9, 1e11):
+        d = spark.range(100).select((F.col("id") + F.lit(offset)).alias("x"), (2.0 * (F.col("id") + F.lit(offset)) + 1).alias("y"))
+        assert abs(LinearForecaster().fit(d, ["x"], "y", []).first().coef[1] - 2) < 1e-6
+    none = LinearForecaster().fit(d.where("false"), ["x"], "y", [])
+    assert none.first().coef is None
+    assert LinearForecaster.predict(none, d.limit(1), ["x"], []).first().yhat is None
+
+
+def test_trees_keep_rows_with_missing_features(spark):
+    d = spark.range(60).select(F.col("id").cast("double").alias("x"), F.when(F.col("id") < 30, 1.0).otherwise(5.0).alias("y"))
+    m = TreeForecaster("rf", numTrees=1, maxDepth=1, featureSubsetStrategy="all", bootstrap=False, maxBins=64).fit(d, ["x"], "y", [])
+    got = m.predict(spark.createDataFrame([(1.0,), (None,), (55.0,)], "x double")).collect()
+    assert sorted((r.x is None, r.x, r.yhat) for r in got if r.x is not None) == [(False, 1.0, 1.0), (False, 55.0, 5.0)]
+    assert [r.yhat for r in got if r.x is None] == [None]
 
 
 def test_datepart_regression_finds_the_wave(spark):

@@ -3,21 +3,20 @@ import random
 import numpy as np
 import pytest
 
-from heliochron.operators.quantile import exact_percentiles, levels_for
+from heliochron.operators.quantile import exact_percentiles, range_of
 from heliochron.operators.resample import daily_stats, step_hours, step_median
 from pyspark.sql import functions as F
 
 PS = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
 
 
-@pytest.mark.parametrize("limit", [10**9, 50, 5])
-def test_against_numpy(spark, limit):
-    """The small form, and forms in which the hot group is cut into many ranges."""
+def test_against_numpy(spark):
+    """A hot group of many ranges, small groups, ties and missing values."""
     rng = random.Random(3)
     rows = [("hot", rng.choice([rng.gauss(0, 1), 7.0, rng.expovariate(0.01)]), float(rng.randrange(4))) for _ in range(900)]
     rows += [("b", rng.random(), None if i % 3 else 2.5) for i in range(40)] + [("one", 4.0, None)]
     df = spark.createDataFrame(rows, "g string, x double, k double")
-    got = {(r.g, r.variable, r.p): r.value for r in exact_percentiles(df, ["x", "k"], PS, ["g"], limit).collect()}
+    got = {(r.g, r.variable, r.p): r.value for r in exact_percentiles(df, ["x", "k"], PS, ["g"]).collect()}
     n = 0
     for g in ("hot", "b", "one"):
         for i, c in ((1, "x"), (2, "k")):
@@ -28,34 +27,56 @@ def test_against_numpy(spark, limit):
     assert n == len(got)
 
 
-def test_levels():
-    assert levels_for(10, 10) == 0 and levels_for(11, 10) == 1 and levels_for(10**6, 10) == 13
+def test_ranges_keep_the_order(spark):
+    rng = random.Random(9)
+    v = sorted([rng.gauss(0, 1) * 10.0 ** rng.randrange(-12, 13) for _ in range(3000)] + [0.0, 1e-320, -1e-320, 1e300, -1e300, 20.0, 20.000001])
+    got = [r.r for r in spark.createDataFrame([(x,) for x in v], "v double").select("v", range_of(F.col("v")).alias("r")).orderBy("v").collect()]
+    assert got == sorted(got) and len(set(got)) > 1000
 
 
-@pytest.mark.parametrize("limit", [10**9, 20])
-def test_daily_stats_both_ways(spark, limit):
+def test_no_job_while_the_plan_is_built(spark):
+    from heliochron.operators.profile import profile_numeric
+    d = spark.range(0, 100).select(F.timestamp_seconds(F.col("id") * 977).alias("ts"), F.col("id").cast("double").alias("x"))
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plans", "plans")
+    try:
+        daily_stats(d, "ts", [("p", "x", "p10")])
+        step_median(d, "ts")
+        profile_numeric(d, ["x"])
+        exact_percentiles(d, ["x"], [0.5])
+        assert list(seen.getJobIdsForGroup("plans")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_percentiles_only(spark):
+    d = spark.range(0, 100).select(F.timestamp_seconds(F.col("id") * 3600).alias("ts"), F.col("id").cast("double").alias("x"))
+    got = daily_stats(d, "ts", [("lo", "x", "p10"), ("hi", "x", "p90")]).orderBy("date").collect()
+    assert len(got) == 5 and got[0].lo == pytest.approx(2.3) and got[0].hi == pytest.approx(20.7)
+
+
+def test_daily_stats(spark):
     d = spark.range(0, 400).select(
         (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("id") * 17).cast("int"))).alias("ts"),
         F.pmod(F.col("id") * 7919, F.lit(1009)).cast("double").alias("x"))
     spec = [("p10", "x", "p10"), ("m", "x", "mean"), ("p90", "x", "p90"), ("n", "x", "count")]
-    got = daily_stats(d, "ts", spec, limit=limit).orderBy("date").toPandas()
+    got = daily_stats(d, "ts", spec).orderBy("date").toPandas()
     pdf = d.toPandas().set_index("ts")["x"].resample("D")
     assert np.allclose(got["p10"], pdf.quantile(0.1)) and np.allclose(got["p90"], pdf.quantile(0.9))
     assert np.allclose(got["m"], pdf.mean()) and list(got["n"]) == list(pdf.count())
 
 
-@pytest.mark.parametrize("limit", [10**9, 3])
 @pytest.mark.parametrize("chunk", [60, 3600, 10**6])
-def test_step(spark, chunk, limit):
+def test_step(spark, chunk):
     """Copies of an instant, chunk borders and a series with one row."""
     secs = [0, 60, 60, 60, 200, 260, 5000, 5060, 9000]
     rows = [("a", s) for s in secs] + [("b", 5)]
     d = spark.createDataFrame(rows, "s string, k long").select(
         "s", (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("k").cast("decimal(18,6)"))).alias("ts"))
-    m = {r.s: r for r in step_median(d, "ts", ["s"], chunk, limit).collect()}
+    m = {r.s: r for r in step_median(d, "ts", ["s"], chunk).collect()}
     assert m["a"].median_step_seconds == np.median(np.diff(secs)) and m["a"].steps == len(secs) - 1
     assert m["a"].least_step == 0 and m["a"].greatest_step == 4740
     assert m["b"].median_step_seconds is None and m["b"].steps == 0
-    h = {r.s: r.step_hours for r in step_hours(d, "ts", ["s"], chunk, limit).collect()}
+    h = {r.s: r.step_hours for r in step_hours(d, "ts", ["s"], chunk).collect()}
     assert h == {"a": 60 / 3600, "b": 1.0}
-    assert step_median(d, "ts", (), chunk, limit).first().steps == len(rows) - 1
+    assert step_median(d, "ts", (), chunk).first().steps == len(rows) - 1

@@ -100,3 +100,53 @@ def test_profile_folder(spark, tmp_path):
     assert set(got) == {(f, v) for f in ("a.csv", "b.csv") for v in ("W", "tag")}
     assert got["a.csv", "W"].median == 2 and got["a.csv", "W"].missing_count == 1 and got["a.csv", "tag"].top == "x"
     assert got["a.csv", "W"].inferred_freq == "hour" and got["b.csv", "tag"].freq == 1
+
+
+def test_folder_with_quoted_header_and_odd_names(spark, tmp_path):
+    (tmp_path / "a]b.csv").write_text('"x,1",y\n1,2\n')
+    (tmp_path / "50%25.csv").write_text('y,"x,1"\n4,3\n')
+    (tmp_path / "plain name.csv").write_text("y\n5\n")
+    d = src.union_folder(spark, str(tmp_path), clean=False, with_file=True)
+    got = sorted((r["x,1"] or "", r["y"], r["file"].rsplit("/", 1)[1]) for r in d.collect())
+    assert got == [("", "5", "plain name.csv"), ("1", "2", "a]b.csv"), ("3", "4", "50%25.csv")]
+
+
+def test_separator_outside_quotes_on_all_lines(spark, tmp_path):
+    from heliochron.sources.readers import sniff
+    (tmp_path / "f.csv").write_text("a;b\n" + "1;2\n" * 80 + '3;"y;z"\n4;"p,q"\n')
+    assert sniff(spark, str(tmp_path / "f.csv"))["sep"] == ";"
+
+
+def test_preamble_columns_by_the_header_of_each_file(spark, tmp_path):
+    from pyspark.sql import types as T
+    from heliochron.sources.readers import read_preamble_csv
+    schema = T.StructType([T.StructField("time", T.StringType()), T.StructField("P", T.DoubleType()), T.StructField("T2m", T.DoubleType())])
+    (tmp_path / "a.csv").write_text("Latitude: 1\ntime,P,T2m\n20050101:0010,1,2\n")
+    (tmp_path / "b.csv").write_text("Latitude: 1\ntime,T2m,P,Int\n20050101:0010,2,1,0\n")
+    (tmp_path / "c.csv").write_text("20050101:0010,1,2\n")
+    got = read_preamble_csv(spark, str(tmp_path), schema).select("time", "P", "T2m").collect()
+    assert [tuple(r) for r in got] == [("20050101:0010", 1.0, 2.0)] * 3
+
+
+def test_long_monthly_file_is_read_whole(spark, tmp_path):
+    (tmp_path / "s-2024-01.csv").write_text("title\nObsTime,x\n" + "01,5\n" * 1_000_050)
+    assert src.read_monthly_files(spark, str(tmp_path)).count() == 1_000_050
+
+
+def test_scratch_needs_a_shared_folder_and_can_be_removed(spark, tmp_path, monkeypatch):
+    import os
+    from heliochron import session
+    monkeypatch.setattr(session, "_WRITTEN", [])
+    path = session.scratch_path(spark, "t").removeprefix("file:")
+    spark.range(3).write.parquet(path)
+    assert os.path.exists(path) and session.remove_scratch(spark) == 1 and not os.path.exists(path)
+
+    class Elsewhere:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Far:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = Elsewhere
+    with pytest.raises(RuntimeError):
+        session.scratch_path(Far, "t")
