@@ -209,10 +209,12 @@ def c15(spark, sf):
     return d.select("event_type", "ts", rnd("m").alias("hour_mean"))
 
 
-@query("c16_reconcile", f"""SELECT event_type, CAST(ts AS DATE) AS ds, {r('sum(value)')} AS raw_sum, {r('sum(value)')} AS daily_sum,
-true AS matches FROM events GROUP BY 1, 2""")
+@query("c16_reconcile", f"""SELECT event_type, CAST(ts AS DATE) AS ds, {r('sum(value)')} AS raw_sum,
+{r('sum(value) + CASE WHEN day(CAST(ts AS DATE)) = 7 THEN 1 ELSE 0 END')} AS daily_sum, day(CAST(ts AS DATE)) <> 7 AS matches FROM events GROUP BY 1, 2""")
 def c16(spark, sf):
+    """Day sums against the raw rows; the seventh of each month has been altered."""
     e = events(spark, sf)
     daily = rs.daily_energy(e.select("event_type", "ts", "value"), "ts", ["value"], by=TYPE).withColumnRenamed("ts", "ds")
+    daily = daily.withColumn("value", F.col("value") + F.when(F.day("ds") == 7, 1.0).otherwise(0.0))
     d = rs.reconcile(e, daily, "ts", "value", "ds", "value", TYPE)
     return d.select("event_type", "ds", rnd("raw_sum").alias("raw_sum"), rnd("daily_sum").alias("daily_sum"), "matches")

@@ -132,21 +132,17 @@ def forecast_in_chunks(history: DataFrame, model: Callable[[DataFrame, int], Dat
                        step: int = 90, y: str = "y", ts: str = "ds", by: Sequence[str] = ()) -> DataFrame:
     """Forecast ``step`` days, append them to the history, fit again, until ``h`` days are done.
 
-    ``model(history, n)`` returns ``(by, lead, ts, yhat)``.  Days it leaves out, or a chunk in
-    which it raises a value error, get the mean of the last 30 rows (or the last row).  The
-    loop has ceil(h/step) turns; each chunk is checkpointed in the shared folder.
+    ``model(history, n)`` returns ``(by, lead, ts, yhat)``.  Days it leaves out or has missing, as the
+    models here do for a series that cannot be fitted, get the mean of the last 30 rows (or the last
+    row).  Errors of the job itself are not held back.  The loop has ceil(h/step) turns; each chunk is
+    written to the shared folder.
     """
     hist, parts, done = history.select(*by, ts, F.col(y).cast("double").alias(y)), [], 0
     while done < h:
         n = min(step, h - done)
         spine = future_spine(hist, ts, n, by)
         back = mean_or_last(hist, y, ts, by)
-        try:
-            p = model(hist, n).select(*by, ts, "yhat")
-            chunk = join_keys(spine, p, [*by, ts])
-        except ValueError:
-            chunk = spine.withColumn("yhat", F.lit(None).cast("double"))
-        chunk = _attach(chunk, back, by)
+        chunk = _attach(join_keys(spine, model(hist, n).select(*by, ts, "yhat"), [*by, ts]), back, by)
         chunk = cut_lineage(chunk.select(*by, (F.col("lead") + done).alias("lead"), ts,
                                          F.coalesce("yhat", "fallback").alias("yhat")))
         parts.append(chunk)

@@ -191,11 +191,17 @@ def test_chunks_match_the_loop_they_stand_for(spark):
         assert [got[s, i + 1][1] for i in range(10)] == pytest.approx(want) and got[s, 10][0] == DAY(n + 9)
 
 
-def test_a_failing_chunk_falls_back(spark):
+def test_a_series_that_cannot_be_fitted_falls_back(spark):
     def model(hist, n):
-        raise ValueError("no fit")
-    got = bt.forecast_in_chunks(series(spark, a=range(40)), model, 3, 2, by=["s"]).orderBy("lead").collect()
-    assert got[0].yhat == np.mean(range(10, 40)) and len(got) == 3
+        p = baseline(hist, "last", n, by=["s"])
+        return p.withColumn("yhat", F.when(F.col("s") != "b", F.col("yhat")))
+    got = {(r.s, r.lead): r.yhat for r in bt.forecast_in_chunks(series(spark, a=range(40), b=range(40)), model, 3, 2, by=["s"]).collect()}
+    assert got["b", 1] == np.mean(range(10, 40)) and got["a", 1] == 39 and len(got) == 6
+
+    def broken(hist, n):
+        raise RuntimeError("the job itself")
+    with pytest.raises(RuntimeError):
+        bt.forecast_in_chunks(series(spark, a=range(40)), broken, 3, 2, by=["s"])
 
 
 def test_fallback_interval_and_regressors(spark):
