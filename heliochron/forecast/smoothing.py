@@ -21,18 +21,20 @@ def fit_smoothing(history: DataFrame, y: str, ts: str, by: Sequence[str] = (),
     """``(by, alpha, sse, level, n)`` of the factor with the least one-step error (the smaller on ties)."""
     ys = F.transform(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(y).cast("double").alias("y")))),
                      lambda s: s["y"])
-    g = (history.where(F.col(y).isNotNull()).groupBy(*by).agg(ys.alias("__ys"))
-         .select(*by, "__ys", F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha")))
+    g = history.where(F.col(y).isNotNull()).groupBy(*by).agg(ys.alias("__ys"))
+    factors = F.array(*[F.lit(float(a)) for a in alphas])
 
     def step(acc, v):
-        e = v - acc["level"]
-        return F.struct((acc["level"] + F.col("alpha") * e).alias("level"), (acc["sse"] + e * e).alias("sse"))
-
-    fold = F.aggregate(F.slice("__ys", 2, F.greatest(F.size("__ys"), F.lit(1))),
-                       F.struct(F.element_at("__ys", 1).alias("level"), F.lit(0.0).alias("sse")), step)
-    d = g.select(*by, "alpha", F.size("__ys").alias("n"), fold.alias("f"))
-    best = F.min(F.struct(F.col("f.sse").alias("sse"), "alpha", F.col("f.level").alias("level"), "n"))
-    return d.groupBy(*by).agg(best.alias("b")).select(*by, "b.alpha", "b.sse", "b.level", "b.n")
+        """One day for all factors at once."""
+        def one(s, a):
+            e = v - s["level"]
+            return F.struct((s["level"] + a * e).alias("level"), (s["sse"] + e * e).alias("sse"))
+        return F.zip_with(acc, factors, one)
+
+    start = F.transform(factors, lambda a: F.struct(F.element_at("__ys", 1).alias("level"), F.lit(0.0).alias("sse")))
+    fold = F.aggregate(F.slice("__ys", 2, F.greatest(F.size("__ys"), F.lit(1))), start, step)
+    best = F.array_min(F.zip_with(fold, factors, lambda s, a: F.struct(s["sse"].alias("sse"), a.alias("alpha"), s["level"].alias("level"))))
+    return g.select(*by, F.size("__ys").alias("n"), best.alias("b")).select(*by, "b.alpha", "b.sse", "b.level", "n")
 
 
 def forecast_smoothing(history: DataFrame, h: int, y: str = "y", ts: str = "ds", by: Sequence[str] = (),

@@ -80,6 +80,7 @@ def align_month_day(series: DataFrame, dates: DataFrame, ds: str, value: str,
 
 def typical_name(col: str) -> str:
     """``tmy_`` name of a measure: unit brackets removed."""
+    # What goes from a name, in this order.
     for bit, to in (("(h)", ""), ("(n)", ""), ("(", ""), (")", ""), (" ", ""), ("/", "_")):
         col = col.replace(bit, to)
     return f"tmy_{col}"

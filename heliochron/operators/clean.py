@@ -223,6 +223,7 @@ def repair_log(repaired: DataFrame, original: str, ts: str, fixed: str = "fixed_
 
 def clean_name(name: str) -> str:
     """Column name trimmed, blanks and full-width opening brackets to ``_``, closing ones gone."""
+    # The signs replaced and removed.
     return re.sub("）", "", re.sub("[ （]", "_", name.strip()))
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from .ordered import CHUNK, join_keys, series_window, with_halo
+from ..functions.times import MICROS
+from .ordered import CHUNK, chunk_by_time, fill_by_chunk, join_keys, series_window, with_halo
 
 
 def _replace(df: DataFrame, new: Mapping[str, Column]) -> DataFrame:
@@ -22,13 +23,19 @@ def _replace(df: DataFrame, new: Mapping[str, Column]) -> DataFrame:
 
 
 def fill(df: DataFrame, cols: Sequence[str], ts: str, by: Sequence[str] = (), method: str = "ffill",
-         both: bool = True) -> DataFrame:
+         both: bool = True, step: str = "day", width: int | None = None) -> DataFrame:
     """Forward fill then backward (``ffill``), the other way round (``bfill``), or zeros.
 
-    ``both=False`` keeps to the first direction, so nothing leaks from the future.
+    ``both=False`` keeps to the first direction, so nothing leaks from the future.  With ``width`` the
+    fill runs in chunks of so many steps, each handing its last known values on.
     """
     if method == "zero":
         return _replace(df, {c: F.coalesce(F.col(f"`{c}`"), F.lit(0)) for c in cols})
+    if width is not None:
+        out, chunk = df, chunk_by_time(ts, width * MICROS[step] // 1_000_000)
+        for forward in ((True, False) if method == "ffill" else (False, True))[:1 + both]:
+            out = fill_by_chunk(out, cols, ts, chunk, by, forward)
+        return out
     w = series_window(by, ts)
     past, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     ways = [lambda c: F.last(c, True).over(past), lambda c: F.first(c, True).over(ahead)]

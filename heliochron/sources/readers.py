@@ -18,6 +18,7 @@ from ..session import union_all
 BOM = "﻿"
 # A data line of the irradiance model, stamped 20050101:0010 or in ISO form.
 DATA_ROW = r"^\s*(\d{8}:\d{4}|\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\s*,"
+# A number in the preamble (a month and its year there are two numbers with a comma between them).
 NUMBER = r"[-+]?[0-9]*\.?[0-9]+"
 
 

@@ -68,3 +68,14 @@ def test_halo_must_fit(spark):
     d = spark.createDataFrame([("2020-01-01",)], "t string").select(F.col("t").cast("date").alias("ds"))
     with pytest.raises(ValueError):
         o.with_halo(d, "ds", "day", 5, 6)
+
+
+def test_fill_in_chunks_equals_fill(spark):
+    import datetime as dt
+    from heliochron.operators.features import fill
+    rows = [(s, dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i) if (i * 7 + len(s)) % 5 == 0 else None) for s in ("a", "bb") for i in range(40)]
+    d = spark.createDataFrame(rows, "s string, ds date, y double")
+    for method in ("ffill", "bfill"):
+        for both in (True, False):
+            want = sorted(map(tuple, fill(d, ["y"], "ds", ["s"], method, both).collect()), key=str)
+            assert sorted(map(tuple, fill(d, ["y"], "ds", ["s"], method, both, width=3).collect()), key=str) == want
