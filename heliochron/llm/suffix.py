@@ -37,7 +37,7 @@ from .tokens import pick_runs
 V = 64
 NO_ID = -1 << 63
 BUCKET_BYTES = 48 << 20  # text behind a bucket of spans
-SPLIT = 20_000  # differing spans of one anchor that go to one task; more are dealt by their windows
+SPLIT = 1_000  # differing spans of one anchor that go to one task; more are dealt by their windows
 
 
 # ---- suffix order within a task ------------------------------------------------------------------
