@@ -37,6 +37,7 @@ from .tokens import pick_runs
 V = 64
 NO_ID = -1 << 63
 BUCKET_BYTES = 48 << 20  # text behind a bucket of spans
+SLICE = 2 << 20  # characters hashed at a time: a place takes about 70 bytes meanwhile
 SPLIT = 1_000  # differing spans of one anchor that go to one task; more are dealt by their windows
 
 
@@ -222,7 +223,7 @@ def _range_batch(doc, th, s, n, h=None, fan=None):
 def _dealt_spans(texts: DataFrame, width: int, buckets: int) -> DataFrame:
     def run(batches) -> Iterator:
         import pyarrow as pa
-        for part in in_slices(((d, t, th) for d, t, th in rows_of(batches, "doc", "text", "th")), 8 << 20):
+        for part in in_slices(((d, t, th) for d, t, th in rows_of(batches, "doc", "text", "th")), SLICE):
             raw = [r[1].encode("utf-8", "surrogatepass") for r in part]
             ends = np.cumsum([len(x) for x in raw])
             text, s, n, h, c = spans(np.frombuffer(b"".join(raw), np.uint8), ends, width)
