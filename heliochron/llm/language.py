@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_position, in_slices, position, rows_of, stored, texts_of
+from .common import by_position, in_slices, position, rows_of, smallest, stored, texts_of
 from .quality import held_out
 
 ORDER = 5
@@ -106,7 +106,7 @@ def train(docs: DataFrame, sample: int = 20_000, words: int = 20_000, runs: int
     own_id, text = position(docs, "doc_id"), position(docs, "text")
     usable = flat.where(F.col(lang).isNotNull() & F.col(own_id).isNotNull() & ~held_out(F.col(own_id).cast("long"), folds, fold)).select(
         F.col(own_id).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(sample)
+    chosen = smallest(usable.select("doc_id").distinct(), "doc_id", sample)
     counted = stored(_counts(usable.join(F.broadcast(chosen), "doc_id")), "language-counts")  # at most `sample` ids
     top = Window.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "token")
     ranked = counted.where(F.col("n") >= least).withColumn("rank", F.row_number().over(top))

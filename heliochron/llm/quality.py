@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_position, position, rows_of, texts_of
+from .common import by_position, position, rows_of, smallest, texts_of
 from .textstats import SHARES, statistics, words_of
 
 STRUCTURE = [*SHARES, "log_chars", "log_lines", "log_words"]
@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, buckets: int
            .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")))
     texts = texts_of(docs)
     there = texts.select("doc_id").distinct()
-    chosen = lab.join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id")).limit(sample)
+    chosen = smallest(lab.join(there, "doc_id", "left_semi"), "doc_id", sample)
     rows = texts.join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
 
     def features(batches):

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts_of
+from .common import smallest, stored, texts_of
 from .textstats import COUNTS, SHARES, add_statistics
 
 Condition = tuple[str, str, float]
@@ -107,7 +107,8 @@ def in_words(rules) -> list[str]:
 def labelled(stats: DataFrame, labels: DataFrame, sample: int, names: Sequence[str] = FEATURES) -> tuple[np.ndarray, np.ndarray]:
     """(features, bad) of at most ``sample`` labelled rows; rows without a label are passed over."""
     lab = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    rows = (stats.join(lab, "doc_id").select(F.xxhash64("doc_id").alias("o"), "quality", *names).orderBy("o").limit(sample).toPandas())
+    found = smallest(stats.join(lab, "doc_id").select("doc_id", "quality", *names), "doc_id", sample)
+    rows = stored(found, "labelled-statistics").toPandas()
     return rows[list(names)].to_numpy(float), rows["quality"].to_numpy() == 0
 
 
