@@ -16,6 +16,7 @@ repeat both are encoded alike.  Missing and empty texts have no ids.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .anchors import _TABLE, _mix
 from .common import in_slices, rows_of, stored, texts_of
-from .tokens import Encoder, encoder
+from .tokens import Encoder, byte_chars, encoder
 
 NO_ID = -1 << 63
 WINDOW = 32
@@ -66,17 +67,15 @@ def _whole(raw: bytes, at: int) -> int:
 class Codec:
     """Ids to bytes and back for one tokenizer file."""
 
-    def __init__(self, enc: Encoder):
+    def __init__(self, vocab: dict[str, int], enc: Encoder | None = None):
+        """``enc`` is needed to join, not to decode."""
         self.enc = enc
-        vocab = enc.library.get_vocab(True)
-
-        from .tokens import byte_chars
         back = {c: b for b, c in byte_chars().items()}
-        self.raw: list[bytes] = [b""] * enc.size
+        self.raw: list[bytes] = [b""] * (1 + max(vocab.values(), default=0))
         for token, i in vocab.items():
             self.raw[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         self.size = np.array([len(x) for x in self.raw], np.int64)
-        self.text = [str(i).encode() for i in range(enc.size)]
+        self.text = [str(i).encode() for i in range(len(self.raw))]
 
     def bytes_of(self, ids) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids.tolist()))
@@ -141,15 +140,22 @@ class Codec:
             m *= 2
 
 
-def codec(path: str) -> Codec:
+def codec(path: str, joins: bool = True) -> Codec:
+    """The worker's codec for a tokenizer file; one that only decodes needs no encoder in memory."""
     from .common import worker_state
     state = worker_state().setdefault("codecs", {})
-    if path not in state:
-        enc = encoder(path)
-        if enc.layout != "bytes":
-            raise ValueError("chunks are joined for byte-level merges only")
-        state[path] = Codec(enc)
-    return state[path]
+    if (path, joins) not in state:
+        if joins:
+            enc = encoder(path)
+            enc.keep = min(enc.keep, 400_000)
+            if enc.layout != "bytes":
+                raise ValueError("chunks are joined for byte-level merges only")
+            state[path, joins] = Codec(enc.library.get_vocab(True), enc)
+        else:
+            with open(path, encoding="utf-8") as f:
+                spec = json.load(f)
+            state[path, joins] = Codec(spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]})
+    return state[path, joins]
 
 
 def _squeeze(data: bytes) -> bytes:
@@ -202,7 +208,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     def own(batches) -> Iterator:
         import pyarrow as pa
         enc = codec(tokenizer).enc
-        for part in in_slices(((r[1], _expand(r[0]).decode("utf-8", "surrogatepass"), r[1]) for r in rows_of(batches, "packed", "mine")), 4 << 20):
+        for part in in_slices(((r[1], _expand(r[0]).decode("utf-8", "surrogatepass"), r[1]) for r in rows_of(batches, "packed", "mine")), 2 << 20):
             keys, pieces = [], []
             for _, text, mine in part:
                 raw = text.encode("utf-8", "surrogatepass")
@@ -221,7 +227,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
         import pyarrow as pa
         c = codec(tokenizer)
         rows = ((r[0], _expand(r[1]).decode("utf-8", "surrogatepass"), r[2]) for r in rows_of(batches, "doc", "packed", "given"))
-        for part in in_slices(rows, 4 << 20):
+        for part in in_slices(rows, 2 << 20):
             plans, new = [], []
             for _, text, found in part:
                 raw, a, plan = text.encode("utf-8", "surrogatepass"), 0, []
@@ -255,7 +261,7 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded, decoded_sha256) per row of (doc_id, ids, width)."""
     def run(batches) -> Iterator:
         import pyarrow as pa
-        c = codec(tokenizer)
+        c = codec(tokenizer, joins=False)
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded", "decoded_sha256"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
         out = []
