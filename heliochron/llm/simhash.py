@@ -193,40 +193,58 @@ def walk(a: np.ndarray, b: np.ndarray, depth: int, errors: int, budget: int, sam
             stack.append((d + 1, *merged))
 
 
-def links(fps: DataFrame, budget: int = 2, leaf: int = LEAF, counted: int = 64, far: int | None = None) -> DataFrame:
-    """(a, b): links that connect, directly or through others, all pairs of different values of ``fp``
-    that differ in at most ``budget`` of their first ``counted`` bits.
-
-    With ``far``, rows are (fp, node, sketch): pairs also need sketches that differ in ``far`` bits at most, and
-    links are between nodes.
-    """
-    pairs = stored(node_pairs(fps, budget, leaf, counted=counted).withColumn("pair", F.xxhash64("depth", "a", "b")), "trie-leaves")
+def _dealt(fps: DataFrame, budget: int, leaf: int, counted: int) -> DataFrame:
+    """The rows of ``fps`` once for each pair of leaves that their fingerprint is part of."""
+    pairs = stored(node_pairs(fps.select("fp"), budget, leaf, counted=counted).withColumn("pair", F.xxhash64("depth", "a", "b")), "trie-leaves")
     depths = [r[0] for r in pairs.select("depth").distinct().collect()]  # at most 64 / STEP + 1
     sides = pairs.select("pair", "depth", "a", "b", "errors", F.explode(F.expr("IF(a = b, array(a), array(a, b))")).alias("at"))
-    own = ["fp"] if far is None else ["fp", "node", "sketch"]
-    keyed = fps.select(*own, F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.col("fp"), d).alias("at")) for d in depths or [0]])).alias("k")).select(*own, "k.*")
-    dealt = keyed.join(sides, ["depth", "at"]).select("pair", "depth", "a", "b", "errors", "at", *own)
+    keyed = fps.select("*", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.col("fp"), d).alias("at")) for d in depths or [0]])).alias("k")).select(*fps.columns, "k.*")
+    return keyed.join(sides, ["depth", "at"]).select("pair", "depth", "a", "b", "errors", "at", *fps.columns)
+
+
+def _walked(table, budget: int, counted: int):
+    """Row numbers (i, j) of the near fingerprints of one pair of leaves, in arrays."""
+    depth, a, b, errors = (table.column(c)[0].as_py() for c in ("depth", "a", "b", "errors"))
+    fp, at = (table.column(c).to_numpy() for c in ("fp", "at"))
+    fp = fp.view(np.uint64)
+    left, right = ((rows := np.flatnonzero(at == x))[np.argsort(fp[rows], kind="stable")] for x in (a, b))
+    for i, j in walk(fp[left], fp[right], depth, errors, budget, a == b, counted=counted):
+        yield left[i], right[j]
 
+
+def links(fps: DataFrame, budget: int = 2, leaf: int = LEAF) -> DataFrame:
+    """(a, b): links that connect, directly or through others, all pairs of different values of ``fp``
+    that differ in at most ``budget`` bits.
+    """
     def join(table):
         import pyarrow as pa
-        depth, a, b, errors = (table.column(c)[0].as_py() for c in ("depth", "a", "b", "errors"))
-        fp, at = (table.column(c).to_numpy() for c in ("fp", "at"))
-        fp = fp.view(np.uint64)
-        left, right = ((rows := np.flatnonzero(at == x))[np.argsort(fp[rows], kind="stable")] for x in (a, b))
-        if far is None:
-            name = fp
-        else:
-            name = table.column("node").to_numpy().view(np.uint64)
-            bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(fp), -1)
+        name = table.column("fp").to_numpy().view(np.uint64)
         x = y = np.zeros(0, np.uint64)
-        found = walk(fp[left], fp[right], depth, errors, budget, a == b, counted=counted)
-        found = ((left[i], right[j]) for i, j in found)
-        if far is not None:
-            found = ((i[ok], j[ok]) for i, j in found for ok in [np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= far])
-        for some in batched(found, 1 << 20):
+        for some in batched(_walked(table, budget, 64), 1 << 20):
             x, y = forest(*(np.concatenate(v) for v in zip((x, y), *((name[i], name[j]) for i, j in some))))
         return pa.table({"a": x.view(np.int64), "b": y.view(np.int64)})
-    return dealt.groupBy("pair").applyInArrow(join, "a long, b long")
+    return _dealt(fps, budget, leaf, 64).groupBy("pair").applyInArrow(join, "a long, b long")
+
+
+def candidates(fps: DataFrame, budget: int, far: int, share: float, leaf: int = LEAF) -> DataFrame:
+    """(a, b), a < b: all pairs of nodes of (fp, node, n, sketch) that may share ``share`` of their shingles.
+
+    The first 32 bits of ``fp`` differ in at most ``budget``, the sketches in at most ``far``, and the numbers of
+    shingles n allow it.
+    """
+    def join(table):
+        import pyarrow as pa
+        name, n = (table.column(c).to_numpy() for c in ("node", "n"))
+        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(name), -1)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in _walked(table, budget, 32):
+            ok = np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j]) - 1e-6
+            i, j = i[ok], j[ok]
+            ok = np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= far
+            x, y = name[i[ok]], name[j[ok]]
+            a.append(np.minimum(x, y)), b.append(np.maximum(x, y))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+    return _dealt(fps, budget, leaf, 32).groupBy("pair").applyInArrow(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, leaf: int = LEAF) -> DataFrame:
@@ -249,27 +267,40 @@ def named(own: DataFrame, budget: int, leaf: int = LEAF) -> DataFrame:
     return rooted.join(names, "root").select("fp", "component_id")
 
 
-# ---- near copies by estimated similarity ---------------------------------------------------------
+# ---- near copies by the similarity of their shingles ---------------------------------------------
 
 WORDS = 5
-TABLES = 4
-FAR = 46
+TABLES = 6
+FAR = 68
+SHARE = 0.8
+
+
+def _hashes(words: list[bytes], size: int) -> np.ndarray:
+    """Different hashes of the runs of ``size`` words, in order; fewer words are one run, no words give none."""
+    from xxhash import xxh64_intdigest
+    if not words:
+        return np.zeros(0, np.uint64)
+    runs = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [b" ".join(words)]
+    return np.unique(np.array([xxh64_intdigest(s, 42) for s in runs], np.uint64))
 
 
-def sketch(text: str, words: int = WORDS) -> tuple[bytes, list[int]]:
-    """(256 bits over the different shingles of ``words`` words, TABLES keys of 32 bits over those of two words).
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """The different shingles of a text as hashes, in order."""
+    return _hashes(text.encode("utf-8", "surrogatepass").lower().split(), words)
 
-    Two sets that share a part J of their union differ in about 256 * acos(2J / (1 + J)) / pi bits: 39 at 0.8, 43 at
-    0.76, 128 if they have nothing in common.
+
+def sketch(text: str, words: int = WORDS) -> tuple[int, int, bytes, list[int]]:
+    """(hash of the set of shingles, their number, 256 bits over them, TABLES keys of 32 bits over runs of two words).
+
+    Two sets that share a part J of their union differ in about 256 * acos(2J / (1 + J)) / pi bits: 39 at 0.8, 68 at
+    0.5, 128 if they have nothing in common.
     """
     from xxhash import xxh64_intdigest
     found = text.encode("utf-8", "surrogatepass").lower().split()
 
-    def bits(size: int, n: int) -> bytes:
+    def bits(h: np.ndarray, n: int) -> bytes:
         if not found:
             return bytes(8 * n)
-        runs = map(b" ".join, zip(*(found[i:] for i in range(size)))) if len(found) >= size else [b" ".join(found)]
-        h = np.unique(np.array([xxh64_intdigest(s, 42) for s in runs], np.uint64))
         out = []
         for k in range(n):
             ones = np.zeros(64, np.int64)
@@ -279,27 +310,21 @@ def sketch(text: str, words: int = WORDS) -> tuple[bytes, list[int]]:
                 ones += np.unpackbits(v[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
             out.append(np.packbits(ones * 2 > len(v), bitorder="little").tobytes())
         return b"".join(out)
-    return bits(words, 4), np.frombuffer(bits(2, TABLES // 2), np.uint32).tolist()
+    h = _hashes(found, words)
+    node = int(np.array([xxh64_intdigest(h.tobytes(), 7)], np.uint64).view(np.int64)[0])
+    return node, len(h), bits(h, 4), np.frombuffer(bits(_hashes(found, 2), TABLES // 2), np.uint32).tolist()
 
 
-def drop_near_copies(docs: DataFrame, far: int = FAR, budget: int = 3, leaf: int = LEAF) -> DataFrame:
-    """The documents with one of each group of near copies left, the one of the smallest id; columns as they came.
-
-    Near copies share 0.8 or more of their five-word shingles, as estimated by 256 SimHash bits (``far`` of them may
-    differ; the bound lies 7 bits, more than one deviation, above the mean at 0.8).  Candidates are found by trie self-joins
-    over TABLES keys of 32 bits, ``budget`` of which may differ; two-word shingles make these keys, since they change
-    least between copies.  Groups are what links connect.  Rows that repeat id and text stay or go together.
-    """
-    texts = texts_of(docs).withColumn("th", F.xxhash64("text"))
-
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, node, n, sketch, keys) per row; equal nodes are equal sets of shingles."""
     def run(batches) -> Iterator:
         import pyarrow as pa
+        names = ["doc_id", "th", "node", "n", "sketch", "keys"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
         out = []
 
         def batch():
-            cols = list(zip(*out)) if out else [[]] * 4
-            made = pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.int64()), pa.array(list(cols[1]), pa.int64()), pa.array(list(cols[2]), pa.binary()),
-                                               pa.array(list(cols[3]), pa.list_(pa.int64()))], ["doc_id", "th", "sketch", "keys"])
+            made = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 6, types)], names)
             out.clear()
             return made
         for doc_id, text, th in rows_of(batches, "doc_id", "text", "th"):
@@ -307,14 +332,52 @@ def drop_near_copies(docs: DataFrame, far: int = FAR, budget: int = 3, leaf: int
             if len(out) == 5000:
                 yield batch()
         yield batch()
-    own = stored(texts.mapInArrow(run, "doc_id long, th long, sketch binary, keys array<long>").withColumn("node", F.xxhash64("sketch")), "sketches")
-    nodes = stored(own.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "distinct-sketches")
-    edges = None
+    texts = texts_of(docs).withColumn("th", F.xxhash64("text"))
+    return texts.mapInArrow(run, "doc_id long, th long, node long, n long, sketch binary, keys array<long>")
+
+
+def alike(docs: DataFrame, own: DataFrame, pairs: DataFrame, share: float = SHARE) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles share ``share`` of their union or more, by the sets themselves."""
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [shingles(t).view(np.int64) for t in part.column("text").to_pylist()]
+                edges = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(sets)))], ["node", "h"])
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = own.join(used, "node").groupBy("node").agg(F.min("th").alias("th"))
+    every = texts_of(docs).select(F.xxhash64("text").alias("th"), "text")
+    sets = stored(every.join(texts, "th").select("node", "text").mapInArrow(run, "node long, h array<long>").groupBy("node").agg(F.any_value("h").alias("h")), "shingle-sets")
+    both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
+    common = F.size(F.array_intersect("ha", "hb"))
+    return both.where(common / (F.size("ha") + F.size("hb") - common) >= share).select("a", "b")
+
+
+def near_links(docs: DataFrame, own: DataFrame, far: int = FAR, budget: int = 5, leaf: int = LEAF, share: float = SHARE) -> DataFrame:
+    """(a, b): nodes of the stored :func:`sketches` that share ``share`` of their shingles."""
+    nodes = stored(own.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "keys")]), "distinct-sketches")
+    pairs = None
     for t in range(TABLES):
         fp = F.shiftleft(F.col("keys")[t], 32).bitwiseOR(F.col("node").bitwiseAND(F.lit(0xFFFFFFFF)))
-        some = stored(links(nodes.select(fp.alias("fp"), "node", "sketch"), budget, leaf, counted=32, far=far), "near-links")
-        edges = some if edges is None else edges.unionByName(some)
-    roots = components(edges)
+        some = stored(candidates(nodes.select(fp.alias("fp"), "node", "n", "sketch"), budget, far, share, leaf).distinct(), "near-pairs")
+        pairs = some if pairs is None else pairs.unionByName(some)
+    return alike(docs, own, stored(pairs.distinct(), "near-pairs"), share)
+
+
+def drop_near_copies(docs: DataFrame, far: int = FAR, budget: int = 5, leaf: int = LEAF) -> DataFrame:
+    """The documents with one of each group of near copies left, the one of the smallest id; columns as they came.
+
+    Near copies share 0.8 or more of their different five-word shingles, by the sets of the shingles' hashes.
+    Candidates are found by trie self-joins over TABLES keys of 32 bits, ``budget`` of which may differ; two-word
+    shingles make these keys, since they change least between copies.  At 0.8 a pair is missed by all of them in about
+    two of a thousand cases, in three of a hundred if it has only four or five shingles.  ``far`` of 256 SimHash bits
+    may differ before the sets are compared, five deviations more than 0.8 gives.  Groups are what links connect.
+    Rows that repeat id and text stay or go together.
+    """
+    own = stored(sketches(docs), "sketches")
+    roots = components(near_links(docs, own, far, budget, leaf))
     grouped = own.join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
     grouped = stored(grouped, "near-groups")
     best = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("best"), F.count("*").alias("n")).where("n > 1")

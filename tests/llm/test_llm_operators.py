@@ -302,6 +302,39 @@ def test_near_copies(spark, empty, clashing):
     assert drop_near_copies(clashing).columns == clashing.columns
 
 
+def edited(r, words, vocab, similarity, block):
+    """Words changed in one block or in scattered places until the shingles' similarity is about ``similarity``."""
+    n = len(words) - 4
+    part = 2 * similarity / (1 + similarity)  # of each text's shingles
+    c = words.copy()
+    if block:
+        k = max(1, int(n * (1 - part)) - 4)
+        at = int(r.integers(0, len(words) - k))
+        c[at:at + k] = r.choice(vocab, k)
+    else:
+        c[r.choice(len(words), int(-np.log(part) / 5 * len(words)), replace=False)] = r.choice(vocab, int(-np.log(part) / 5 * len(words)))
+    return c
+
+
+def test_near_copies_around_the_threshold(spark):
+    """The documents left equal those of all pairs' exact similarity, from 0.7 to 0.95."""
+    from heliochron.llm.simhash import drop_near_copies, shingles
+    r = np.random.default_rng(21)
+    vocab = np.array(["".join(r.choice(list("abcdefghij"), int(r.integers(3, 9)))) for _ in range(4000)])
+    pairs = []
+    for k in range(240):
+        w = r.choice(vocab, int(r.integers(120, 500)))
+        pairs.append((" ".join(w), " ".join(edited(r, w, vocab, 0.7 + 0.25 * (k % 60) / 59, k % 2 == 0))))
+    exact = [len(x & y) / len(x | y) for a, b in pairs for x, y in [(set(shingles(a).tolist()), set(shingles(b).tolist()))]]
+    table = spark.createDataFrame([(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id long, text string")
+    left = {x.doc_id for x in drop_near_copies(table).collect()}
+    lost = [2 * i + 1 not in left for i in range(len(pairs))]
+    assert all(2 * i in left for i in range(len(pairs)))
+    assert not [e for e, gone in zip(exact, lost) if gone and e < 0.8]
+    assert sum(e >= 0.8 for e in exact) > 100 and sum(e < 0.8 for e in exact) > 60
+    assert sum(gone for e, gone in zip(exact, lost) if e >= 0.8) >= 0.99 * sum(e >= 0.8 for e in exact)
+
+
 def test_exact_dedup(docs, empty, clashing):
     from heliochron.llm.common import stored
     from heliochron.llm.exact import decide, digests, exact_dedup
