@@ -72,8 +72,10 @@ def node_pairs(fps: DataFrame, budget: int, leaf: int = LEAF, step: int = STEP,
     """(depth, a, b, errors): node pairs within the budget whose nodes are small enough for one task, each pair once.
 
     ``fps`` has different values.  A node at the last depth is one fingerprint.  Bits behind the first
-    ``counted`` only split nodes and cost no error.
+    ``counted`` only split nodes and cost no error.  With a column ``grp``, pairs of nodes that both hold the same
+    single group are left out.
     """
+    grouped = "grp" in fps.columns
     spark = fps.sparkSession
     n = fps.count()
     open_ = spark.createDataFrame([(0, 0, 0, n, n)], "a long, b long, errors int, na long, nb long")
@@ -84,12 +86,14 @@ def node_pairs(fps: DataFrame, budget: int, leaf: int = LEAF, step: int = STEP,
         large = open_.where(~small)
         if depth >= 64 or large.isEmpty():
             break
-        child = (fps.groupBy(_prefix(F.col("fp"), depth + step).alias("c")).agg(F.count("*").alias("n"))
+        held = (F.min("grp"), F.max("grp")) if grouped else (F.lit(0), F.lit(1))
+        child = (fps.groupBy(_prefix(F.col("fp"), depth + step).alias("c")).agg(F.count("*").alias("n"), held[0].alias("g"), held[1].alias("h"))
                  .withColumn("up", F.shiftrightunsigned("c", step)))
         child = stored(child, "trie-nodes")
-        ca, cb = child.toDF("ca", "nca", "a"), child.toDF("cb", "ncb", "b")
+        ca, cb = child.toDF("ca", "nca", "ga", "ha", "a"), child.toDF("cb", "ncb", "gb", "hb", "b")
+        one_group = (F.col("ga") == F.col("ha")) & (F.col("gb") == F.col("hb")) & (F.col("ga") == F.col("gb"))
         errors = F.col("errors") + F.lit(int(depth < counted)) * F.bit_count(F.col("ca").bitwiseXOR(F.col("cb")).bitwiseAND(F.lit((1 << step) - 1)))
-        open_ = (large.join(ca, "a").join(cb, "b").where((F.col("a") != F.col("b")) | (F.col("ca") <= F.col("cb")))
+        open_ = (large.join(ca, "a").join(cb, "b").where((F.col("a") != F.col("b")) | (F.col("ca") <= F.col("cb"))).where(~one_group)
                  .select(F.col("ca").alias("a"), F.col("cb").alias("b"), errors.cast("int").alias("errors"), F.col("nca").alias("na"), F.col("ncb").alias("nb"))
                  .where(F.col("errors") <= budget))
         open_ = stored(open_, "trie-pairs")
@@ -140,7 +144,7 @@ def _children(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) ->
     return np.searchsorted(values, ((values[lo] >> shift) | np.uint64(1)) << shift).clip(lo, hi)
 
 
-def _compare(a, b, alo, na, blo, nb, budget, same, mask):
+def _compare(a, b, alo, na, blo, nb, budget, same, mask, ga=None, gb=None):
     """Numbers (i, j) of values of small node pairs that are near enough."""
     counts = na * nb
     k = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -149,41 +153,67 @@ def _compare(a, b, alo, na, blo, nb, budget, same, mask):
     near = np.bitwise_count((a[i] ^ b[j]) & mask) <= budget
     if same:
         near &= i < j
+    if ga is not None:
+        near &= ga[i] != gb[j]
     if near.any():
         yield i[near], j[near]
 
 
-def walk(a: np.ndarray, b: np.ndarray, depth: int, errors: int, budget: int, same: bool, brute: int = 64, width: int = 1 << 16, expand: int = 1 << 20, counted: int = 64):
+def _blocks(alo, na, blo, nb, same, expand):
+    """Node pairs (alo, na, blo, nb) put together or cut until a block has about ``expand`` pairs of values."""
+    large = na * nb > expand
+    rest = np.flatnonzero(~large)
+    upto = np.cumsum((na * nb)[rest])
+    for part in np.split(rest, np.flatnonzero(np.diff(upto // expand)) + 1):
+        if len(part):
+            yield alo[part], na[part], blo[part], nb[part]
+    one = lambda v: np.array([v], np.int64)
+    for k in np.flatnonzero(large):
+        high = min(int(na[k]), max(1, int(expand ** 0.5)))
+        wide = max(1, expand // high)
+        for x in range(0, int(na[k]), high):
+            for y in range(0, int(nb[k]), wide):
+                n, m = min(high, int(na[k]) - x), min(wide, int(nb[k]) - y)
+                if not same or blo[k] + y + m > alo[k] + x:  # else no i < j
+                    yield one(alo[k] + x), one(n), one(blo[k] + y), one(m)
+
+
+def walk(a: np.ndarray, b: np.ndarray, depth: int, errors: int, budget: int, same: bool, brute: int = 64, width: int = 1 << 16, expand: int = 1 << 20, counted: int = 64,
+         ga: np.ndarray | None = None, gb: np.ndarray | None = None):
     """Numbers (i, j) of sorted values of two nodes that differ in at most ``budget`` of the first ``counted`` bits.
 
     Yields arrays.  ``errors`` bits of the prefixes differ already; ``same``: both nodes are one node.
     At most about ``width`` node pairs are walked down at a time, depth first over the rest, and about
-    ``expand`` pairs of values compared.
+    ``expand`` pairs of values compared.  ``ga``, ``gb``: groups of the values; pairs within a group are left out,
+    node pairs that hold one group as a whole.
     """
     one = lambda v: np.array([v], np.int64)
     mask = np.uint64((1 << 64) - (1 << (64 - counted)))
-    stack = [(depth, one(0), one(len(a)), one(0), one(len(b)), one(errors))]
+    if ga is not None:
+        turns_a, turns_b = (np.concatenate([[0], np.cumsum(g[1:] != g[:-1])]) for g in (ga, gb))
+    stack = [(depth, one(0), one(len(a)), one(0), one(len(b)), one(errors))] if len(a) and len(b) else []
     while stack:
         d, alo, ahi, blo, bhi, err = stack.pop()
         if len(alo) > width:
             half = len(alo) // 2
             stack += [(d, *(v[:half] for v in (alo, ahi, blo, bhi, err))), (d, *(v[half:] for v in (alo, ahi, blo, bhi, err)))]
             continue
+        if ga is not None:
+            mixed = (turns_a[alo] != turns_a[ahi - 1]) | (turns_b[blo] != turns_b[bhi - 1]) | (ga[alo] != gb[blo])
+            alo, ahi, blo, bhi, err = (v[mixed] for v in (alo, ahi, blo, bhi, err))
         na, nb = ahi - alo, bhi - blo
-        small = (na * nb <= brute) | (d >= counted)
-        if small.any():
-            own_pairs = np.flatnonzero(small)
-            upto = np.cumsum((na * nb)[own_pairs])
-            for part in np.split(own_pairs, np.flatnonzero(np.diff(upto // expand)) + 1):
-                yield from _compare(a, b, alo[part], na[part], blo[part], nb[part], budget, same, mask)
+        small = (na * nb <= brute) | ((d >= counted) & (na * nb <= expand)) | (d >= 64)
+        for block in _blocks(alo[small], na[small], blo[small], nb[small], same, expand):
+            yield from _compare(a, b, *block, budget, same, mask, ga, gb)
         keep = ~small
         if not keep.any():
             continue
         alo, ahi, blo, bhi, err = (v[keep] for v in (alo, ahi, blo, bhi, err))
         am, bm = _children(a, alo, ahi, d), _children(b, blo, bhi, d)
         own = same & (alo == blo) & (ahi == bhi)
+        apart = int(d < counted)
         parts = []
-        for al, ah, bl, bh, more, skip in ((alo, am, blo, bm, 0, None), (am, ahi, bm, bhi, 0, None), (alo, am, bm, bhi, 1, None), (am, ahi, blo, bm, 1, own)):
+        for al, ah, bl, bh, more, skip in ((alo, am, blo, bm, 0, None), (am, ahi, bm, bhi, 0, None), (alo, am, bm, bhi, apart, None), (am, ahi, blo, bm, apart, own)):
             ok = (ah > al) & (bh > bl) & (err + more <= budget)
             if skip is not None:
                 ok &= ~skip
@@ -195,7 +225,7 @@ def walk(a: np.ndarray, b: np.ndarray, depth: int, errors: int, budget: int, sam
 
 def _dealt(fps: DataFrame, budget: int, leaf: int, counted: int) -> DataFrame:
     """The rows of ``fps`` once for each pair of leaves that their fingerprint is part of."""
-    pairs = stored(node_pairs(fps.select("fp"), budget, leaf, counted=counted).withColumn("pair", F.xxhash64("depth", "a", "b")), "trie-leaves")
+    pairs = stored(node_pairs(fps.select(*[c for c in ("fp", "grp") if c in fps.columns]), budget, leaf, counted=counted).withColumn("pair", F.xxhash64("depth", "a", "b")), "trie-leaves")
     depths = [r[0] for r in pairs.select("depth").distinct().collect()]  # at most 64 / STEP + 1
     sides = pairs.select("pair", "depth", "a", "b", "errors", F.explode(F.expr("IF(a = b, array(a), array(a, b))")).alias("at"))
     keyed = fps.select("*", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.col("fp"), d).alias("at")) for d in depths or [0]])).alias("k")).select(*fps.columns, "k.*")
@@ -208,7 +238,9 @@ def _walked(table, budget: int, counted: int):
     fp, at = (table.column(c).to_numpy() for c in ("fp", "at"))
     fp = fp.view(np.uint64)
     left, right = ((rows := np.flatnonzero(at == x))[np.argsort(fp[rows], kind="stable")] for x in (a, b))
-    for i, j in walk(fp[left], fp[right], depth, errors, budget, a == b, counted=counted):
+    grp = table.column("grp").to_numpy() if "grp" in table.column_names else None
+    ga, gb = (None, None) if grp is None else (grp[left], grp[right])
+    for i, j in walk(fp[left], fp[right], depth, errors, budget, a == b, counted=counted, ga=ga, gb=gb):
         yield left[i], right[j]
 
 
@@ -227,7 +259,7 @@ def links(fps: DataFrame, budget: int = 2, leaf: int = LEAF) -> DataFrame:
 
 
 def candidates(fps: DataFrame, budget: int, far: int, share: float, leaf: int = LEAF) -> DataFrame:
-    """(a, b), a < b: all pairs of nodes of (fp, node, n, sketch) that may share ``share`` of their shingles.
+    """(a, b), a < b: all pairs of nodes of (fp, node, grp, n, sketch) of different groups that may share ``share`` of their shingles.
 
     The first 32 bits of ``fp`` differ in at most ``budget``, the sketches in at most ``far``, and the numbers of
     shingles n allow it.
@@ -273,6 +305,7 @@ WORDS = 5
 TABLES = 6
 FAR = 68
 SHARE = 0.8
+HOT = 64  # groups with one key from which on they are compared with one of them first
 
 
 def _hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -355,15 +388,58 @@ def alike(docs: DataFrame, own: DataFrame, pairs: DataFrame, share: float = SHAR
     return both.where(common / (F.size("ha") + F.size("hb") - common) >= share).select("a", "b")
 
 
-def near_links(docs: DataFrame, own: DataFrame, far: int = FAR, budget: int = 5, leaf: int = LEAF, share: float = SHARE) -> DataFrame:
-    """(a, b): nodes of the stored :func:`sketches` that share ``share`` of their shingles."""
+def _near(pairs: DataFrame, far: int, share: float) -> DataFrame:
+    """(a, b), a < b, of those rows (a, na, sa, b, nb, sb) whose sketches and numbers of shingles allow ``share``."""
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+        for batch in batches:
+            a, b, na, nb = (batch.column(c).to_numpy() for c in ("a", "b", "na", "nb"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(a), -1) for c in ("sa", "sb"))
+            ok = (np.minimum(na, nb) >= share * np.maximum(na, nb) - 1e-6) & (np.bitwise_count(x ^ y).sum(1) <= far)
+            yield pa.RecordBatch.from_arrays([pa.array(f(a[ok], b[ok])) for f in (np.minimum, np.maximum)], ["a", "b"])
+    return pairs.select("a", "na", "sa", "b", "nb", "sb").mapInArrow(run, "a long, b long").distinct()
+
+
+def gathered(docs: DataFrame, own: DataFrame, nodes: DataFrame, far: int, share: float, hot: int = HOT, turns: int = 8) -> tuple[DataFrame, DataFrame | None]:
+    """``nodes`` with groups ``grp`` of nodes that true links connect, and these links (None: no key is hot).
+
+    Only for keys that ``hot`` groups or more have: their nodes are compared with one of them, turn by turn another
+    one, as long as that finds links.  So a large group of near copies is one group before pairs are looked for.
+    """
+    links, grouped = None, nodes.withColumn("grp", F.col("node"))
+    for turn in range(turns):
+        keyed = grouped.select("node", "grp", "n", "sketch", F.posexplode("keys").alias("t", "key"))
+        first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "grp", "n", "sketch")).alias("m")
+        centres = (keyed.groupBy("t", "key", "grp").agg(first).groupBy("t", "key").agg(F.count("*").alias("groups"), F.min("m").alias("m"))
+                   .where(F.col("groups") >= hot))
+        centres = stored(centres.select("t", "key", F.col("m.node").alias("b"), F.col("m.grp").alias("gb"), F.col("m.n").alias("nb"), F.col("m.sketch").alias("sb")), "centres")
+        if centres.isEmpty():
+            break
+        spokes = keyed.join(centres, ["t", "key"]).where(F.col("grp") != F.col("gb"))
+        pairs = stored(_near(spokes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), "b", "nb", "sb"), far, share), "near-pairs")
+        found = stored(alike(docs, own, pairs, share), "near-links")
+        if found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        grouped = stored(nodes.join(components(links), "node", "left").withColumn("grp", F.coalesce("root", "node")).drop("root"), "gathered")
+    return grouped, links
+
+
+def near_links(docs: DataFrame, own: DataFrame, far: int = FAR, budget: int = 5, leaf: int = LEAF, share: float = SHARE, hot: int = HOT) -> DataFrame:
+    """(a, b): links that connect all nodes of the stored :func:`sketches` that share ``share`` of their shingles.
+
+    Behind a key of 32 bits a fingerprint has 12 of the group, then 20 of the node: a group lies in one part of the trie.
+    """
     nodes = stored(own.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "keys")]), "distinct-sketches")
+    nodes, links = gathered(docs, own, nodes, far, share, hot)
     pairs = None
+    low = F.shiftleft(F.xxhash64("grp").bitwiseAND(F.lit(0xFFF)), 20).bitwiseOR(F.col("node").bitwiseAND(F.lit(0xFFFFF)))
     for t in range(TABLES):
-        fp = F.shiftleft(F.col("keys")[t], 32).bitwiseOR(F.col("node").bitwiseAND(F.lit(0xFFFFFFFF)))
-        some = stored(candidates(nodes.select(fp.alias("fp"), "node", "n", "sketch"), budget, far, share, leaf).distinct(), "near-pairs")
+        fp = F.shiftleft(F.col("keys")[t], 32).bitwiseOR(low)
+        some = stored(candidates(nodes.select(fp.alias("fp"), "node", "grp", "n", "sketch"), budget, far, share, leaf).distinct(), "near-pairs")
         pairs = some if pairs is None else pairs.unionByName(some)
-    return alike(docs, own, stored(pairs.distinct(), "near-pairs"), share)
+    found = alike(docs, own, stored(pairs.distinct(), "near-pairs"), share)
+    return found if links is None else found.unionByName(links)
 
 
 def drop_near_copies(docs: DataFrame, far: int = FAR, budget: int = 5, leaf: int = LEAF) -> DataFrame:

@@ -335,6 +335,40 @@ def test_near_copies_around_the_threshold(spark):
     assert sum(gone for e, gone in zip(exact, lost) if e >= 0.8) >= 0.99 * sum(e >= 0.8 for e in exact)
 
 
+def test_one_key_with_many_values_is_walked_in_blocks(monkeypatch):
+    from heliochron.llm import simhash
+    r = np.random.default_rng(2)
+    v = np.sort((np.uint64(5) << np.uint64(32)) | np.arange(700, dtype=np.uint64) * np.uint64(6_000_000))
+    sizes, compare = [], simhash._compare
+    monkeypatch.setattr(simhash, "_compare", lambda a, b, alo, na, blo, nb, *rest: sizes.append(int((na * nb).sum())) or compare(a, b, alo, na, blo, nb, *rest))
+    for grouped in (False, True):
+        g = np.arange(700) // 650 if grouped else np.arange(700)
+        got = [(i, j) for x, y in simhash.walk(v, v, 0, 0, 3, True, expand=1000, counted=32, ga=g, gb=g) for i, j in zip(x.tolist(), y.tolist())]
+        assert len(got) == len(set(got)) == (650 * 50 if grouped else 700 * 699 // 2) and all(i < j and g[i] != g[j] for i, j in got)
+        assert max(sizes) <= 2000
+    same = np.full(700, 7, np.uint64)  # equal in all bits: nothing left to split by
+    sizes.clear()
+    assert sum(len(x) for x, _ in simhash.walk(same, same, 0, 0, 3, True, expand=1000, counted=32)) == 700 * 699 // 2 and max(sizes) <= 2000
+
+
+def test_large_group_of_near_copies(spark):
+    """Nearly all pairs of a large group are never made; the group goes but for one, other documents stay."""
+    from heliochron.llm import simhash
+    from heliochron.llm.common import stored
+    r = np.random.default_rng(22)
+    vocab = np.array(["".join(r.choice(list("abcdefghij"), int(r.integers(3, 9)))) for _ in range(4000)])
+    base, texts = r.choice(vocab, 600), []
+    for _ in range(400):
+        c = base.copy()
+        c[int(r.integers(0, 600))] = "changed" + str(len(texts))
+        texts.append(" ".join(c))
+    texts += [" ".join(r.choice(vocab, 300)) for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = stored(simhash.sketches(docs), "sketches")
+    assert simhash.near_links(docs, own).count() < 400 * 399 / 2 / 10
+    assert sorted(x.doc_id for x in simhash.drop_near_copies(docs).collect()) == [0, *range(400, 450)]
+
+
 def test_exact_dedup(docs, empty, clashing):
     from heliochron.llm.common import stored
     from heliochron.llm.exact import decide, digests, exact_dedup
