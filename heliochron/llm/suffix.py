@@ -39,6 +39,7 @@ NO_ID = -1 << 63
 BUCKET_BYTES = 48 << 20  # text behind a bucket of spans
 SLICE = 2 << 20  # characters hashed at a time: a place takes about 70 bytes meanwhile
 SPLIT = 1_000  # differing spans of one anchor that go to one task; more are dealt by their windows
+HELD = 4_000  # spans dealt by windows among which equal windows are settled before they are sent
 
 
 # ---- suffix order within a task ------------------------------------------------------------------
@@ -264,31 +265,74 @@ def _judged(dealt: DataFrame) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(judge, RANGES + ", h long, fan int")
 
 
-def _borders(texts: DataFrame, open_: DataFrame, width: int, buckets: int) -> DataFrame:
-    """The windows of open spans that stand earlier too, as ranges."""
+def _pieces(texts: DataFrame, open_: DataFrame, width: int, buckets: int) -> DataFrame:
+    """(bucket, doc, th, s, n, bytes, mine): the bytes of open spans and which windows in them are judged there.
+
+    Of spans dealt by window, equal windows are settled ``HELD`` spans at a time: only the earliest is sent, the
+    others are ranges (s, n) without bytes.  So a window comes to its share once per ``HELD`` spans, however often it stands.
+    """
     lists = open_.groupBy("doc", "th").agg(F.collect_list(F.struct("s", "n", "h", "fan")).alias("spans"))
 
     def fetch(batches) -> Iterator:
         import pyarrow as pa
-        schema = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("th", pa.int64()), ("s", pa.int64()), ("bytes", pa.binary()), ("mine", pa.binary())])
-        out = []
+        schema = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("th", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary()), ("mine", pa.binary())])
+        out, held = [], []
+
+        def row(bucket, doc, th, s, n, piece=None, mine=None):
+            out.append({"bucket": bucket % buckets, "doc": doc, "th": th, "s": s, "n": n, "bytes": piece, "mine": mine})
+
+        def dealt():
+            first: dict[bytes, tuple] = {}
+            for doc, th, s, n, h, fan, piece in sorted(set(held)):
+                shares: dict[int, list[int]] = {}
+                begin = None
+                for i in range(n):
+                    w = piece[i:i + width]
+                    place = first.setdefault(w, (doc, th, s + i))
+                    if place == (doc, th, s + i):  # equal windows meet in one share, whatever else stands around them
+                        shares.setdefault(int.from_bytes(hashlib.blake2b(w, digest_size=4).digest(), "little") % fan, []).append(i)
+                        if begin is not None:
+                            row(doc, doc, th, s + begin, i - begin)
+                        begin = None
+                    elif begin is None:
+                        begin = i
+                if begin is not None:
+                    row(doc, doc, th, s + begin, n - begin)
+                for k, at in shares.items():
+                    mine = bytearray(at[-1] - at[0] + 1)
+                    for i in at:
+                        mine[i - at[0]] = 1
+                    row(h + k, doc, th, s + at[0], len(mine), piece[at[0]:at[-1] + width], bytes(mine))
+            held.clear()
         for doc, th, text, found in rows_of(batches, "doc", "th", "text", "spans"):
             raw = text.encode("utf-8", "surrogatepass")
             for x in found:
                 piece, n = raw[x["s"]:x["s"] + x["n"] + width - 1], x["n"]
                 if x["fan"] == 1:
-                    shares = {0: b"\1" * n}
-                else:  # equal windows meet in one share, whatever else stands around them
-                    at = [int.from_bytes(hashlib.blake2b(piece[i:i + width], digest_size=4).digest(), "little") % x["fan"] for i in range(n)]
-                    shares = {k: bytes(a == k for a in at) for k in set(at)}
-                out += [{"bucket": (x["h"] + k) % buckets, "doc": doc, "th": th, "s": x["s"], "bytes": piece, "mine": m} for k, m in shares.items()]
-            if len(out) >= 4000:
-                yield pa.RecordBatch.from_pylist(out, schema)
-                out = []
-        yield pa.RecordBatch.from_pylist(out, schema)
+                    row(x["h"], doc, th, x["s"], n, piece, b"\1" * n)
+                else:
+                    held.append((doc, th, x["s"], n, x["h"], x["fan"], piece))
+                if len(held) >= HELD:
+                    dealt()
+            while len(out) >= 4000:
+                yield pa.RecordBatch.from_pylist(out[:4000], schema)
+                del out[:4000]
+        dealt()
+        for at in range(0, len(out), 4000):
+            yield pa.RecordBatch.from_pylist(out[at:at + 4000], schema)
+    return texts.join(lists, ["doc", "th"]).select("doc", "th", "text", "spans").mapInArrow(
+        fetch, "bucket int, doc long, th long, s long, n int, bytes binary, mine binary")
+
 
+def _borders(texts: DataFrame, open_: DataFrame, width: int, buckets: int) -> DataFrame:
+    """The windows of open spans that stand earlier too, as ranges."""
     def settle(table):
         import pyarrow as pa
+        import pyarrow.compute as pc
+        known = table.filter(pc.is_null(table.column("bytes"))).select(["doc", "th", "s", "n"])
+        table = table.filter(pc.is_valid(table.column("bytes")))
+        if not table.num_rows:
+            return known
         rows = sorted(set(zip(*(table.column(c).to_pylist() for c in ("doc", "th", "s", "mine", "bytes")))))
         # Anchors are put at multiples of V: equal windows then stand at equal places modulo V.
         raw = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
@@ -307,6 +351,13 @@ def _borders(texts: DataFrame, open_: DataFrame, width: int, buckets: int) -> Da
         mine = np.zeros(len(text), bool)
         mine[pick_runs(begins, sizes - width + 1)] = np.frombuffer(b"".join(r[3] for r in rows), np.uint8) > 0
         places = np.flatnonzero(mine)
+        if any(x[:2] == y[:2] and x[2] + len(x[3]) > y[2] for x, y in zip(rows, rows[1:])):  # a document read twice, cut differently
+            o = np.searchsorted(begins, places, "right") - 1
+            place = [places - begins[o] + np.array([r[2] for r in rows], np.int64)[o], *(np.array([r[k] for r in rows], np.int64)[o] for k in (1, 0))]
+            order = np.lexsort(place)
+            again = np.zeros(len(order), bool)
+            again[1:] = np.logical_and.reduce([np.diff(v[order]) == 0 for v in place])
+            places = np.delete(places, order[again])
         hit = places[repeated(text, places, width)]
         owner = np.searchsorted(begins, hit, "right") - 1
         start = np.ones(len(hit), bool)
@@ -314,11 +365,9 @@ def _borders(texts: DataFrame, open_: DataFrame, width: int, buckets: int) -> Da
         a = np.flatnonzero(start)
         n, o = np.diff(np.append(a, len(hit))), owner[a]
         doc, th, s = (np.array([r[k] for r in rows], np.int64)[o] for k in range(3))
-        return pa.Table.from_batches([_range_batch(doc, th, s + hit[a] - begins[o], n)])
+        return pa.concat_tables([known, pa.Table.from_batches([_range_batch(doc, th, s + hit[a] - begins[o], n)])])
 
-    fetched = texts.join(lists, ["doc", "th"]).select("doc", "th", "text", "spans").mapInArrow(
-        fetch, "bucket int, doc long, th long, s long, bytes binary, mine binary")
-    return fetched.groupBy("bucket").applyInArrow(settle, RANGES)
+    return _pieces(texts, open_, width, buckets).groupBy("bucket").applyInArrow(settle, RANGES)
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -242,6 +242,27 @@ def test_anchor_splits_of_many_contexts(spark, monkeypatch):
     assert sum(x[2] > 0 for x in whole) == 59
 
 
+def test_common_windows_are_sent_once_a_task(spark, monkeypatch):
+    """A window in very many documents reaches its share once per task and HELD spans; documents read twice change nothing."""
+    from heliochron.llm import suffix
+    r = np.random.default_rng(9)
+    line = "this very common line stands in all of the documents of this corpus, whatever else may stand around it in them, and is long enough to go. "
+    rows = [(i, "".join(map(chr, r.integers(97, 123, 150))) + line + "".join(map(chr, r.integers(97, 123, 150)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    twice = spark.createDataFrame(rows + rows[::-1], "doc_id long, text string")
+    whole = sorted(map(tuple, suffix.repeat_digests(docs).drop("kept").collect()))
+    monkeypatch.setattr(suffix, "SPLIT", 7)
+    texts = suffix.keyed(docs)
+    pieces = suffix._pieces(texts.coalesce(1), suffix._judged(suffix._dealt_spans(texts, 100, 4)).where("fan > 0").coalesce(1), 100, 4).repartition(1).collect()
+    times = Counter(bytes(p.bytes[i:i + 100]) for p in pieces if p.bytes is not None for i, own in enumerate(p.mine) if own)
+    common = [n for w, n in times.items() if w.decode() in line]
+    assert common and max(common) <= 4  # partitions of the shuffle; one piece a document before
+    for held in (4_000, 5):
+        monkeypatch.setattr(suffix, "HELD", held)
+        assert sorted(map(tuple, suffix.repeat_digests(docs).drop("kept").collect())) == whole
+        assert sorted(map(tuple, suffix.repeat_digests(twice).drop("kept").collect())) == sorted(whole + whole)
+
+
 def fingerprint(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
     import xxhash
