@@ -6,7 +6,7 @@ import sys
 import types
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -67,6 +67,15 @@ def smallest(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.where(h <= bound).orderBy(h, key).limit(n)
 
 
+def smallest_each(df: DataFrame, by: str, key: str, n: int) -> DataFrame:
+    """At most n rows for each value of ``by``, those of the smallest hash of the key; about 4 * n of each are ordered."""
+    h, totals = F.xxhash64(key), df.groupBy(by).agg(F.count("*").alias("total_"))
+    bound = F.when(F.col("total_") <= 4 * n, (1 << 63) - 1).otherwise((-(1 << 63) + F.lit(4.0 * n) / F.col("total_") * float(1 << 64)).cast("long"))
+    order = Window.partitionBy(by).orderBy(h, key)
+    return (df.join(F.broadcast(totals), by).where(h <= bound).withColumn("rank_", F.row_number().over(order))  # one row a value of ``by``
+            .where(F.col("rank_") <= n).select(*df.columns))
+
+
 def worker_state() -> dict:
     """A dictionary that lives as long as the Python worker: tables that every task would build again."""
     return sys.modules.setdefault("heliochron_llm_worker_state", types.ModuleType("heliochron_llm_worker_state")).__dict__

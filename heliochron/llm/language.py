@@ -6,7 +6,8 @@ one, as the mean log frequency of the runs known.  A text's score of a language
 the prediction is the largest (ties: the smaller name), its score the share of it among all languages.
 
 The model is counted by Spark over at most ``sample`` labelled documents (those of the smallest hash of the
-id) with their whole texts, and bounded: ``words`` words and ``runs`` runs of each length per language.
+id) and at most ``each`` of every language (chosen likewise), so that a rare one is learnt too.  They are taken with their
+whole texts, and the model is bounded: ``words`` words and ``runs`` runs of each length per language.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_position, in_slices, position, rows_of, smallest, stored, texts_of
+from .common import by_position, in_slices, position, rows_of, smallest, smallest_each, stored, texts_of
 from .quality import held_out
 
 ORDER = 5
@@ -100,14 +101,15 @@ def _counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, kind int, token string, n long").groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, sample: int = 20_000, words: int = 20_000, runs: int = 10_000, least: int = 2, folds: int = 4, fold: int = 2) -> Languages:
+def train(docs: DataFrame, sample: int = 20_000, words: int = 20_000, runs: int = 10_000, least: int = 2, folds: int = 4, fold: int = 2, each: int = 500) -> Languages:
     """Count a model over labelled documents outside the held-out fold; nothing to learn from gives no languages."""
     flat, lang = by_position(docs), position(docs, "lang")
     own_id, text = position(docs, "doc_id"), position(docs, "text")
     usable = flat.where(F.col(lang).isNotNull() & F.col(own_id).isNotNull() & ~held_out(F.col(own_id).cast("long"), folds, fold)).select(
         F.col(own_id).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     chosen = smallest(usable.select("doc_id").distinct(), "doc_id", sample)
-    counted = stored(_counts(usable.join(F.broadcast(chosen), "doc_id")), "language-counts")  # at most `sample` ids
+    chosen = chosen.unionByName(smallest_each(usable.select("lang", "doc_id").distinct(), "lang", "doc_id", each).select("doc_id")).distinct()
+    counted = stored(_counts(usable.join(F.broadcast(chosen), "doc_id")), "language-counts")  # at most `sample` ids and `each` a language
     top = Window.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "token")
     ranked = counted.where(F.col("n") >= least).withColumn("rank", F.row_number().over(top))
     kept = ranked.where(F.col("rank") <= F.when(F.col("kind") == 0, words).otherwise(runs)).drop("rank")

@@ -465,6 +465,18 @@ def test_language(spark, empty, clashing):
     assert identify(empty).count() == 0
 
 
+def test_rare_language_is_learnt(spark):
+    from heliochron.llm.common import smallest_each
+    from heliochron.llm.language import identify, train
+    r = np.random.default_rng(16)
+    make = lambda letters: " ".join("".join(r.choice(list(letters), int(r.integers(2, 7)))) for _ in range(40))
+    table = spark.createDataFrame([(i, make("abcdefg" if i % 100 else "tuvwxyz"), "xx" if i % 100 else "rare") for i in range(1200)], "doc_id long, text string, lang string")
+    assert train(table, sample=20).names == ["rare", "xx"]
+    assert {x.lang_pred for x in identify(table, sample=20).collect() if x.doc_id % 100 == 0} == {"rare"}
+    got = Counter(x.lang for x in smallest_each(table.select("lang", "doc_id"), "lang", "doc_id", 50).collect())
+    assert got == {"xx": 50, "rare": 12}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     r = np.random.default_rng(12)
