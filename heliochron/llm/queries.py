@@ -105,3 +105,21 @@ def bpe_chunk_reuse(spark: SparkSession, sf: str) -> DataFrame:
     from .bpe import decode_documents, encode_documents
     path = vocabulary("byte_bpe_50k.json")
     return decode_documents(encode_documents(documents(spark, sf), path), path).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op11_secret_scan")
+def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    from .secrets import find_secrets
+    return find_secrets(documents(spark, sf))
+
+
+@query("op12_conversation_repair")
+def conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    from .conversations import repaired_conversations
+    return repaired_conversations(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
+@query("op13_periodic_runs")
+def periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    from .periods import periodic_runs as found
+    return found(documents(spark, sf))
