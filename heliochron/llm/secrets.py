@@ -35,8 +35,11 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ONE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
-WRAPPED = re.compile(r"%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#[0-9xX]|[A-Za-z0-9+/_-]{16}")
+KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+# Tables that mark the letters of a run, so that a plain search finds long ones.
+_HEX = bytes(chr(c) in "0123456789abcdef" for c in range(256))
+_CODE = bytes(c < 128 and (chr(c).isalnum() or chr(c) in "+/_-") for c in range(256))
 INFLATED = 64 << 20  # characters that one compressed code may unpack to; beyond, the code itself is reported
 
 
@@ -72,13 +75,26 @@ def scan(text: str) -> Iterator[tuple[int, int, int]]:
     """(kind, start, end) of what stands openly in a text; kind is a number in ``KINDS``.
 
     Matches of a kind are leftmost and do not overlap; a find that is too short still takes its characters.
+    A pattern is tried only where a plain search shows that it may match.
     """
-    for m in ASSIGN.finditer(text):
-        if m.end(1) - m.start(1) >= 6:
-            yield 0, *m.span()
-    for kind, pattern in ((1, ACCESS), (2, HEX)):  # runs are taken whole, so the least length may stand in the pattern
-        for m in pattern.finditer(text):
-            yield kind, *m.span()
+    raw = text.encode("utf-8", "surrogatepass")
+    low = raw.lower()
+    if any(k in low for k in KEYWORDS):
+        for m in ASSIGN.finditer(text):
+            if m.end(1) - m.start(1) >= 6:
+                yield 0, *m.span()
+    # Runs are taken whole, so the least length may stand in the pattern.
+    if b"AKIA" in raw:
+        for m in ACCESS.finditer(text):
+            yield 1, *m.span()
+    if b"\1" * 24 in raw.translate(_HEX):
+        for m in HEX.finditer(text):
+            yield 2, *m.span()
+
+
+def wrapped(text: str) -> bool:
+    """Whether a text may hold something encoded."""
+    return "%" in text or "\\" in text or "&#" in text or b"\1" * 16 in text.encode("utf-8", "surrogatepass").translate(_CODE)
 
 
 def _characters(raw: bytes) -> list[tuple[str, int]]:
@@ -156,14 +172,15 @@ def _unpacked(raw: bytes) -> bytes | None:
             return lzma.LZMADecompressor().decompress(raw, INFLATED + 1)
         if raw[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
-            return zstandard.ZstdDecompressor().decompressobj().decompress(raw)[:INFLATED + 1]
+            return zstandard.ZstdDecompressor().stream_reader(raw).read(INFLATED + 1)
     except Exception:  # each library has errors of its own for bytes that only look compressed
         return None
     return None
 
 
 def _decoded(layer: Layer, found: set) -> Iterator[Layer]:
-    for m in BASE64.finditer(layer.text):
+    codes = BASE64.finditer(layer.text) if b"\1" * 16 in layer.text.encode("utf-8", "surrogatepass").translate(_CODE) else ()
+    for m in codes:
         a, b = m.span()
         raw = _bytes_of(m[0])
         if not raw:
@@ -204,7 +221,7 @@ def _decoded(layer: Layer, found: set) -> Iterator[Layer]:
 def secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(what stands openly, all spans), each (start, kind, end) in order."""
     base = sorted((a, kind, b) for kind, a, b in scan(text))
-    if not WRAPPED.search(text):
+    if not wrapped(text):
         return base, base
     found: set[tuple[int, int, int]] = set()
     first = Layer(text, range(len(text)), range(1, len(text) + 1))
