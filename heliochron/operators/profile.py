@@ -129,9 +129,9 @@ def infer_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> list[str]
 
 def profile_folder(spark, path, ts: str, value_columns: Sequence[str] | None = None,
                    recursive: bool = False) -> DataFrame:
-    """Profile of every CSV below a folder, one scan per distinct header."""
-    from ..sources.readers import union_folder
-    d = union_folder(spark, path, clean=False, recursive=recursive, with_file=True)
+    """Profile of every CSV below a folder, each in its own encoding and separator; one scan per distinct layout."""
+    from ..sources.readers import read_folder_any
+    d = read_folder_any(spark, path, clean=False, recursive=recursive, with_file=True)
     num = list(value_columns or infer_numeric(d, [c for c in d.columns if c not in (ts, "file")]))
     d = d.select(*[parse_time(F.col(c)).alias(c) if c == ts else to_number(F.col(f"`{c}`")).alias(c) if c in num
                    else F.col(f"`{c}`") for c in d.columns])

@@ -150,3 +150,70 @@ def test_scratch_needs_a_shared_folder_and_can_be_removed(spark, tmp_path, monke
         sparkContext = Elsewhere
     with pytest.raises(RuntimeError):
         session.scratch_path(Far, "t")
+
+
+def test_first_lines_take_one_task_a_file(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("h\n" + "x\n" * 400_000)
+    for i in range(5):
+        (tmp_path / f"s{i}.csv").write_bytes(b"caf\xe9;\n2\n3\n")
+    (tmp_path / "empty.csv").write_text("")
+    d = src.first_lines(spark, str(tmp_path), 2)
+    got = {os.path.basename(r.file): [bytes(x) for x in r.lines] for r in d.collect()}
+    assert got == {"long.csv": [b"h", b"x"], **{f"s{i}.csv": [b"caf\xe9;", b"2"] for i in range(5)}}
+    assert d.rdd.getNumPartitions() >= 6 and spark.conf.get("spark.sql.files.openCostInBytes") != str(1 << 40)
+
+
+def test_files_of_a_folder_are_judged_one_by_one(spark, tmp_path):
+    put(str(tmp_path / "u.csv"), "# note\nname,v\ncafé,1\nthé\n")
+    put(str(tmp_path / "l.csv"), "v;name\n2;café\n" + "3;x\n" * 50, "latin-1")
+    put(str(tmp_path / "q.csv"), 'name;v\n"a;b";4\n')
+    put(str(tmp_path / "one.csv"), "name\nz\n")
+    put(str(tmp_path / "over.csv"), "name,v\na,1\nb,2,3\n")
+    put(str(tmp_path / "none.csv"), "# only\n\n")
+    put(str(tmp_path / "empty.csv"), "")
+    put(str(tmp_path / "raw.csv"), "a,b\n1,\0\n")
+    with open(tmp_path / "torn.csv.gz", "wb") as f:
+        f.write(b"\x1f\x8b\x08\0torn")
+    got = {os.path.basename(r.file): (r.encoding, r.sep, r.reason) for r in src.folder_layouts(spark, str(tmp_path)).collect()}
+    assert got == {"u.csv": ("UTF-8", ",", None), "l.csv": ("ISO-8859-1", ";", None), "q.csv": ("UTF-8", ";", None), "one.csv": ("UTF-8", ",", None),
+                   "over.csv": ("UTF-8", None, "a line has more cells than the header"), "none.csv": ("UTF-8", ",", "no header"),
+                   "empty.csv": ("UTF-8", ",", "no header"), "raw.csv": ("UTF-8", ",", "not a text file"), "torn.csv.gz": ("UTF-8", ",", "no header")}
+    with pytest.warns(UserWarning) as said:
+        d = src.read_folder_any(spark, str(tmp_path))
+    assert sorted(str(w.message).rsplit("/", 1)[1] for w in said if "passed over" in str(w.message)) == [
+        "empty.csv: no header", "none.csv: no header", "over.csv: a line has more cells than the header", "raw.csv: not a text file", "torn.csv.gz: no header"]
+    rows = {(r.name, r.v) for r in d.collect()}
+    assert rows == {("café", "1"), ("thé", None), ("café", "2"), ("x", "3"), ("a;b", "4"), ("z", None)}
+
+
+def test_union_names_files_without_a_header(spark, tmp_path):
+    put(str(tmp_path / "a.csv"), "x,y\n1,2\n")
+    put(str(tmp_path / "b.csv"), "\n  \n")
+    with pytest.warns(UserWarning, match="b.csv: no header"):
+        assert [tuple(r) for r in src.union_folder(spark, str(tmp_path)).collect()] == [("1", "2")]
+
+
+def test_json_of_unknown_nesting(spark, tmp_path):
+    docs = {"a": {"inputs": {"months": [{"month": 1}], "date": "x"}, "outputs": {"tmy_hourly": [{"time(UTC)": "20070101:0100", "G(h)": 1.5, "T2m": 3}, {"time(UTC)": "bad", "G(h)": 2}]}},
+            "b": {"data": {"deep er": {"rows": [{"Date`x": "2007-01-01 02:00:00", "T2m": -1.25, "VOID": None}]}}}, "c": {"outputs": {}}, "d": [1]}
+    for name, doc in docs.items():
+        put(str(tmp_path / "j" / f"{name}.json"), json.dumps(doc, indent=1))
+    put(str(tmp_path / "j" / "e.json"), "{torn")
+    got = {os.path.basename(r.file): (r.time_utc, r["G(h)"], r.T2m) for r in src.read_hourly_json_any(spark, str(tmp_path / "j")).collect()}
+    assert got == {"a.json": (dt.datetime(2007, 1, 1, 1), 1.5, 3.0), "b.json": (dt.datetime(2007, 1, 1, 2), None, -1.25)}
+    put(str(tmp_path / "n" / "x.json"), '{"a": [{"time": 1}]}')
+    with pytest.raises(ValueError, match="no array"):
+        src.read_hourly_json_any(spark, str(tmp_path / "n"))
+
+
+def test_preamble_lines_are_not_sent_anywhere(spark, tmp_path):
+    schema = T.StructType([T.StructField("time", T.StringType()), T.StructField("P", T.DoubleType())])
+    put(str(tmp_path / "a.csv"), "Latitude: 1\ntime,P\n20050101:0010,1\n")
+    put(str(tmp_path / "b.csv"), "Latitude: 1\ntime,x,P\n20050101:0010,2,1\n")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = src.read_preamble_csv(spark, str(tmp_path), schema)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange" not in plan and "Join" not in plan
