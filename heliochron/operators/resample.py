@@ -11,7 +11,7 @@ from ..functions.circular import directions_from_sums, sector_index, sector_name
 from ..functions.times import floor_time, micros, step_interval
 from ..session import cut_lineage, union_all
 from .ordered import CHUNK, chunk_by_number, join_keys, series_window
-from .quantile import exact_percentiles, percentiles_of_counts
+from .quantile import is_large, percentiles_of_columns, percentiles_of_counts, small_percentile
 
 AGGREGATES = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp,
               "count": F.count}
@@ -101,7 +101,7 @@ def step_counts(df: DataFrame, ts: str, by: Sequence[str] = (), chunk_seconds: i
     Equal times are counted first (each further copy is a distance of 0), so neither a hot
     series nor a hot instant is ordered as a whole.  Distances inside a chunk come from its
     own rows, those across chunks from one (first, last) row per chunk; nothing is joined
-    back.  A series' first time has no distance and stays as one missing value.
+    back.  A series' first time has no distance and stays as one missing value, which counts 0 times.
     """
     t = _times(df, ts, by)
     chunk = chunk_by_number("__us", chunk_seconds * 1_000_000).alias(CHUNK)
@@ -112,11 +112,12 @@ def step_counts(df: DataFrame, ts: str, by: Sequence[str] = (), chunk_seconds: i
     parts = F.array(F.struct(seconds(F.col("__us") - F.lag("__us").over(inside)).alias("value"), once.alias("freq")),
                     F.struct(F.lit(0.0).alias("value"), (F.col("__c") - 1).alias("freq")))
     within = one.select(*by, parts.alias("__p")).select(*by, F.inline("__p")).where("value IS NOT NULL AND freq > 0")
-    ends = one.groupBy(*by, CHUNK).agg(F.min("__us").alias("__lo"), F.max("__us").alias("__hi"))
-    across = ends.select(*by, seconds(F.col("__lo") - F.lag("__hi").over(series_window(by, CHUNK))).alias("value"),
-                         once.alias("freq"))
-    return (union_all([within, across]).select(*by, F.lit("step").alias("variable"), "value", "freq")
-            .groupBy(*by, "variable", "value").agg(F.sum("freq").alias("freq")))
+    # the number of rows is asked for so that both uses of the times are one plan and share its shuffle
+    ends = one.groupBy(*by, CHUNK).agg(F.min("__us").alias("__lo"), F.max("__us").alias("__hi"), F.sum("__c").alias("__rows")).where("__rows > 0")
+    across = ends.select(*by, seconds(F.col("__lo") - F.lag("__hi").over(series_window(by, CHUNK))).alias("value"))
+    across = across.select("*", F.col("value").isNotNull().cast("bigint").alias("freq"))
+    found = union_all([within, across]).groupBy(*by, "value").agg(F.sum("freq").alias("freq"))
+    return found.select(*by, F.lit("step").alias("variable"), "value", "freq")
 
 
 def step_median(df: DataFrame, ts: str, by: Sequence[str] = (), chunk_seconds: int = 21_600) -> DataFrame:
@@ -124,9 +125,9 @@ def step_median(df: DataFrame, ts: str, by: Sequence[str] = (), chunk_seconds: i
     least and greatest distance and the number of distances."""
     steps = step_counts(df, ts, by, chunk_seconds)
     v, n = F.col("value"), F.col("freq")
-    known = F.when(v.isNotNull(), n)
-    shape = [F.min(v).alias("least_step"), F.max(v).alias("greatest_step"), F.coalesce(F.sum(known), F.lit(0)).alias("steps")]
-    med = percentiles_of_counts(steps.where(v.isNotNull()), by, [0.5]).select(*by, F.col("value").alias("median_step_seconds"))
+    shape = [F.min(v).alias("least_step"), F.max(v).alias("greatest_step"), F.coalesce(F.sum(n), F.lit(0)).alias("steps")]
+    # a condition on the counts stays above their shuffle, which both uses then share
+    med = percentiles_of_counts(steps.where(n > 0), by, [0.5]).select(*by, F.col("value").alias("median_step_seconds"))
     g = steps.groupBy(*by).agg(*shape)
     if by:
         return join_keys(g, med, list(by))
@@ -161,13 +162,20 @@ def daily_stats(df: DataFrame, ts: str, spec: Sequence[tuple[str, str, str]], by
     want = [s for s in spec if s[2] in QUANTILES]
     aggs = [(F.count(F.col(f"`{c}`")) / of_day if f == "frac" else AGGREGATES[f](F.col(f"`{c}`"))).alias(n)
             for n, c, f in spec if f not in QUANTILES]
-    out = df.groupBy(*by, day).agg(*(aggs or [of_day.alias("__rows")]))
-    if want:
-        src = df.withColumn("date", day)
-        q = exact_percentiles(src, sorted({c for _, c, _ in want}), sorted({QUANTILES[f] for *_, f in want}), [*by, "date"])
+    if not want:
+        out = df.groupBy(*by, day).agg(*(aggs or [of_day.alias("__rows")]))
+    else:
+        cols, ps = sorted({c for _, c, _ in want}), sorted({QUANTILES[f] for *_, f in want})
+        used = sorted({c for _, c, _ in spec})
+        src, keys = df.select(*by, day, *[F.col(f"`{c}`") for c in used if c not in by]), [*by, "date"]
+        large = is_large(src.groupBy(*keys).agg(of_day.alias("__m")), keys, "__m")
+        aggs += [small_percentile(F.when(~F.col("__large"), F.col(f"`{c}`").cast("double")), ps).alias(f"__q{i}") for i, c in enumerate(cols)]
+        out = src.withColumn("__large", large).groupBy(*keys).agg(*aggs)
+        q = percentiles_of_columns(src.where(large), cols, ps, keys)
         pick = lambda c, p: F.max(F.when((F.col("variable") == c) & (F.col("p") == p), F.col("value")))
-        q = q.groupBy(*by, "date").agg(*[pick(c, QUANTILES[f]).alias(n) for n, c, f in want])
-        out = join_keys(out, q, [*by, "date"])
+        q = q.groupBy(*keys).agg(*[pick(c, QUANTILES[f]).alias(f"__{n}") for n, c, f in want])
+        own = {n: F.coalesce(F.col(f"__q{cols.index(c)}")[ps.index(QUANTILES[f])], F.col(f"`__{n}`")).alias(n) for n, c, f in want}
+        out = join_keys(out, q, keys).select(*keys, *[own.get(n, F.col(f"`{n}`")) for n, *_ in spec])
     out = out.select(*by, "date", *[F.col(f"`{n}`") for n, *_ in spec])
     if not full:
         return out

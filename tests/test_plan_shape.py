@@ -25,12 +25,12 @@ def shape(spark, sf):
 
 @pytest.mark.parametrize("name,scans,shuffles", [
     ("b1_cell_typing", 1, 0), ("c1_hourly_mean_full_spine", 1, 2), ("c1_c2_c3_minutes_to_days", 1, 3), ("c4_daily_sum_full_spine", 1, 2),
-    ("c9_daily_statistics", 2, 13), ("c12_dominant_sector", 1, 2), ("b14_dedupe_keep_last", 1, 1), ("e1_e5_model_features", 1, 2),
-    ("e2_e3_in_chunks", 1, 3), ("e9_naive_lag1", 1, 2), ("i1_numeric_profile", 2, 10), ("i2_categorical_profile", 1, 2), ("c7_step_estimate", 3, 17),
+    ("c9_daily_statistics", 1, 6), ("c12_dominant_sector", 1, 2), ("b14_dedupe_keep_last", 1, 1), ("e1_e5_model_features", 1, 2),
+    ("e2_e3_in_chunks", 1, 3), ("e9_naive_lag1", 1, 2), ("i1_numeric_profile", 2, 8), ("i2_categorical_profile", 1, 2), ("c7_step_estimate", 1, 20),
     ("b7_timestamp_repair_by_series", 2, 9)])
 def test_scans_and_shuffles(shape, name, scans, shuffles):
     p = shape(name)
-    assert p.count("FileScan") <= scans and p.count(" Exchange ") <= shuffles, p
+    assert p.count("FileScan") <= scans and p.count("+- Exchange ") <= shuffles, p  # reused ones cost nothing
 
 
 def test_only_needed_columns_are_read(shape):
@@ -56,12 +56,14 @@ def test_partial_aggregation_before_the_shuffle(shape):
 
 
 def test_large_percentiles_never_group_a_series_whole(spark):
-    """Every shuffle of raw values is by group and value or value range."""
-    from heliochron.operators.quantile import exact_percentiles
-    d = spark.range(0, 5000).select(F.lit("hot").alias("g"), (F.col("id") * 7 % 4999).cast("double").alias("x"))
+    """Only rows of groups not flagged as large reach the built-in percentile; the others' values are dealt by value and part."""
+    from heliochron.operators.quantile import SMALL, exact_percentiles
+    n = SMALL + 5000
+    d = spark.range(0, n).select(F.lit("hot").alias("g"), (F.col("id") * 7 % n).cast("double").alias("x"))
     df = exact_percentiles(d, ["x"], [0.5], ["g"])
     p = plan(df, final=False)
-    assert "percentile(" not in p and df.first().value == pytest.approx(2499, abs=1)
+    assert p.count("percentile(") == 2 and re.search(r"Filter NOT element_at\(", p) and "__part" in p
+    assert df.first().value == pytest.approx((n - 1) / 2)
 
 
 def test_the_solver_needs_no_package_on_the_executors():

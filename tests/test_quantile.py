@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 PS = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
 
 
-def test_against_numpy(spark):
-    """A hot group of many ranges, small groups, ties and missing values."""
+@pytest.mark.parametrize("small", [None, 0, 100])
+def test_against_numpy(spark, small):
+    """A hot group of many ranges, small groups, ties and missing values, by either way or both."""
     rng = random.Random(3)
     rows = [("hot", rng.choice([rng.gauss(0, 1), 7.0, rng.expovariate(0.01)]), float(rng.randrange(4))) for _ in range(900)]
     rows += [("b", rng.random(), None if i % 3 else 2.5) for i in range(40)] + [("one", 4.0, None)]
     df = spark.createDataFrame(rows, "g string, x double, k double")
-    got = {(r.g, r.variable, r.p): r.value for r in exact_percentiles(df, ["x", "k"], PS, ["g"]).collect()}
+    got = {(r.g, r.variable, r.p): r.value for r in exact_percentiles(df, ["x", "k"], PS, ["g"], small).collect()}
     n = 0
     for g in ("hot", "b", "one"):
         for i, c in ((1, "x"), (2, "k")):
@@ -31,7 +32,38 @@ def test_ranges_keep_the_order(spark):
     rng = random.Random(9)
     v = sorted([rng.gauss(0, 1) * 10.0 ** rng.randrange(-12, 13) for _ in range(3000)] + [0.0, 1e-320, -1e-320, 1e300, -1e300, 20.0, 20.000001])
     got = [r.r for r in spark.createDataFrame([(x,) for x in v], "v double").select("v", range_of(F.col("v")).alias("r")).orderBy("v").collect()]
-    assert got == sorted(got) and len(set(got)) > 1000
+    assert got == sorted(got) and len(set(got)) > 100
+
+
+def test_odd_values_in_large_groups(spark):
+    v = [float("inf"), float("-inf"), 0.0, -0.0, 5e-324, -5e-324, 1e308, 1.0, float("nan"), 2.0, 2.0]
+    df = spark.createDataFrame([(x,) for x in v], "x double")
+    got = {r.p: r.value for r in exact_percentiles(df, ["x"], [0.0, 0.1, 0.2, 0.5, 0.6, 0.9, 1.0], (), 0).collect()}
+    assert (got[0.0], got[0.1], got[0.2], got[0.5], got[0.6], got[0.9]) == (float("-inf"), -5e-324, 0.0, 1.0, 2.0, float("inf")) and np.isnan(got[1.0])
+
+
+def test_a_million_values_within_a_hundredth(spark):
+    """One range of the first round; the parts of the second stay small, and so does what is ordered."""
+    from heliochron.operators import quantile as q
+    n = 1_000_000
+    df = spark.range(n).select((F.lit(1.7e9) + F.pmod(F.col("id") * 7919, F.lit(n)) * 17).alias("x"))
+    assert [r.value for r in exact_percentiles(df, ["x"], [0.1, 0.5]).orderBy("p").collect()] == pytest.approx([1.7e9 + 17 * 0.1 * (n - 1), 1.7e9 + 17 * 0.5 * (n - 1)], abs=1e-6)
+    v = F.col("x")
+    sizes = df.groupBy(range_of(v).alias("r")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))
+    parts = df.withColumn("r", range_of(v)).join(sizes, "r").groupBy("r", q.part_of(v, F.col("lo"), F.col("hi"), F.col("n")).alias("part")).count()
+    assert sizes.count() == 1 and parts.agg(F.max("count")).first()[0] <= 2 * q.PART and parts.count() >= n / q.PART / 2
+
+
+def test_flags_send_large_groups_their_own_way(spark, monkeypatch):
+    from heliochron.operators import quantile as q
+    monkeypatch.setattr(q, "SMALL", 50)
+    rng = random.Random(5)
+    rows = [(i % 7, rng.gauss(0, 1)) for i in range(700)] + [(100 + i, float(i)) for i in range(200)]
+    d = spark.createDataFrame(rows, "g long, x double").withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    got = {r.g: (r.lo, r.hi, r.n) for r in daily_stats(d, "ts", [("lo", "x", "p10"), ("n", "x", "count"), ("hi", "x", "p90")], ["g"]).collect()}
+    for g in {r[0] for r in rows}:
+        v = [x for k, x in rows if k == g]
+        assert got[g] == pytest.approx((np.quantile(v, 0.1), np.quantile(v, 0.9), len(v)))
 
 
 def test_no_job_while_the_plan_is_built(spark):
