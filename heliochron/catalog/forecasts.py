@@ -166,10 +166,8 @@ s AS (SELECT series, horizon, y, p FROM g JOIN m USING (series, horizon) WHERE r
 
 @query("g7_multi_horizon", f"WITH {_HZ} {score_sql('s', 'series, horizon', 'series, horizon')}")
 def g7(spark, sf):
-    grid = bt.horizons(stored_order_days(spark, sf), "ds", by=BY)
-    m = {"mean": lambda train, keys: baseline(train, "mean", 120, by=keys)}
-    pred = bt.backtest(grid, m, "y", "ds", BY, ["horizon"])
-    return rounded(bt.backtest_scores(grid, pred, "y", "ds", BY, ["horizon"]), ["series", "horizon"])
+    _, s = bt.backtest_baselines(stored_order_days(spark, sf), ["mean"], "y", "ds", bt.horizon_cells(), BY, "horizon")
+    return rounded(s, ["series", "horizon"])
 
 
 _BT = f"""{ODF}, x AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ds DESC) - 1 AS r FROM odf),
@@ -183,11 +181,7 @@ SELECT t.series, t.fold, 'seasonal', 30 - (t.r - (t.fold - 1) * 30), t.ds, t.y,
 sm AS (SELECT series, fold, model, 100 * avg(2 * abs(p - y) / (abs(y) + abs(p) + 1e-9)) AS smape FROM p GROUP BY 1, 2, 3),
 sc AS (SELECT series, model, avg(smape) AS score FROM sm GROUP BY 1, 2)"""
 
-MODELS = {
-    "last": lambda train, keys: baseline(train, "last", 30, by=keys),
-    "mean": lambda train, keys: baseline(train, "mean", 30, by=keys),
-    "seasonal": lambda train, keys: baseline(train, "seasonal", 30, by=keys),
-}
+MODELS = ("last", "mean", "seasonal")
 
 
 def _backtest(spark, sf):
@@ -232,6 +226,27 @@ def g10(spark, sf):
     return _out(baseline(long, "seasonal", 14, by=BY))
 
 
+_FEW = "SELECT series, min(ds) AS a FROM ed GROUP BY 1"
+
+
+@query("g10_failures_named", f"""WITH g AS ({datepart_future_sql(ED + ", odf AS (SELECT * FROM ed)", 0.01, 14)}), {ED}, fw AS ({_FEW}),
+l AS (SELECT CAST(unnest(generate_series(1, 14)) AS INTEGER) AS lead), n AS (SELECT series, max(ds) AS b FROM ed GROUP BY 1)
+SELECT series, lead, ds, yhat, 'ok' AS status FROM g
+UNION ALL SELECT 'few ' || series, lead, CAST(a + (2 + lead) * INTERVAL 1 DAY AS DATE), NULL, 'too_short' FROM fw, l
+UNION ALL SELECT 'none ' || series, lead, CAST(b + lead * INTERVAL 1 DAY AS DATE), NULL, 'no_rows' FROM n, l""")
+def g10_failures(spark, sf):
+    """Every variable in one job; three days are too few for the regression, and some variables have no value at all."""
+    from ..forecast.regress import forecast_every
+    from ..operators.scaling import clip_zero
+    from ..session import union_all
+    d = event_days(spark, sf)
+    first = d.groupBy("series").agg(F.date_add(F.min("ds"), 3).alias("until"))
+    few = d.join(first, "series").where("ds < until").select(F.concat(F.lit("few "), "series").alias("series"), "ds", "y")
+    none = d.select(F.concat(F.lit("none "), "series").alias("series"), "ds", F.lit(None).cast("double").alias("y"))
+    f = forecast_every(union_all([d, few, none]).withColumn("ds", F.col("ds").cast("date")), 14, by=BY, model=LinearForecaster("ridge", 0.01, least=14))
+    return f.select("series", "lead", "ds", rnd(clip_zero(F.col("yhat")), 0).alias("yhat"), "status")
+
+
 @query("g11_ensemble_mean", f"WITH {_BT} SELECT series, fold, ds, {r('avg(p)', 2)} AS yhat FROM p GROUP BY 1, 2, 3")
 def g11(spark, sf):
     p, _ = _backtest(spark, sf)
@@ -259,12 +274,28 @@ def g11_best(spark, sf):
 f AS (SELECT series, avg(y) AS yhat, max(ds) AS last FROM odf GROUP BY 1)
 SELECT series, CAST(lead AS INTEGER) AS lead, CAST(last + CAST(lead AS INTEGER) * INTERVAL 1 DAY AS DATE) AS ds, {r('yhat', 2)} AS yhat, {r('yhat + a', 2)} AS lower, {r('yhat + b', 2)} AS upper FROM f JOIN q USING (series)""")
 def g12(spark, sf):
-    p, _ = backtest_days(order_days(spark, sf), {"mean": MODELS["mean"]}, "y", "ds", 30, 3, BY)
+    p, _ = backtest_days(order_days(spark, sf), ["mean"], "y", "ds", 30, 3, BY)
     f = baseline(stored_order_days(spark, sf), "mean", 30, by=BY)
     d = bt.interval(f, p, BY)
     return d.select("series", "lead", "ds", *[rnd(c, 2).alias(c) for c in ("yhat", "lower", "upper")])
 
 
+_POOLED = f"""{_BT}, e AS (SELECT series, lead, y - p AS e FROM p WHERE model = 'mean'),
+w AS (SELECT series, CAST(unnest(generate_series(lead - 3, lead + 3)) AS INTEGER) AS near, lead, e FROM e),
+pooled AS (SELECT series, near AS lead, e, unnest(generate_series(1, 4 - abs(near - lead))) AS copy FROM w),
+q AS (SELECT series, lead, quantile_cont(e, 0.05) AS a, quantile_cont(e, 0.95) AS b FROM pooled GROUP BY 1, 2),
+f AS (SELECT series, avg(y) AS yhat, max(ds) AS last FROM odf GROUP BY 1)"""
+
+
+@query("g12_pooled_interval", f"""WITH {_POOLED} SELECT series, CAST(lead AS INTEGER) AS lead, CAST(last + CAST(lead AS INTEGER) * INTERVAL 1 DAY AS DATE) AS ds,
+{r('yhat', 2)} AS yhat, {r('yhat + a', 2)} AS lower, {r('yhat + b', 2)} AS upper FROM f JOIN q USING (series) WHERE lead BETWEEN 1 AND 30""")
+def g12_pooled(spark, sf):
+    """Errors of leads up to three days off, the nearer ones weighing more."""
+    p, _ = backtest_days(order_days(spark, sf), ["mean"], "y", "ds", 30, 3, BY)
+    d = bt.interval(baseline(stored_order_days(spark, sf), "mean", 30, by=BY), p, BY, pool=3)
+    return d.select("series", "lead", "ds", *[rnd(c, 2).alias(c) for c in ("yhat", "lower", "upper")])
+
+
 @query("g13_model_ranking", f"WITH {_BT} SELECT series, model, {r('score')} AS score, CAST(rank() OVER (PARTITION BY series ORDER BY score) AS INTEGER) AS rank FROM sc")
 def g13(spark, sf):
     _, s = _backtest(spark, sf)

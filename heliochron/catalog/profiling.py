@@ -53,6 +53,12 @@ def i2_events(spark, sf):
     return pr.profile_categorical(events(spark, sf))
 
 
+@query("i2_categorical_profile_documents", " UNION ALL ".join(f"({_cat_sql('documents', c)})" for c in ("text", "lang", "source")))
+def i2_documents(spark, sf):
+    """Whole texts as categories: counted by digest, read again only for the winners."""
+    return pr.profile_categorical(table(spark, sf, "documents").select("text", "lang", "source"))
+
+
 @query("i3_time_profile", f"""WITH g AS (SELECT event_type, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts) AS g FROM events)
 SELECT event_type, 'ts' AS date_column, min(ts) AS start, max(ts) AS "end", CAST(NULL AS VARCHAR) AS inferred_freq, {r('quantile_cont(g, 0.5) / 1e6')} AS median_delta_seconds
 FROM g GROUP BY 1""")

@@ -129,6 +129,40 @@ def c9_block(spark, sf):
                     "doy", "month", "day")
 
 
+_TYPICAL = f"""v AS (SELECT event_type, ts, CASE WHEN value > 1 THEN value END AS p FROM events),
+g AS (SELECT event_type, CAST(ts + INTERVAL 8 HOUR AS DATE) AS date, coalesce(sum(p), 0) AS s, avg(p) AS m, min(p) AS lo, max(p) AS x, stddev_samp(p) AS sd,
+quantile_cont(p, 0.1) AS p10, quantile_cont(p, 0.9) AS p90, count(p) AS n FROM v GROUP BY 1, 2), {_STEP}"""
+
+
+def _typical_days(spark, sf):
+    """Hours as a file has them: text, with a word for values up to 1, and the model's flag."""
+    from ..plans.irradiance_days import typical_year_days
+    p = F.when(F.col("value") > 1, F.col("value").cast("string")).otherwise("missing")
+    return typical_year_days(events(spark, sf).select("event_type", F.col("ts").alias("time_utc"), p.alias("P"), p.alias("G(i)"), F.lit("0").alias("Int")), "time_utc", TYPE)
+
+
+@query("c9_typical_year_names", f"""WITH {_TYPICAL} SELECT event_type, date, {r('s * med / 3600e6')} AS "P_Wh", {r('s * med / 3600e9', 6)} AS "P_kWh", {r('m')} AS "P_mean_W",
+{r('lo')} AS "P_min_W", {r('x')} AS "P_max_W", {r('sd')} AS "P_std_W", {r('p10')} AS "P_p10_W", {r('p90')} AS "P_p90_W", {r('s * med / 3600e6')} AS "Gi_Whm2",
+{r('m')} AS "Gi_mean", {r('sd')} AS "Gi_std_Wm2", {r('p10')} AS "Gi_p10_Wm2", n AS "n_obs_P" FROM g JOIN st USING (event_type)""")
+def c9_typical(spark, sf):
+    d = _typical_days(spark, sf)
+    gi = {"G(i)_Whm2": "Gi_Whm2", "G(i)_mean": "Gi_mean", "G(i)_std_Wm2": "Gi_std_Wm2", "G(i)_p10_Wm2": "Gi_p10_Wm2"}
+    own = ["P_Wh", "P_mean_W", "P_min_W", "P_max_W", "P_std_W", "P_p10_W", "P_p90_W"]
+    return d.select("event_type", "date", *[rnd(c).alias(c) for c in own], rnd("P_kWh", 6).alias("P_kWh"),
+                    *[rnd(F.col(f"`{c}`")).alias(n) for c, n in gi.items()], "n_obs_P")
+
+
+@query("c9_f4_typical_year_scaled", f"""WITH {_TYPICAL}, o AS (SELECT CAST(ts AS DATE) AS d, sum(value) AS y FROM events GROUP BY 1), ref AS (SELECT min(y) AS lo, max(y) AS hi FROM o)
+SELECT event_type, date, {r('(s * med / 3600e6 - ref.lo) / (ref.hi - ref.lo)', 6)} AS "P_Wh", {r('(s * med / 3600e6 - ref.lo) / (ref.hi - ref.lo)', 6)} AS "P_kWh",
+{r('(m * n - ref.lo) / (ref.hi - ref.lo)', 6)} AS "P_mean_W" FROM g JOIN st USING (event_type), ref""")
+def c9_f4(spark, sf):
+    """Typical-year days scaled by the range of measured days: the block's own names are what the scaling reads."""
+    from ..operators import scaling as sc
+    days = events(spark, sf).groupBy(F.col("ts").cast("date").alias("ds")).agg(F.sum("value").alias("y"))
+    d = sc.minmax_by_ref(_typical_days(spark, sf), ["P_Wh", "P_mean_W"], sc.ref_stats(days, "y", unit="wh"), suffix="_s")
+    return d.select("event_type", "date", *[rnd(f"{c}_s", 6).alias(c) for c in ("P_Wh", "P_kWh", "P_mean_W")])
+
+
 @query("c9_percentiles_only", f"""WITH g AS (SELECT l_returnflag AS series, CAST(l_shipdate AS DATE) AS date,
 quantile_cont(l_extendedprice, 0.1) AS price_p10, quantile_cont(l_quantity, 0.9) AS qty_p90 FROM lineitem GROUP BY 1, 2)
 SELECT series, date, {r('price_p10', 2)} AS price_p10, {r('qty_p90')} AS qty_p90 FROM g""")

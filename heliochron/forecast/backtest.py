@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.align import align
 from ..operators.features import fill, rows_left, series_length
 from ..operators.ordered import join_keys, series_window
-from ..operators.score import scores
+from ..operators.score import score_columns, scores
 from ..session import cut_lineage, union_all
 from .baselines import _attach, future_spine, mean_or_last
 
@@ -41,6 +41,85 @@ def horizons(df: DataFrame, ts: str, hs: Sequence[int] = HORIZONS, by: Sequence[
     return d.select(*df.columns, "horizon", role.alias("role"))
 
 
+def fold_cells(h: int, k: int = 3) -> list[tuple[int, int, int]]:
+    """(fold, start, cut): tests on the rows ``start`` to ``cut`` before the end; see :func:`folds`."""
+    return [(i, (i - 1) * h, i * h) for i in range(1, k + 1)]
+
+
+def horizon_cells(hs: Sequence[int] = HORIZONS) -> list[tuple[int, int, int]]:
+    """(horizon, 0, horizon); see :func:`horizons`."""
+    return [(int(h), 0, int(h)) for h in hs]
+
+
+def _cells(cells: Sequence[tuple[int, int, int]]) -> Column:
+    return F.array(*[F.struct(F.lit(int(c)).alias("cell"), F.lit(int(a)).alias("start"), F.lit(int(b)).alias("cut")) for c, a, b in cells])
+
+
+def _enough(cells: Sequence[tuple[int, int, int]], key: str) -> Callable[[Column], Column]:
+    """A fold needs a train part at least as long as its test part, a horizon any."""
+    return lambda c: F.col("__n") - c["cut"] >= (c["cut"] - c["start"] if key == "fold" else F.lit(1))
+
+
+def train_moments(df: DataFrame, y: str, ts: str, cells: Sequence[tuple[int, int, int]], by: Sequence[str] = (), key: str = "fold") -> DataFrame:
+    """``(by, key, last_ts, last, mean, naive_mae, naive_rmse)`` of the train part of every cell, no row twice.
+
+    The cuts part a series into blocks.  One aggregate gives each block's count, mean, last value and sums of lag-1
+    errors; a cell's train part is the blocks before its cut, and theirs are added up.  A row's lag-1
+    error refers to an older row, so it belongs to every train part that has the row.
+    """
+    cuts = sorted({b for *_, b in cells})
+    w = series_window(by, ts)
+    d = df.select(*by, F.col(ts).alias("__t"), F.col(y).cast("double").alias("__y"), rows_left(ts, by).alias("__r"), series_length(by).alias("__n"),
+                  (F.col(y) - F.lag(y).over(w)).cast("double").alias("__d"))
+    at = sum((F.col("__r") >= c).cast("int") for c in cuts)
+    v, e = F.col("__y"), F.col("__d")
+    blocks = d.groupBy(*by, at.alias("__block")).agg(
+        F.max("__n").alias("__n"), F.max("__t").alias("__t"), F.count(v).alias("__k"), F.avg(v).alias("__m"), F.max(F.when(v.isNotNull(), F.struct("__t", "__y"))).alias("__last"),
+        F.count(e).alias("__e"), F.sum(F.abs(e)).alias("__abs"), F.sum(e * e).alias("__sq"))
+    block_of = F.create_map(*[F.lit(x) for i, c in enumerate(cuts) for x in (c, i + 1)])
+    enough = _enough(cells, key)
+    mine = F.filter(_cells(cells), lambda c: enough(c) & (F.col("__block") >= F.element_at(block_of, c["cut"])))
+    g = blocks.select("*", F.explode(mine).alias("__c")).groupBy(*by, F.col("__c.cell").alias(key)).agg(
+        F.max("__t").alias("last_ts"), F.max("__last")["__y"].alias("last"), F.try_divide(F.sum(F.col("__m") * F.col("__k")), F.sum("__k")).alias("mean"),
+        F.try_divide(F.sum("__abs"), F.sum("__e")).alias("__a"), F.sqrt(F.try_divide(F.sum("__sq"), F.sum("__e"))).alias("__b"))
+    return g.select(*by, key, "last_ts", "last", "mean", F.when(F.col("__a") != 0, F.col("__a")).alias("naive_mae"), F.when(F.col("__b") != 0, F.col("__b")).alias("naive_rmse"))
+
+
+def test_rows(df: DataFrame, ts: str, cells: Sequence[tuple[int, int, int]], by: Sequence[str] = (), key: str = "fold") -> DataFrame:
+    """The test rows of every cell, with ``key`` and their ``lead``."""
+    d = df.select("*", rows_left(ts, by).alias("__r"), series_length(by).alias("__n"))
+    enough = _enough(cells, key)
+    mine = F.filter(_cells(cells), lambda c: enough(c) & (F.col("__r") >= c["start"]) & (F.col("__r") < c["cut"]))
+    d = d.where(F.col("__r") < max(b for *_, b in cells)).select("*", F.explode(mine).alias("__c"))
+    return d.select(*df.columns, F.col("__c.cell").alias(key), (F.col("__c.cut") - F.col("__r")).cast("int").alias("lead"))
+
+
+def backtest_baselines(df: DataFrame, names: Sequence[str], y: str, ts: str, cells: Sequence[tuple[int, int, int]], by: Sequence[str] = (),
+                       key: str = "fold", season: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(predictions, scores) of baselines on a daily table with every day, as :func:`backtest` gives them, from moments.
+
+    History is reduced once per block between cuts; no train row is copied per cell.  Only the seasonal value is
+    looked up, by date, for test rows.
+    """
+    if unknown := set(names) - {"last", "mean", "seasonal"}:
+        raise ValueError(f"unknown baselines {sorted(unknown)}")
+    keys = [*by, key]
+    moments = train_moments(df, y, ts, cells, by, key)
+    rows = test_rows(df.select(*by, ts, y), ts, cells, by, key)
+    d = join_keys(rows, moments, keys, "inner", plain=[key])
+    if "seasonal" in names:
+        back = F.date_sub(F.col(ts).cast("date"), (F.ceil(F.col("lead") / F.lit(season)) * season).cast("int")).cast(df.schema[ts].dataType)
+        old = df.select(*by, F.col(ts).alias("__src"), F.col(y).alias("seasonal"))
+        d = join_keys(d.withColumn("__src", back), old, [*by, "__src"])
+    pairs = F.array(*[F.struct(F.lit(n).alias("model"), F.col(n).cast("double").alias("yhat")) for n in names])
+    pred = d.select(*keys, "lead", ts, y, "naive_mae", "naive_rmse", F.inline(pairs))
+    cols = score_columns(F.col(y), F.col("yhat"))
+    g = pred.groupBy(*keys, "model").agg(*[c.alias(n) for n, c in cols.items()], F.max("naive_mae").alias("__a"), F.max("naive_rmse").alias("__b"))
+    score = g.select(*keys, "model", "n", "mae", (F.col("mae") / F.col("__a")).alias("mase_lag1"), "rmse", (F.col("rmse") / F.col("__b")).alias("rmsse"),
+                     "nmae", "nrmse", "mape", "smape", "r2")
+    return pred.select(*keys, "model", "lead", ts, y, "yhat"), score
+
+
 Model = Callable[[DataFrame, Sequence[str]], DataFrame]
 
 
@@ -92,13 +171,16 @@ def ensemble_best(pred: DataFrame, score: DataFrame, by: Sequence[str]) -> DataF
 
 
 def interval(forecast: DataFrame, residuals: DataFrame, by: Sequence[str], coverage: float = 0.9,
-             y: str = "y") -> DataFrame:
-    """Lower and upper bound from the backtest errors of the same lead.
+             y: str = "y", pool: int = 0) -> DataFrame:
+    """Lower and upper bound from the backtest errors of the same lead and of leads at most ``pool`` away.
 
-    A lead has one error per fold; groups stay at the number of folds.
+    A lead has one error per fold, too few for a bound of some percent.  An error ``d`` leads away counts
+    ``pool + 1 - d`` times, so the nearest weigh most; a group holds (2 * pool + 1) errors per fold.
     """
     a = (1 - coverage) / 2
-    e = residuals.groupBy(*by, "lead").agg(F.percentile(F.col(y) - F.col("yhat"), [a, 1 - a]).alias("__q"))
+    near = F.sequence(F.col("lead") - pool, F.col("lead") + pool)
+    e = residuals.select(*by, (F.col(y) - F.col("yhat")).alias("__e"), F.col("lead").alias("__l"), F.explode(near).alias("lead"))
+    e = e.groupBy(*by, "lead").agg(F.percentile("__e", [a, 1 - a], pool + 1 - F.abs(F.col("lead") - F.col("__l"))).alias("__q"))
     d = join_keys(forecast, e, [*by, "lead"])
     return d.select(*forecast.columns, (F.col("yhat") + F.col("__q")[0]).alias("lower"),
                     (F.col("yhat") + F.col("__q")[1]).alias("upper"))

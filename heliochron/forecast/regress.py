@@ -21,6 +21,7 @@ from ..functions import calendar as cal
 
 from ..operators.ordered import join_keys, series_window
 from ..session import cut_lineage
+from .baselines import future_spine
 
 # The solver below travels to the executors with the task, so the package need not be there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -105,39 +106,64 @@ def solve_moments(g: np.ndarray, penalty: str, alpha: float, l1_ratio: float = 0
 class LinearForecaster:
     """Least squares, ridge, lasso or elastic net, one model per series (and fold)."""
 
-    def __init__(self, penalty: str = "none", alpha: float = 0.0, l1_ratio: float = 0.5):
+    def __init__(self, penalty: str = "none", alpha: float = 0.0, l1_ratio: float = 0.5, least: int | None = None):
+        """``least``: rows a series needs; as many as coefficients without a penalty, else one, if not told."""
         if penalty not in PENALTIES:
             raise ValueError(f"unknown penalty {penalty!r}")
-        self.penalty, self.alpha, self.l1_ratio = penalty, alpha, l1_ratio
+        self.penalty, self.alpha, self.l1_ratio, self.least = penalty, alpha, l1_ratio, least
 
     def fit(self, train: DataFrame, xs: Sequence[str], y: str, by: Sequence[str]) -> DataFrame:
-        """``(by, coef)``: intercept first; missing where there is nothing to fit."""
+        """``(by, coef, status)``: intercept first; coefficients are missing where the status says that nothing could be fitted.
+
+        ``no_rows``: no row with all values; ``too_short``: fewer rows than ``least``;
+        ``not_settled``: the descent still moves; ``no_variation``: y is constant, which the coefficients repeat; else ``ok``.
+        """
         g = gram(train, xs, y, by)
         p, pen, a, l1 = len(xs) + 1, self.penalty, self.alpha, self.l1_ratio
+        least = self.least if self.least is not None else p if pen == "none" else 1
         size = 1 + p + p * (p + 1) // 2
 
         def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 packed = np.array([[np.nan if x is None else x for x in v] for v in b.column("__g").to_pylist()], float).reshape(-1, size)
-                coef = [None if np.isnan(v[0]) else v.tolist() for v in solve_moments(packed, pen, a, l1)]
-                yield pa.RecordBatch.from_arrays([*[b.column(k) for k in by], pa.array(coef, pa.list_(pa.float64()))],
-                                                 names=[*by, "coef"])
+                found = solve_moments(packed, pen, a, l1)
+                rows, still, lost = np.nan_to_num(packed[:, 0]), packed[:, -1] <= 1e-18 * (1.0 + packed[:, p] ** 2), np.isnan(found[:, 0])
+                short = rows < least
+                status = np.select([rows == 0, short, lost, still], ["no_rows", "too_short", "not_settled", "no_variation"], "ok").tolist()
+                coef = [None if bad else v.tolist() for v, bad in zip(found, lost | short)]
+                yield pa.RecordBatch.from_arrays([*[b.column(k) for k in by], pa.array(coef, pa.list_(pa.float64())), pa.array(status)],
+                                                 names=[*by, "coef", "status"])
 
         keys = ", ".join(f"`{c}` {g.schema[c].dataType.simpleString()}" for c in by)
-        return g.mapInArrow(solve, (keys + ", " if keys else "") + "coef array<double>")
+        return g.mapInArrow(solve, (keys + ", " if keys else "") + "coef array<double>, status string")
 
     @staticmethod
     def predict(coef: DataFrame, future: DataFrame, xs: Sequence[str], by: Sequence[str],
-                out: str = "yhat") -> DataFrame:
-        """Intercept plus the weighted features; missing where a feature is."""
+                out: str = "yhat", status: str | None = None) -> DataFrame:
+        """Intercept plus the weighted features; missing where a feature is.  ``status`` names a column for how the fit went."""
         if by:
-            d = join_keys(future, coef, list(by))
+            d = join_keys(future, coef.withColumnRenamed("status", "__status"), list(by))
         else:
-            d = future.withColumn("coef", coef.select("coef").scalar())
+            d = future.withColumn("coef", coef.select("coef").scalar()).withColumn("__status", coef.select("status").scalar())
         e = F.col("coef")[0]
         for i, x in enumerate(xs):
             e = e + F.col("coef")[i + 1] * F.col(f"`{x}`")
-        return d.select(*future.columns, e.alias(out))
+        told = [] if status is None else [F.coalesce("__status", F.lit("no_rows")).alias(status)]
+        return d.select(*future.columns, e.alias(out), *told)
+
+
+def forecast_every(history: DataFrame, h: int, y: str = "y", ts: str = "ds", by: Sequence[str] = ("variable",),
+                   model: LinearForecaster | None = None, ks: Sequence[int] = (1, 2, 3)) -> DataFrame:
+    """``(by, lead, ts, yhat, status)``: the date-part regression of every variable of a long table, ``h`` days ahead, in one job.
+
+    A variable that cannot be fitted has rows without a forecast and a status that says why; the others go on.
+    """
+    model = model or LinearForecaster()
+    xs = datepart_features(ts, ks)
+    add = [c.alias(n) for n, c in xs.items()]
+    coef = model.fit(history.select(*by, y, *add), list(xs), y, by)
+    future = future_spine(history, ts, h, by)
+    return model.predict(coef, future.select("*", *add), list(xs), by, status="status").select(*future.columns, "yhat", "status")
 
 
 def fit_predict_datepart(train: DataFrame, future: DataFrame, y: str, ts: str, by: Sequence[str],

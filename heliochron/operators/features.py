@@ -168,13 +168,17 @@ def fill_trailing_mean(df: DataFrame, y: str, ts: str, by: Sequence[str] = (), n
         v = F.when(gap, guess).otherwise(x["y"])
         grown = F.when(v.isNull(), last).otherwise(
             F.slice(F.concat(last, F.array(v)), F.greatest(F.size(last) + 2 - n, F.lit(1)), F.lit(n)))
-        filled = F.when(gap, F.concat(acc["filled"], F.array(F.struct(x["t"].alias(ts), v.alias("__v")))))
-        return F.struct(grown.alias("last"), F.coalesce(filled, acc["filled"]).alias("filled"))
-
-    at = df.schema[ts].dataType.simpleString()
-    zero = F.struct(F.array().cast("array<double>").alias("last"),
-                    F.array().cast(f"array<struct<{ts}:{at},__v:double>>").alias("filled"))
-    z = g.select(*by, F.inline(F.aggregate("__rows", zero, step)["filled"]))
+        one = F.array(F.struct(x["t"].alias("t"), v.alias("v")))
+        full = gap & (F.size(acc["filled"]) >= part)
+        filled = F.when(full, one).when(gap, F.concat(acc["filled"], one)).otherwise(acc["filled"])
+        done = F.when(full, F.concat(acc["done"], F.array(acc["filled"]))).otherwise(acc["done"])
+        return F.struct(grown.alias("last"), filled.alias("filled"), done.alias("done"))
+
+    part = 128  # filled values kept in one array; adding one copies no more than that, however many there are
+    kind = f"array<struct<t:{df.schema[ts].dataType.simpleString()},v:double>>"
+    zero = F.struct(F.array().cast("array<double>").alias("last"), F.array().cast(kind).alias("filled"), F.array().cast(f"array<{kind}>").alias("done"))
+    made = F.aggregate("__rows", zero, step, lambda acc: F.concat(acc["done"], F.array(acc["filled"])))
+    z = g.select(*by, F.explode(made).alias("__p")).select(*by, F.inline("__p").alias(ts, "__v"))
     return _replace(join_keys(df, z, [*by, ts]), {out: F.coalesce(F.col(y).cast("double"), "__v")}).drop("__v")
 
 

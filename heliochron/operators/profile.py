@@ -74,16 +74,38 @@ def missing_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
                                          for i, c in enumerate(cols)])))
 
 
+DIGEST = "\0md5:"
+SHORT = 32  # bytes up to which a text is its own key; the mark makes every key of a digest longer
+
+
+def text_key(value: Column) -> Column:
+    """A short text itself, a long one's mark and digest of 128 bits."""
+    return F.when(F.octet_length(value) <= SHORT, value).otherwise(F.concat(F.lit(DIGEST), F.md5(value)))
+
+
 def profile_categorical(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct values, the commonest one (the smallest on ties) and its frequency."""
+    """Distinct values, the commonest one (the smallest on ties) and its frequency.
+
+    Values are counted by :func:`text_key`, so long texts are not sent for the counts.  Only the texts whose
+    digest is among the commonest keys are looked at again: the least of them, combined before it is sent.
+    """
     cols = list(cols or text_columns(df))
-    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").alias("value")) for c in cols])
-    n = (df.select(*by, F.inline(pairs)).groupBy(*by, "variable", "value").agg(F.count(F.lit(1)).alias("n")))
-    known = F.col("value").isNotNull()
-    top = F.min(F.when(known, F.struct((-F.col("n")).alias("n"), F.col("value").alias("v"))))
-    return n.groupBy(*by, "variable").agg(
-        F.lit("categorical").alias("type"), F.count("value").alias("unique_count"), top.alias("t")).select(
-        *by, "variable", "type", "unique_count", F.col("t.v").alias("top"), (-F.col("t.n")).alias("freq"))
+    pairs = F.array(*[F.struct(F.lit(i).alias("variable"), F.col(f"`{c}`").alias("value")) for i, c in enumerate(cols)])
+    rows, keys = df.select(*by, F.inline(pairs)), [*by, "variable"]
+    n = rows.withColumn("key", text_key(F.col("value"))).groupBy(*keys, "key").agg(F.count(F.lit(1)).alias("n"))
+    known, short = F.col("key").isNotNull(), F.octet_length("key") <= SHORT
+    best = lambda ok: F.min(F.when(known & ok, F.struct((-F.col("n")).alias("n"), F.col("key").alias("v"))))
+    per = n.groupBy(*keys).agg(F.count("key").alias("unique_count"), best(short).alias("s"), best(~short)["n"].alias("l"))
+    # digests that are as common as the commonest key
+    wins = n.where(known & ~short).select(*keys, "key", (-F.col("n")).alias("l"))
+    most = per.where("l IS NOT NULL AND (s IS NULL OR l <= s.n)").select(*keys, "l")
+    wins = join_keys(wins, most, [*keys, "l"], "inner", plain=["variable", "l"])
+    long = rows.where(F.octet_length("value") > SHORT).withColumn("key", text_key(F.col("value")))
+    text = join_keys(long, wins.withColumn("hit", F.lit(1)), [*keys, "key"], "inner", plain=["variable", "key"]).groupBy(*keys).agg(F.min("value").alias("text"))
+    d = join_keys(per, text, keys, plain=["variable"])
+    top = F.least(F.col("text"), F.when(F.col("text").isNull() | (F.col("s.n") == F.col("l")), F.col("s.v")))
+    return d.select(*by, F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("variable") + 1).alias("variable"), F.lit("categorical").alias("type"), "unique_count",
+                    top.alias("top"), (-F.when(F.col("text").isNull(), F.col("s.n")).otherwise(F.col("l"))).alias("freq"))
 
 
 def profile_time(df: DataFrame, ts: str, by: Sequence[str] = (), chunk_seconds: int = 21_600) -> DataFrame:

@@ -81,6 +81,10 @@ def stats_from_json(spark, text: str) -> DataFrame:
                                  "min_kwh double, max_kwh double, count bigint")
 
 
+# Columns of a day block that are scaled along with its energy.
+P_SISTERS = ("P_kWh", "P_mean", "P_min", "P_max", "P_std", "P_p10", "P_p90")
+
+
 def minmax_by_ref(df: DataFrame, cols: Sequence[str], stats: DataFrame, by: Sequence[str] = (),
                   clip: bool = False, n_obs: str = "n_obs_P", wh_cols: Sequence[str] = ("P_Wh",),
                   suffix: str = "_minmax_by_solar") -> DataFrame:
@@ -88,8 +92,9 @@ def minmax_by_ref(df: DataFrame, cols: Sequence[str], stats: DataFrame, by: Sequ
 
     A kWh name is multiplied by 1000; the Wh columns are taken as they are; the rest is power
     and is multiplied by the day's observation count (24 where there is no such column).  With
-    a range of zero only the minimum is taken off.
+    a range of zero only the minimum is taken off.  ``P_Wh`` brings along those of ``P_SISTERS`` there are.
     """
+    cols = [*cols, *[c for c in P_SISTERS if "P_Wh" in cols and c not in cols]]
     d = _attach(df, stats.select(*by, "min_wh", "max_wh"), by)
     lo, hi = F.col("min_wh"), F.col("max_wh")
     hours = F.coalesce(F.col(n_obs).cast("double"), F.lit(0.0)) if n_obs in df.columns else F.lit(24.0)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..forecast.backtest import Model, backtest, backtest_scores, folds
+from ..forecast.backtest import Model, backtest, backtest_baselines, backtest_scores, fold_cells, folds
 from ..functions.cells import to_number
 from ..functions.times import parse_time
 from ..operators.align import align_month_day
@@ -26,14 +26,18 @@ def model_ready(df: DataFrame, y: str, ts: str, by: Sequence[str] = ()) -> DataF
     return fill(d, [c for c in d.columns if c not in (ts, *by)], ts, by)
 
 
-def backtest_days(df: DataFrame, models: Mapping[str, Model], y: str, ts: str, h: int, k: int = 3,
+def backtest_days(df: DataFrame, models: Mapping[str, Model] | Sequence[str], y: str, ts: str, h: int, k: int = 3,
                   by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(predictions, scores) of each model on k folds of h days.
 
-    Every model and the train scale read the daily table again, so it is written to the shared
-    folder once; the raw rows behind it are read a single time.
+    Baselines given by name need only moments of the train parts; models given as functions get the train rows.
+    The daily table is read more than once, so it is written to the shared folder once; the raw
+    rows behind it are read a single time.
     """
-    grid = folds(cut_lineage(model_ready(df, y, ts, by)), ts, h, k, by)
+    days = cut_lineage(model_ready(df, y, ts, by))
+    if not isinstance(models, Mapping):
+        return backtest_baselines(days, models, y, ts, fold_cells(h, k), by)
+    grid = folds(days, ts, h, k, by)
     pred = backtest(grid, models, y, ts, by)
     return pred, backtest_scores(grid, pred, y, ts, by)
 

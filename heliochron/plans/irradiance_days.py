@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import join_keys
-from ..operators.resample import IRRADIANCE, POWER, daily_direction, daily_stats, irradiance_spec, step_hours
+from ..operators.resample import FULL_BLOCK, IRRADIANCE, POWER, daily_direction, daily_stats, irradiance_spec, step_hours
 
 
 def irradiance_days(df: DataFrame, ts_utc: str = "time_utc", by: Sequence[str] = (), tz: str = "Asia/Taipei") -> DataFrame:
@@ -42,3 +42,16 @@ def irradiance_days(df: DataFrame, ts_utc: str = "time_utc", by: Sequence[str] =
         wind = daily_direction(local, "local_time", "WD10m", "WS10m" if "WS10m" in measures else None, by)
         d = join_keys(d, wind, [*by, "date"])
     return d
+
+
+def typical_year_days(df: DataFrame, ts_utc: str = "time_utc", by: Sequence[str] = (), tz: str = "Asia/Taipei") -> DataFrame:
+    """The day block under a typical year's names: ``P_Wh``, ``P_mean_W``, ``G(i)_std_Wm2`` and so on.
+
+    Cells that are no numbers are missing, and the model's flag ``Int`` goes before anything is counted.
+    """
+    measures = [c for c in df.columns if c not in (ts_utc, *by, "Int")]
+    d = irradiance_days(df.select(*by, ts_utc, *[F.col(f"`{c}`").try_cast("double").alias(c) for c in measures]), ts_utc, by, tz)
+    new = {"P": "P_Wh", **{f"P_{f}": f"P_{f}_W" for f in FULL_BLOCK}}
+    new |= {f"{c}_{f}": f"{c}_{f}_Wm2" for c in IRRADIANCE for f in ("std", "p10", "p90")}
+    gone = {"doy", "month", "day", "E_day_kWh", "Hpoa_day_kWhm2"}
+    return d.select(*[F.col(f"`{c}`").alias(new.get(c, c)) for c in d.columns if c not in gone])

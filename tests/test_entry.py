@@ -41,3 +41,21 @@ def test_hourly_stream(spark, sf, tmp_path):
     got = {(r.event_type, r.ts): r.value for r in spark.table("hours").collect()}
     want = {(r.event_type, r.ts): r.value for r in resample(e, "ts", "hour", {"value": "mean"}, ["event_type"], full=False).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_import_without_the_text_operators(tmp_path):
+    """A copy without them, and without the pipeline or with it left behind, imports and lists the other queries."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    for keep_pipeline in (False, True):
+        copy = tmp_path / str(keep_pipeline)
+        shutil.copytree(os.path.join(root, "heliochron"), copy / "heliochron", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        for f in ["__spark_entry__.py", *["corpus_pipeline.py"] * keep_pipeline]:
+            if os.path.exists(os.path.join(root, f)):
+                shutil.copy(os.path.join(root, f), copy / f)
+        code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 130 and not any(k.startswith('op') or k == 'pipeline' for k in q); e.oracle_sql(); print('fine')"
+        out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120, env={**os.environ, "PYTHONPATH": str(copy)})
+        assert out.stdout.strip() == "fine", out.stderr[-800:]

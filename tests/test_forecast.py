@@ -217,3 +217,64 @@ def test_fallback_interval_and_regressors(spark):
     dates = spark.createDataFrame([(DAY(i),) for i in range(5)], "ds date")
     p = bt.prepare_regressors(reg, dates, "ds")
     assert p.columns == ["ds", "v"] and [x.v for x in p.collect()] == [1.0] * 5
+
+
+def test_moments_equal_the_copied_grid(spark):
+    """Baselines from moments against the same models given every train row, on folds and on horizons."""
+    rng = np.random.default_rng(4)
+    a = [float(v) for v in rng.normal(10, 3, 90)]
+    a[40] = a[80] = None
+    d = series(spark, a=a, b=[5.0] * 70, c=range(25), short=range(9)).cache()
+    models = {n: (lambda train, keys, n=n: baseline(train, n, 40, by=keys)) for n in ("last", "mean", "seasonal")}
+    for key, cells, grid in (("fold", bt.fold_cells(10, 3), bt.folds(d, "ds", 10, 3, ["s"])), ("horizon", bt.horizon_cells((40, 20, 8)), bt.horizons(d, "ds", (40, 20, 8), ["s"]))):
+        pred, score = bt.backtest_baselines(d, list(models), "y", "ds", cells, ["s"], key)
+        want = bt.backtest(grid, models, "y", "ds", ["s"], [key])
+        rows = lambda t: {(r.s, r[key], r.model, r.ds): (r.lead, r.y, None if r.yhat is None else round(r.yhat, 9)) for r in t.collect()}
+        assert rows(pred) == rows(want) and len(rows(pred)) > 100
+        one = {(r.s, r[key], r.model): r for r in score.collect()}
+        two = {(r.s, r[key], r.model): r for r in bt.backtest_scores(grid, want, "y", "ds", ["s"], [key]).collect()}
+        assert set(one) == set(two)
+        for k, r in one.items():
+            for c in ("n", "mae", "mase_lag1", "rmse", "rmsse", "smape", "r2"):
+                assert (r[c] is None) == (two[k][c] is None) and (r[c] is None or r[c] == pytest.approx(two[k][c])), (k, c)
+    with pytest.raises(ValueError):
+        bt.backtest_baselines(d, ["clock_hour"], "y", "ds", cells, ["s"])
+
+
+def test_no_train_row_is_copied(spark):
+    d = series(spark, a=range(400))
+    p = bt.train_moments(d, "y", "ds", bt.fold_cells(30, 3), ["s"])._jdf.queryExecution().optimizedPlan().toString()
+    below = p[p.index("Aggregate", p.index("Generate explode")):]  # what the exploded blocks come from
+    assert "Generate" not in below and "avg(" in below
+
+
+def test_bad_variables_are_named_and_the_others_go_on(spark):
+    from heliochron.forecast.regress import forecast_every
+    rng = np.random.default_rng(6)
+    d = series(spark, good=rng.normal(size=60), few=[1, 2, 3], flat=[4.0] * 60, none=[None] * 30)
+    got = {}
+    for r in forecast_every(d, 5, by=["s"]).collect():
+        got.setdefault(r.s, []).append(r)
+    assert {s: {r.status for r in v} for s, v in got.items()} == {"good": {"ok"}, "few": {"too_short"}, "flat": {"no_variation"}, "none": {"no_rows"}}
+    assert all(len(v) == 5 for v in got.values()) and {r.lead for r in got["few"]} == {1, 2, 3, 4, 5}
+    assert all(r.yhat is None for s in ("few", "none") for r in got[s]) and all(r.yhat == pytest.approx(4.0) for r in got["flat"])
+    still = LinearForecaster("lasso", 1e-4)
+    x = d.where("s = 'good'").select("s", "y", F.rand(1).alias("x1"), F.rand(2).alias("x2"))
+    assert still.fit(x, ["x1", "x2"], "y", ["s"]).first().status == "ok"
+    assert LinearForecaster(least=100).fit(x, ["x1"], "y", ["s"]).first().status == "too_short"
+
+
+def test_pooled_intervals_cover(spark):
+    """Three folds of a year: bounds from neighbouring leads hold about their share, three errors alone far less."""
+    rng = np.random.default_rng(8)
+    res = spark.createDataFrame([("a", lead, float(e), 0.0) for lead in range(1, 201) for e in rng.normal(size=3)], "s string, lead int, y double, yhat double")
+    new = spark.createDataFrame([("a", lead, 0.0) for lead in range(1, 201)], "s string, lead int, yhat double")
+    true = rng.normal(size=(200, 50))
+
+    def share(pool):
+        rows = bt.interval(new, res, ["s"], 0.9, pool=pool).collect()
+        assert len(rows) == 200
+        return np.mean([(true[r.lead - 1] >= r.lower) & (true[r.lead - 1] <= r.upper) for r in rows])
+    assert share(0) < 0.7 and 0.85 < share(10) < 0.93
+    r = bt.interval(new.limit(1), spark.createDataFrame([("a", 1, 1.0, 0.0), ("a", 2, 5.0, 0.0), ("a", 9, 99.0, 0.0)], res.schema), ["s"], 0.5, pool=1).first()
+    assert (r.lower, r.upper) == (1.0, pytest.approx(3.0))  # errors 1, 1, 5

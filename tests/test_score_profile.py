@@ -114,3 +114,30 @@ def test_time_profile(spark, mins, label, med):
     for r in (pr.profile_time(d, "ts", ["s"], 1800).first(), pr.profile_time(d, "ts").first()):
         assert (r.inferred_freq, r.median_delta_seconds) == (label, med)
         assert r.start == t0 + dt.timedelta(minutes=mins[0]) and r.end == t0 + dt.timedelta(minutes=mins[-1])
+
+
+def test_categories_by_digest(spark):
+    """Long texts, short ones, ties within and between them, missing values, a text that looks like a key."""
+    import hashlib
+    import random
+    from collections import Counter
+    from heliochron.operators.profile import DIGEST, profile_categorical
+    rng = random.Random(4)
+    long = ["z" * 40, "a" * 33, "m" * 500, "é" * 17, DIGEST + hashlib.md5(b"z" * 40).hexdigest()]
+    for pool in ([*long, "b", ""], long, ["x", "y", "a" * 32], [*long * 2, "b"], [None]):
+        for draws in (1, 40):
+            v = [rng.choice([*pool, None]) for _ in range(draws)] + list(dict.fromkeys(pool))
+            d = spark.createDataFrame([(1, x, "k") for x in v], "g int, t string, u string")
+            got = {r.variable: (r.unique_count, r.top, r.freq) for r in profile_categorical(d, ["t", "u"], ["g"]).collect()}
+            n = Counter(x for x in v if x is not None)
+            best = min(n.items(), key=lambda x: (-x[1], x[0].encode())) if n else (None, None)
+            assert got == {"t": (len(n), *best), "u": (1, "k", len(v))}
+
+
+def test_long_texts_are_not_sent_for_the_counts(spark):
+    from pyspark.sql import functions as F
+    from heliochron.operators.profile import profile_categorical
+    d = spark.range(1000).select(F.repeat(F.col("id").cast("string"), 200).alias("t"))
+    plan = profile_categorical(d)._jdf.queryExecution().executedPlan().toString()
+    first = plan[plan.index("partial_count"):]
+    assert "md5" in plan and "keys=[variable" in first

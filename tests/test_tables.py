@@ -225,3 +225,49 @@ def test_clip_outliers(spark):
     ys = np.array([100.0 if i == 20 else i % 3 for i in range(40)])
     top = max(r.c for r in sc.transform(d, "clip_outliers", "y", "ds", out="c").collect())
     assert top == pytest.approx(ys.mean() + 3 * ys.std(ddof=1))
+
+
+def test_trailing_mean_over_a_century(spark):
+    """36,525 days, half of them missing: as a plain loop, in time that grows with the days alone."""
+    import random
+    import time
+    from collections import deque
+    from heliochron.operators.features import fill_trailing_mean
+    rng = random.Random(2)
+    y = [None if rng.random() < 0.5 else rng.random() for _ in range(36_525)]
+    want, last = [], deque(maxlen=30)
+    for v in y:
+        if v is None:
+            v = sum(last) / 30 if len(last) == 30 else last[-1] if last else 0.0
+        last.append(v)
+        want.append(v)
+
+    def run(n):
+        d = spark.createDataFrame(list(enumerate(y[:n])), "t long, y double")
+        t = time.time()
+        got = [r.y for r in fill_trailing_mean(d, "y", "t").orderBy("t").collect()]
+        return got, time.time() - t
+    run(100)
+    part, few = run(9_000)
+    got, many = run(len(y))
+    assert got == pytest.approx(want) and part == pytest.approx(want[:9_000])
+    assert many < 8 * few + 4, (few, many)
+
+
+def test_typical_year_names(spark):
+    from pyspark.sql import functions as F
+    from heliochron.plans.irradiance_days import typical_year_days
+    rows = [("2005-01-01 %02d:00:00" % h, "x" if h == 3 else str(float(h)), "5", "0") for h in range(16)]
+    d = spark.createDataFrame(rows, "t string, P string, T2m string, Int string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    out = typical_year_days(d, "t", tz="UTC")
+    assert "Int" not in out.columns and {"P_Wh", "P_kWh", "P_mean_W", "P_p10_W", "T2m_mean", "n_obs_P", "valid_frac_P"} <= set(out.columns)
+    r = out.first()
+    assert r.P_Wh == sum(range(16)) - 3 and r.n_obs_P == 15 and r.P_max_W == 15 and r.T2m_p90 == 5
+
+
+def test_scaling_brings_the_sisters_along(spark):
+    from heliochron.operators import scaling as sc
+    d = spark.createDataFrame([(10.0, 0.01, 2.0, 5)], "P_Wh double, P_kWh double, P_mean double, n_obs_P int")
+    stats = sc.stats_from_json(spark, '{"unit_detected": "wh", "min_wh": 0.0, "max_wh": 20.0, "min_kwh": 0.0, "max_kwh": 0.02, "count": 2}')
+    r = sc.minmax_by_ref(d, ["P_Wh"], stats).first()
+    assert (r.P_Wh_minmax_by_solar, r.P_kWh_minmax_by_solar, r.P_mean_minmax_by_solar) == (0.5, 0.5, 0.5)
