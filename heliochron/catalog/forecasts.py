@@ -334,3 +334,19 @@ def g6_total(spark, sf):
     m = lambda hist, n: baseline(hist, "seasonal", n, by=BY)
     _, total = year_ahead(stored_order_days(spark, sf), m, by=BY)
     return total.withColumn("total_wh", rnd("total_wh", 1))
+
+
+@query("g6_year_ahead_beside_naive", f"""WITH {ODF}, cu AS (SELECT series, max(ds) AS top, CAST(max(ds) - INTERVAL 100 DAY AS DATE) AS last FROM odf GROUP BY 1),
+f AS (SELECT series, top, last, CAST(unnest(generate_series(1, 365)) AS INTEGER) AS lead FROM cu),
+d AS (SELECT series, top, CAST(last + lead * INTERVAL 1 DAY AS DATE) AS ds, CAST(last + (lead - CAST(ceil(lead / 7) AS INTEGER) * 7) * INTERVAL 1 DAY AS DATE) AS src FROM f)
+SELECT d.series, d.ds, {r('t.y', 2)} AS y, {r('greatest(s.y, 0)', 2)} AS yhat, {r('n.y', 2)} AS naive FROM d LEFT JOIN odf t ON t.series = d.series AND t.ds = d.ds
+LEFT JOIN odf s ON s.series = d.series AND s.ds = d.src LEFT JOIN odf n ON n.series = d.series AND n.ds = least(CAST(d.ds - INTERVAL 1 DAY AS DATE), d.top)""")
+def g6_beside(spark, sf):
+    """A year from a hundred days before the end, beside the days known since and the last known day before each."""
+    from ..plans.year_ahead import beside_naive, year_ahead
+    truth = stored_order_days(spark, sf)
+    last = truth.groupBy("series").agg(F.date_sub(F.max("ds"), 100).alias("last"))
+    history = truth.join(last, "series").where("ds <= last").drop("last")
+    forecast, _ = year_ahead(history, lambda hist, n: baseline(hist, "seasonal", n, by=BY), by=BY)
+    d = beside_naive(forecast.select("series", "ds", "yhat"), truth, by=BY)
+    return d.select("series", "ds", *[rnd(c, 2).alias(c) for c in ("y", "yhat", "naive")])

@@ -33,6 +33,32 @@ def c123(spark, sf):
     return d.select("event_type", "ts", rnd("Wh").alias("Wh"), rnd("level").alias("level"))
 
 
+_LOGGED = f"""w0 AS (SELECT event_type, event_id, value, CASE WHEN event_id % 97 = 0 AND event_id > 500 THEN NULL ELSE date_trunc('second', ts) END AS t,
+row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events),
+w1 AS (SELECT *, last_value(t IGNORE NULLS) OVER o AS lt, last_value(CASE WHEN t IS NOT NULL THEN rn END IGNORE NULLS) OVER o AS ln FROM w0
+WINDOW o AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+fx AS (SELECT event_type, lt + (rn - ln) * INTERVAL 1 MINUTE AS ts, value FROM w1), {_FILLED.replace('FROM events', 'FROM fx')},
+hr AS (SELECT event_type, CAST(ts AS DATE) AS d, round(value, 5) AS value FROM ef), we AS (SELECT CAST(ts AS DATE) AS d, avg(user_id) AS temp FROM events GROUP BY 1)"""
+
+
+@query("c3_logger_text_to_days_with_weather", f"""WITH {_LOGGED} SELECT event_type, d AS "LocalTime", {r('sum(value)', 2)} AS "Wh", {r('avg(value)', 3)} AS level, {r('any_value(temp)')} AS temp,
+{r('any_value(CASE WHEN temp IS NOT NULL THEN sin(2 * pi() * dayofyear(d) / 365.0) END)', 6)} AS "sin_DOY_k1" FROM hr LEFT JOIN we USING (d) GROUP BY 1, 2""")
+def c3_logger(spark, sf):
+    """Lines as the logger writes them, with repeated headers and lost times, to days beside the weather's."""
+    from ..plans.energy_days import logger_days, with_weather
+    e = events(spark, sf)
+    lost = (F.col("event_id") % 97 == 0) & (F.col("event_id") > 500)
+    text = F.when(lost, "").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    line = F.struct(text.alias("LocalTime"), F.col("value").cast("string").alias("W"), F.col("value").cast("string").alias("level"))
+    head = F.struct(F.lit("LocalTime").alias("LocalTime"), F.lit("W").alias("W"), F.lit("level").alias("level"))
+    lines = F.when(F.col("event_id") % 1000 == 0, F.array(head, line)).otherwise(F.array(line))
+    d = e.select("event_type", "event_id", F.inline(lines))
+    weather = e.groupBy(F.col("ts").cast("date").alias("Date")).agg(F.avg("user_id").alias("temp"))
+    days = logger_days(d, "event_id", TYPE, measures=("level",)).withColumn("LocalTime", F.col("LocalTime").cast("date"))
+    out = with_weather(days, weather)
+    return out.select("event_type", "LocalTime", rnd("Wh", 2).alias("Wh"), rnd("level", 3).alias("level"), rnd("temp").alias("temp"), rnd("sin_DOY_k1", 6).alias("sin_DOY_k1"))
+
+
 @query("c3_daily_energy_no_spine", f"""SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS ds,
 {r('sum(o_totalprice)', 2)} AS total, {r('avg(o_custkey)')} AS cust FROM orders GROUP BY 1, 2""")
 def c3(spark, sf):
