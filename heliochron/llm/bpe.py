@@ -6,8 +6,9 @@ that has them, and their ids sent to the others; all other chunks are encoded wh
 
 A chunk's ids are those of the chunk alone, so near its ends they may differ from the ids of the whole
 text.  Each join is repaired: the last and first ids of its sides are turned back into text, encoded as
-one and compared; the stretch grows until, on either side, both agree on a place that no token of the
-tokenizer can cross (a space after a visible ASCII character).  What lies between these is replaced.
+one and compared; the stretch grows until, on either side, both agree on a place where their ids may meet: one that
+no token crosses (a space after a visible ASCII character), or one between two letters whose ids the merges leave
+side by side.  What lies between these is replaced.  So texts without spaces need no longer stretches than others.
 
 A document is told apart by its id and a hash of its text; a missing id is one more value, rows that
 repeat both are encoded alike.  Missing and empty texts have no ids.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,6 +78,9 @@ class Codec:
             self.raw[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         self.size = np.array([len(x) for x in self.raw], np.int64)
         self.text = [str(i).encode() for i in range(len(self.raw))]
+        self.inner = np.array([x[:1] >= b"\x80" and x[:1] < b"\xc0" for x in self.raw], bool)
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self.fixed = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*").fullmatch
 
     def bytes_of(self, ids) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids.tolist()))
@@ -87,14 +92,37 @@ class Codec:
     def decimals(self, ids) -> bytes:
         return b",".join(map(self.text.__getitem__, ids.tolist()))
 
-    def _firm(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of ids that start at a place no token crosses, and the byte offsets of these places."""
+    def _firm(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Borders between ids: their numbers, byte offsets, and whether no token crosses the place (a space after visible ASCII)."""
         ends = np.cumsum(self.size[ids])
         raw = np.frombuffer(self.bytes_of(ids), np.uint8)
         at = ends[:-1]
         ok = (raw[at] == 32) & (raw[at - 1] > 32) & (raw[at - 1] < 127) if len(at) else np.zeros(0, bool)
-        k = np.flatnonzero(ok) + 1
-        return k, ends[k - 1]
+        return np.arange(1, len(ids)), at, ok
+
+    def _fit(self, a: int, b: int) -> bool:
+        """Whether the merges leave these two ids side by side."""
+        if (a, b) not in self.pairs:
+            if len(self.pairs) > 100_000:
+                self.pairs.clear()
+            raw = (self.raw[a] + self.raw[b]).decode("latin-1").translate(self.enc.chars)
+            self.pairs[a, b] = self.enc.merges.encode(raw, add_special_tokens=False).ids == [a, b]
+        return self.pairs[a, b]
+
+    def _seam(self, raw: bytes, at: int, firm: bool, a: int, b: int) -> bool:
+        """Whether ids a and b may meet at a place of the text: a firm one, or inside a run of letters and left alone by the merges.
+
+        Ids of one run of letters are those of its encoding if and only if the merges leave each two neighbours alone.
+        """
+        if firm:
+            return True
+        if raw[at] & 0xC0 == 0x80:  # inside a character
+            return False
+        start = at - 1
+        while start > 0 and raw[start] & 0xC0 == 0x80:
+            start -= 1
+        near = raw[start:at + 4].decode("utf-8", "ignore")
+        return len(near) > 1 and near[0].isalpha() and near[1].isalpha() and self.fixed(near[:2]) and self._fit(a, b)
 
     def join(self, parts: list[np.ndarray]) -> np.ndarray:
         """The ids of the whole text from those of its chunks."""
@@ -105,6 +133,22 @@ class Codec:
             self._repair(done, nxt)
         return np.concatenate(done)
 
+    def _cut(self, tail, head, new, starts, raw, border, whole_left, whole_right) -> tuple[int, int, int, int] | None:
+        """(u, i, j, v): tail[:u], new[i:j], head[v:] fit together, as near to the border as it goes."""
+        def borders(ids, offset, back):
+            k, at, ok = self._firm(ids)
+            at = at + offset
+            i = np.searchsorted(starts, at)
+            same = starts[np.minimum(i, len(starts) - 1)] == at
+            order = np.flatnonzero(same & (at > 0) & (at < len(raw)))
+            return [(int(k[x]), int(i[x]), int(at[x]), bool(ok[x])) for x in (order[::-1] if back else order)]
+        lefts = next(((u, i) for u, i, at, ok in borders(tail, 0, True) if self._seam(raw, at, ok, int(tail[u - 1]), int(new[i]))), (0, 0) if whole_left else None)
+        if lefts is None:
+            return None
+        rights = next(((j, v) for v, j, at, ok in borders(head, border, False) if j >= lefts[1] + 1 and self._seam(raw, at, ok, int(new[j - 1]), int(head[v]))),
+                      (len(new), len(head)) if whole_right else None)
+        return None if rights is None else (*lefts, *rights)
+
     def _repair(self, done: list[np.ndarray], right: np.ndarray) -> None:
         m = 24
         while True:
@@ -112,23 +156,23 @@ class Codec:
             while len(left) < m and done:
                 left = np.concatenate([done.pop(), left])
             a, b = max(0, len(left) - m), min(len(right), m)
+            while 0 < a < len(left) and self.inner[left[a]]:  # not from inside a character
+                a += 1
+            while 0 < b < len(right) and self.inner[right[b]]:
+                b -= 1
             tail, head = left[a:], right[:b]
             whole_left, whole_right = a == 0 and not done, b == len(right)
             raw = self.bytes_of(tail) + self.bytes_of(head)
             border = int(self.size[tail].sum())
             try:
-                new = self.enc.encode([raw.decode("utf-8")])[0]
+                new = np.array(self.enc.library.encode(raw.decode("utf-8"), add_special_tokens=False).ids, self.enc.dtype)
             except UnicodeDecodeError:  # the stretch begins or ends inside a character
                 new = None
             if new is not None:
                 starts = np.concatenate([[0], np.cumsum(self.size[new])])
-                u, at_u = self._firm(tail)
-                v, at_v = self._firm(head)
-                u, at_u = (u[-1], at_u[-1]) if len(u) else (0, 0)
-                v, at_v = (v[0], at_v[0] + border) if len(v) else (b, len(raw))
-                agree = (u > 0 or whole_left) and (v < b or whole_right)
-                i, j = np.searchsorted(starts, [at_u, at_v])
-                if agree and starts[i] == at_u and starts[j] == at_v:
+                found = self._cut(tail, head, new, starts, raw, border, whole_left, whole_right)
+                if found is not None:
+                    u, i, j, v = found
                     done += [x for x in (left[:a + u], np.concatenate([new[i:j], right[v:]])) if len(x)]
                     if not done:
                         done.append(left[:0])
@@ -147,7 +191,7 @@ def codec(path: str, joins: bool = True) -> Codec:
     if (path, joins) not in state:
         if joins:
             enc = encoder(path)
-            enc.keep = min(enc.keep, 400_000)
+            enc.keep = min(enc.keep, 100_000)
             if enc.layout != "bytes":
                 raise ValueError("chunks are joined for byte-level merges only")
             state[path, joins] = Codec(enc.library.get_vocab(True), enc)
@@ -172,7 +216,7 @@ def _chunk_table(texts: DataFrame) -> DataFrame:
     """(doc, th, at, size, h1, h2): the chunks of every text with 128 bits of hash."""
     def run(batches) -> Iterator:
         import pyarrow as pa
-        for part in in_slices(rows_of(batches, "doc", "text", "th"), 8 << 20):
+        for part in in_slices(rows_of(batches, "doc", "text", "th"), 4 << 20):
             doc, th, at, size, hashes = [], [], [], [], []
             for d, text, t in part:
                 raw, a = text.encode("utf-8", "surrogatepass"), 0

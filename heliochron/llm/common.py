@@ -95,9 +95,22 @@ def in_slices(rows: Iterable[tuple], weight: int = 4 << 20) -> Iterator[list[tup
         yield out
 
 
+def give_back() -> None:
+    """Hand memory that is free but kept by the allocators back: workers live on from stage to stage."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not with every C library
+        pass
+
+
 def rows_of(batches, *names: str) -> Iterator[tuple]:
-    """The rows of Arrow batches as tuples, a thousand at a time."""
+    """The rows of Arrow batches as tuples, a thousand at a time; memory is given back when all have been read."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
             yield from zip(*(part.column(n).to_pylist() for n in names))
+    give_back()

@@ -42,7 +42,7 @@ def pick_runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes lists of texts; ``keep`` bounds the words held between slices."""
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 100_000):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
@@ -200,7 +200,7 @@ def encoder(path: str) -> Encoder:
     return state[path]
 
 
-def encode_slices(rows, path: str, weight: int = 8 << 20):
+def encode_slices(rows, path: str, weight: int = 2 << 20):
     """(row, ids) for rows (id, text, ...), a slice of the texts at a time."""
     enc = encoder(path)
     for part in in_slices(rows, weight):

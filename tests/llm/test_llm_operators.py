@@ -498,3 +498,166 @@ def test_pipeline(spark, tmp_path):
     left = {x.doc_id: x for x in steps[4].collect()}
     assert passage in left[63].text and passage not in left[64].text and left[64].n_chars == len(left[64].text)
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()} == ids[4]
+
+
+def plain_labels(text, near=3, enough=0.6):
+    """(labels, score) of the license scan by loops over all places and templates."""
+    import re
+    from heliochron.llm.licenses import K, NOTICES, PHRASES, WORD
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    words, labels, score = re.findall(WORD, low), set(), 0.0
+    for t, (phrase, label) in enumerate([*PHRASES, *NOTICES]):
+        own = re.findall(WORD, phrase)
+        runs = len(own) - K + 1
+        found = {}
+        for at in range(len(words) - K + 1):
+            for p in range(runs):
+                if words[at:at + K] == own[p:p + K]:
+                    found.setdefault(at - p, set()).add(p)
+        bands, last = [], None
+        for d in sorted(found):
+            if last is None or d - last > max(near, runs // 4):
+                bands.append(set())
+            bands[-1] |= found[d]
+            last = d
+        full = t < len(PHRASES) and any(len(p) == runs for p in found.values())
+        best = max((len(b) / runs for b in bands), default=0.0)
+        if full or best >= enough:
+            labels.add(label)
+        score = max(score, 1.0 if full else best)
+    return ",".join(sorted(labels)), score
+
+
+def test_license_labels_against_loops(spark):
+    import random
+    from heliochron.llm.licenses import NOTICES, PHRASES, scan
+    rnd = random.Random(12)
+    texts = ["the mit license the mit license", "under the mit license", "x " * 5000 + NOTICES[0][0]]
+    for _ in range(250):
+        out = []
+        for _ in range(rnd.randint(0, 4)):
+            words = rnd.choice([*PHRASES, *NOTICES])[0].split()
+            a, b = sorted((rnd.randint(0, len(words)), rnd.randint(0, len(words))))
+            for w in words[a:b] if rnd.random() < 0.5 else words:
+                r = rnd.random()
+                out += [] if r < 0.04 else [w, "put", "in"] if r < 0.08 else [w]
+            out += ["other"] * rnd.randint(0, 6)
+        texts.append(" ".join(out))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in scan(df).collect()}
+    for i, text in enumerate(texts):
+        labels, score = plain_labels(text)
+        assert got[i][0] == labels and got[i][1] == pytest.approx(score), text
+    assert got[0] == ("", 0.5)
+
+
+def test_joins_without_spaces_are_linear():
+    import random
+    import time
+    import numpy as np
+    import public_tokenizers
+    from heliochron.llm.bpe import codec, cuts
+    c, rnd = codec(public_tokenizers.path("byte_bpe_50k.json")), random.Random(13)
+    text = "".join(chr(rnd.randrange(0x4E00, 0x4E00 + 3000)) for _ in range(700_000))  # two megabytes
+    t = time.time()
+    whole = c.enc.library.encode(text, add_special_tokens=False).ids
+    library = time.time() - t
+    raw, at, parts = text.encode(), 0, []
+    for end in cuts(raw):
+        parts.append(raw[at:end].decode())
+        at = end
+    ids = c.enc.encode(parts)
+    t = time.time()
+    got = c.join(ids)
+    assert time.time() - t < 3 * library + 1 and np.array_equal(got, whole)
+
+
+def test_joins_of_letters_of_many_scripts():
+    import random
+    import numpy as np
+    import public_tokenizers
+    from heliochron.llm.bpe import codec
+    c, rnd = codec(public_tokenizers.path("byte_bpe_50k.json")), random.Random(14)
+    letters = ["的一是不了人我在有他这中大来上国", "abcdefgh", "äöüßéèaeiouns", "あいうえおカキクケ", "абвгде", "한국어가나다", " .,!?'\n12", "'s're", " ", "🙂e\u0301"]
+    for _ in range(1500):
+        kinds = rnd.sample(letters, rnd.randint(1, 4))
+        text = "".join(rnd.choice(rnd.choice(kinds)) for _ in range(rnd.randint(2, 300)))
+        cut = sorted(rnd.sample(range(1, len(text)), min(rnd.randint(1, 12), len(text) - 1)))
+        parts = [c.enc.encode([text[a:b]])[0] for a, b in zip([0, *cut], [*cut, len(text)])]
+        assert np.array_equal(c.join(parts), c.enc.library.encode(text, add_special_tokens=False).ids), text
+
+
+def test_language_scores_against_loops(spark):
+    """Every score by plain counting: words first, then shorter and shorter runs."""
+    import math
+    import random
+    from heliochron.llm.language import ORDER, identify, runs_of, train, words_of
+    rnd = random.Random(15)
+    langs = {"x": "abcde", "y": "cdefg", "z": "éèfgh"}
+    word = lambda s: "".join(rnd.choice(s) for _ in range(rnd.randint(1, 6)))
+    vocab = {k: [word(s) for _ in range(30)] for k, s in langs.items()}
+    docs = [(i, " ".join(rnd.choice(vocab[k]) for _ in range(rnd.randint(1, 40))), k) for i in range(300) for k in [rnd.choice("xyz")]]
+    docs += [(1000 + i, " ".join(word("abcdefghéq") for _ in range(9)), None) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    learn = [(t, k) for i, t, k in docs if k and zlib.crc32(str(i).encode()) % 4 != 2]
+    n = {}
+    for t, k in learn:
+        for w in words_of(t):
+            for kind in range(ORDER + 1):
+                for token in runs_of(w, kind) if kind else [w]:
+                    c = n.setdefault((k, kind), Counter())
+                    c[token] += 1
+
+    def log(k, kind, token):
+        c = n.get((k, kind), Counter())
+        seen = c[token] if c[token] >= 2 else 0
+        return math.log((seen + 0.5) / (sum(c.values()) + len(c) + 1))
+
+    def plain(text):
+        total = {k: 0.0 for k in "xyz"}
+        for w in words_of(text):
+            known = lambda kind, token: any(n.get((k, kind), Counter())[token] >= 2 for k in "xyz")
+            if known(0, w):
+                kind, tokens = 0, [w]
+            else:
+                kind, tokens = next(((m, r) for m in range(ORDER, 0, -1) if (r := [x for x in runs_of(w, m) if known(m, x)])), (1, []))
+            for k in total:
+                total[k] += sum(log(k, kind, x) for x in tokens) / max(1, len(tokens))
+        best = max(sorted(total), key=total.get)
+        return best, 1 / sum(math.exp(v - total[best]) for v in total.values())
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(df, train(df)).collect()}
+    for i, text, _ in docs:
+        if words_of(text):
+            k, score = plain(text)
+            assert got[i][0] == k and got[i][1] == pytest.approx(score), text
+
+
+def test_two_hundred_languages_stay_bounded(spark):
+    import random
+    import pickle
+    from heliochron.llm.language import identify, train
+    rnd = random.Random(16)
+    rows = []
+    for k in range(200):
+        vocab = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(3, 8))) for _ in range(200)]
+        rows += [(k * 10 + i, " ".join(rnd.choice(vocab) for _ in range(300)), f"l{k:03}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(df, entries=40_000)
+    assert len(model.langs) <= 40_000 and len(pickle.dumps(model)) < 4_000_000 and len(model.names) == 200
+    got = {r.doc_id: r.lang_pred for r in identify(df, model).collect()}
+    assert sum(got[i] == k for i, _, k in rows) > 0.95 * len(rows)
+
+
+def test_machine_scores_against_all_pairs(spark):
+    """The linear-time score equals the sum written out over all pairs, and the fit's gradient that of differences."""
+    import numpy as np
+    from heliochron.llm.quality import Machine, STRUCTURE
+    rng = np.random.default_rng(17)
+    buckets, rank = 64, 3
+    m = Machine(0.3, rng.normal(size=buckets + len(STRUCTURE)), rng.normal(size=(buckets + len(STRUCTURE), rank)), rng.normal(size=len(STRUCTURE)),
+                1 + rng.random(len(STRUCTURE)), buckets)
+    for text in ["", "one", "Some words, some more words and some MORE.\n\nAnd 12 numbers!", "x " * 500, "é ü ß"]:
+        idx, x = m.row(text)
+        raw = m.bias + sum(m.linear[i] * v for i, v in zip(idx, x))
+        raw += sum(float(m.factors[i] @ m.factors[j]) * x[a] * x[b] for a, i in enumerate(idx) for b, j in enumerate(idx) if a < b)
+        assert m.score(text) == pytest.approx(1 / (1 + np.exp(-raw)))
