@@ -150,13 +150,19 @@ def score_texts(texts: DataFrame, machine: Machine) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row; predicted is 1 from a score of one half on."""
+    """(doc_id, held_out, score, predicted) per row; predicted is 1 from a score of one half on.
+
+    Missing texts are empty and scored like any other; rows are judged one by one, so repeated rows give repeated results.
+    """
     scored = score_texts(texts_of(docs), train(docs, labels, **how))
     return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, **how) -> DataFrame:
-    """The documents that score ``least`` or more; columns as they came."""
+    """The documents that score ``least`` or more; columns as they came.
+
+    A missing text is scored as an empty one and stays missing.  Repeated rows stay or go together; an empty table stays empty.
+    """
     machine = train(docs, labels, **how)
 
     @F.pandas_udf("double")

@@ -116,7 +116,8 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = 20_000, sure: float
     """(doc_id, COUNTS, base_failed, rule, kept) per row.
 
     base_failed: fewer than 50 words, or over half of the words lie in repeated three-word windows.
-    Missing and empty texts have no words and fail.  Without labels no rule is learned.
+    Missing and empty texts have no words and fail.  Repeated rows are judged alike.  Without labels no rule is learned.
+    Of a statistic with more than 256 thresholds between labelled rows, 256 spread evenly over them are tried.
     """
     stats = stored(add_statistics(texts_of(docs)), "text-statistics")
     rules = learn(*labelled(stats, labels, sample), sure=sure)

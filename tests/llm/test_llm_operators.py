@@ -661,3 +661,10 @@ def test_machine_scores_against_all_pairs(spark):
         raw = m.bias + sum(m.linear[i] * v for i, v in zip(idx, x))
         raw += sum(float(m.factors[i] @ m.factors[j]) * x[a] * x[b] for a, i in enumerate(idx) for b, j in enumerate(idx) if a < b)
         assert m.score(text) == pytest.approx(1 / (1 + np.exp(-raw)))
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
