@@ -2,6 +2,10 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written and read again as the next one's docs.  All but the last return the columns of documents.
+
+In every stage a missing text counts as an empty one and stays missing, a missing id is one more value, rows that repeat id
+and text stay or go together (exact dedup leaves one of them), further columns are carried along, and an empty table gives
+an empty one.
 """
 
 from __future__ import annotations
