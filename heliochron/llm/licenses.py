@@ -4,7 +4,8 @@ Every run of K words of every text is hashed and joined to the places where the
 A match votes for a diagonal: its place in the text minus its place in the template.  A template that
 stands in the text word for word puts all its votes on one diagonal; a word put in or left out moves
 the rest of the votes to a neighbouring one.  Diagonals of one template that lie close together are
-merged into a span, and a span that holds enough of the template gives its label.
+merged into a span.  A span is verified by the template's places that it holds, each counted once
+however often it stands there; if they are enough, it gives the template's label.
 
 The templates are a fixed list, so the joined table is small whatever the corpus; it is the only
 thing broadcast.  Votes are summed before they are dealt out by document.
@@ -45,8 +46,8 @@ def template_table(spark: SparkSession, base: Sequence[tuple[str, str]], own: Se
     rows = []
     for t, (phrase, label) in enumerate([*base, *own]):
         words = re.findall(WORD, phrase)
-        if len(words) < K:
-            raise ValueError(f"a template has {K} words at least: {phrase!r}")
+        if not K <= len(words) < K + 63:
+            raise ValueError(f"a template has {K} to {K + 62} words: {phrase!r}")
         rows += [(t, label, t < len(base), len(words) - K + 1, i, *words[i:i + K]) for i in range(len(words) - K + 1)]
     table = spark.createDataFrame(rows, "t int, label string, base boolean, runs int, tpos int, t0 string, t1 string, t2 string")
     return table.select(F.xxhash64("t0", "t1", "t2").alias("hash"), "*")
@@ -56,8 +57,9 @@ def scan(docs: DataFrame, base: Sequence[tuple[str, str]] = PHRASES, own: Sequen
          near: int = 3, enough: float = 0.6) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) per row.
 
-    ``near``: diagonals this close are one span; ``enough``: the share of a template's runs that gives its
-    label.  score is the largest share found; spans are (label, first word, last word, share).
+    ``near``: diagonals this close, or closer than a quarter of the template's runs, are one span; ``enough``: the
+    share of a template's different runs that gives its label.  score is the largest share found; spans are
+    (label, first word, last word, share).
     """
     words = F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORD), F.lit(0))
     text = texts_of(docs).select("doc_id", F.xxhash64("text").alias("th"), F.concat(F.array(F.lit(None).cast("string")), words).alias("w"))
@@ -70,19 +72,20 @@ def scan(docs: DataFrame, base: Sequence[tuple[str, str]] = PHRASES, own: Sequen
     found = runs.join(table, hit, "left").where(F.col("t").isNotNull() | (F.col("at") == -1))
     votes = (found.groupBy("doc_id", "th", "t", (F.col("at") - F.col("tpos")).cast("long").alias("diagonal"))
              .agg(F.count("*").alias("votes"), F.max("n_words").alias("n_words"), F.first("label").alias("label"), F.first("base").alias("base"),
-                  F.first("runs").alias("runs"), F.min("at").alias("lo"), F.max("at").alias("hi")))
+                  F.first("runs").alias("runs"), F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("places"),
+                  F.min("at").alias("lo"), F.max("at").alias("hi")))
     doc = Window.partitionBy("doc_id", "th")
     own_t = Window.partitionBy("doc_id", "th", "t").orderBy("diagonal")
     votes = (votes.repartition("doc_id", "th")
              .withColumn("copies", F.max(F.when(F.col("t").isNull(), F.col("votes"))).over(doc))
              .withColumn("votes", (F.col("votes") / F.col("copies")).cast("long"))
              .withColumn("full", F.col("base") & (F.col("votes") == F.col("runs")))
-             .withColumn("band", F.sum(F.when(F.col("diagonal") - F.lag("diagonal").over(own_t) <= near, 0).otherwise(1)).over(own_t)))
+             .withColumn("band", F.sum(F.when(F.col("diagonal") - F.lag("diagonal").over(own_t) <= F.greatest(F.lit(near), F.floor(F.col("runs") / 4)), 0).otherwise(1)).over(own_t)))
     bands = votes.groupBy("doc_id", "th", "t", "band").agg(
         F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), F.first("label").alias("label"),
         F.sum(F.col("full").cast("long")).alias("n_full"), F.min(F.when(F.col("full"), F.col("diagonal"))).alias("first"),
         F.max(F.when(F.col("full"), F.col("diagonal"))).alias("last"), F.min("lo").alias("lo"), (F.max("hi") + K - 1).alias("hi"),
-        F.when(F.col("t").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.sum("votes") / F.first("runs"))).alias("share"))
+        F.when(F.col("t").isNull(), 0.0).otherwise(F.bit_count(F.bit_or("places")) / F.first("runs")).alias("share"))
     good = F.col("share") >= enough
     out = bands.groupBy("doc_id", "th").agg(
         F.max("n_words").cast("long").alias("n_words"), F.max("copies").alias("copies"), F.coalesce(F.sum("n_full"), F.lit(0)).cast("long").alias("n_base"),
