@@ -42,40 +42,57 @@ def runs_of(word: str, n: int) -> list[str]:
 
 @dataclass
 class Languages:
-    """Log frequencies per language; ``names`` in order."""
+    """Log frequencies per language; ``names`` in order.
+
+    A token that a language does not know has that language's floor for its kind.  Only what lies above the floor is kept:
+    entries ``start[i]`` to ``start[i + 1]`` of ``langs`` and ``above`` are those of the token with number i, so the
+    model grows with its entries, not with tokens times languages.
+    """
 
     names: list[str]
-    words: dict[str, np.ndarray]
-    runs: dict[str, np.ndarray]
+    floor: np.ndarray  # [kind, language]
+    words: dict[str, int]
+    runs: dict[str, int]
+    start: np.ndarray
+    langs: np.ndarray
+    above: np.ndarray
     memo: dict[str, np.ndarray] = field(default_factory=dict)
-    room: int = 200_000
 
     def word(self, w: str) -> np.ndarray:
-        known = self.words.get(w)
-        if known is not None:
-            return known
         known = self.memo.get(w)
         if known is None:
             known = np.zeros(len(self.names))
-            for n in range(ORDER, 0, -1):
-                found = [self.runs[r] for r in runs_of(w, n) if r in self.runs]
+            kind, found = 0, [self.words[w]] if w in self.words else []
+            for n in range(ORDER, 0, -1) if not found else ():
+                kind, found = n, [self.runs[r] for r in runs_of(w, n) if r in self.runs]
                 if found:
-                    known = np.mean(found, axis=0)
                     break
-            if len(self.memo) >= self.room:
+            if found:
+                known += self.floor[kind]
+                for i in found:
+                    a, b = self.start[i], self.start[i + 1]
+                    known[self.langs[a:b]] += self.above[a:b] / len(found)
+            if len(self.memo) * len(self.names) >= 4_000_000:
                 self.memo.clear()
             self.memo[w] = known
         return known
 
-    def predict(self, text: str) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.names:
-            return "und", 0.0
-        total = np.zeros(len(self.names))
-        for w, n in Counter(words).items():
-            total += n * self.word(w)
-        best = int(np.argmax(total))
-        return self.names[best], float(1 / np.exp(total - total[best]).sum())
+    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        """(language, score) of each text; every different word of the texts is looked up once."""
+        numbers: dict[str, int] = {}
+        found = [[numbers.setdefault(w, len(numbers)) for w in words_of(t)] for t in texts]
+        table = np.array([self.word(w) for w in numbers]).reshape(len(numbers), len(self.names))
+        out = []
+        for own in found:
+            if not own or not self.names:
+                out.append(("und", 0.0))
+                continue
+            total = np.zeros(len(self.names))
+            for at in range(0, len(own), 1 << 16):
+                total += table[own[at:at + (1 << 16)]].sum(axis=0)
+            best = int(np.argmax(total))
+            out.append((self.names[best], float(1 / np.exp(total - total[best]).sum())))
+        return out
 
 
 def _counts(rows: DataFrame) -> DataFrame:
@@ -101,8 +118,13 @@ def _counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, kind int, token string, n long").groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, sample: int = 20_000, words: int = 20_000, runs: int = 10_000, least: int = 2, folds: int = 4, fold: int = 2, each: int = 500) -> Languages:
-    """Count a model over labelled documents outside the held-out fold; nothing to learn from gives no languages."""
+def train(docs: DataFrame, sample: int = 20_000, words: int = 20_000, runs: int = 10_000, least: int = 2, folds: int = 4, fold: int = 2, each: int = 500,
+          entries: int = 1_500_000) -> Languages:
+    """Count a model over labelled documents outside the held-out fold; nothing to learn from gives no languages.
+
+    The model has at most ``entries`` entries, some 300 MB on the driver and in a worker: with many languages, ``words`` and
+    ``runs`` are lowered alike for each.  Documents that repeat an id are all learnt from.
+    """
     flat, lang = by_position(docs), position(docs, "lang")
     own_id, text = position(docs, "doc_id"), position(docs, "text")
     usable = flat.where(F.col(lang).isNotNull() & F.col(own_id).isNotNull() & ~held_out(F.col(own_id).cast("long"), folds, fold)).select(
@@ -110,24 +132,35 @@ def train(docs: DataFrame, sample: int = 20_000, words: int = 20_000, runs: int
     chosen = smallest(usable.select("doc_id").distinct(), "doc_id", sample)
     chosen = chosen.unionByName(smallest_each(usable.select("lang", "doc_id").distinct(), "lang", "doc_id", each).select("doc_id")).distinct()
     counted = stored(_counts(usable.join(F.broadcast(chosen), "doc_id")), "language-counts")  # at most `sample` ids and `each` a language
-    top = Window.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "token")
-    ranked = counted.where(F.col("n") >= least).withColumn("rank", F.row_number().over(top))
-    kept = ranked.where(F.col("rank") <= F.when(F.col("kind") == 0, words).otherwise(runs)).drop("rank")
     sums = {(r.lang, r.kind): (r.total, r.different) for r in
             counted.groupBy("lang", "kind").agg(F.sum("n").alias("total"), F.count("*").alias("different")).collect()}
     names = sorted({k for k, _ in sums})
+    share = min(1.0, entries / max(1, len(names) * (words + ORDER * runs)))
+    top = Window.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "token")
+    ranked = counted.where(F.col("n") >= least).withColumn("rank", F.row_number().over(top))
+    kept = ranked.where(F.col("rank") <= F.when(F.col("kind") == 0, int(words * share)).otherwise(int(runs * share))).select("kind", "token", "lang", "n")
     at = {name: i for i, name in enumerate(names)}
-    tables: dict[int, dict[str, np.ndarray]] = {k: {} for k in range(ORDER + 1)}
-    rows = kept.collect()  # at most words + ORDER * runs a language
-    floor = {k: np.array([np.log(0.5 / (sums.get((x, k), (0, 0))[0] + sums.get((x, k), (0, 0))[1] + 1)) for x in names]) for k in tables}
-    for r in rows:
-        total, different = sums[(r.lang, r.kind)]
-        tables[r.kind].setdefault(r.token, floor[r.kind].copy())[at[r.lang]] = np.log((r.n + 0.5) / (total + different + 1))
-    return Languages(names, tables[0], {t: v for k in range(1, ORDER + 1) for t, v in tables[k].items()})
+    logs = lambda k, x, n: np.log((n + 0.5) / (sums.get((x, k), (0, 0))[0] + sums.get((x, k), (0, 0))[1] + 1))
+    floor = np.array([[logs(k, x, 0) for x in names] for k in range(ORDER + 1)])
+    table = kept.toArrow().sort_by([("kind", "ascending"), ("token", "ascending")])  # at most ``entries`` rows
+    kinds, tokens, counts = (table.column(c).to_pylist() for c in ("kind", "token", "n"))
+    langs = np.array([at[x] for x in table.column("lang").to_pylist()], np.int32)
+    above = np.array([logs(k, names[i], n) - floor[k, i] for k, i, n in zip(kinds, langs.tolist(), counts)])
+    parts: tuple[dict, dict] = ({}, {})
+    start = []
+    for i, (k, token) in enumerate(zip(kinds, tokens)):
+        own = parts[k > 0]
+        if token not in own:
+            own[token] = len(start)
+            start.append(i)
+    return Languages(names, floor, *parts, np.array([*start, len(tokens)], np.int64), langs, above)
 
 
 def identify(docs: DataFrame, model: Languages | None = None, **how) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) per row; ``und`` and zero if the text is missing or has no letter."""
+    """(doc_id, held_out, lang_pred, score) per row; ``und`` and zero if the text is missing or has no letter.
+
+    Rows are judged one by one: repeated rows give repeated results.
+    """
     model = model or train(docs, **how)
 
     def run(batches):
@@ -140,8 +173,8 @@ def identify(docs: DataFrame, model: Languages | None = None, **how) -> DataFram
             made = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 3, types)], names)
             out.clear()
             return made
-        for doc_id, text in rows_of(batches, "doc_id", "text"):
-            out.append((doc_id, *model.predict(text)))
+        for part in in_slices(rows_of(batches, "doc_id", "text"), 1 << 20):
+            out += [(doc_id, *found) for (doc_id, _), found in zip(part, model.predict([text for _, text in part]))]
             if len(out) >= 5000:
                 yield batch()
         yield batch()
