@@ -303,9 +303,10 @@ def named(own: DataFrame, budget: int, leaf: int = LEAF) -> DataFrame:
 
 WORDS = 5
 TABLES = 6
-FAR = 68
+FAR = 60
 SHARE = 0.8
-HOT = 64  # groups with one key from which on they are compared with one of them first
+FEW = 1 << 17  # pairs of numbers that may be broadcast, 16 bytes each
+HOT = 4  # groups with one key from which on they are compared with one of them first
 
 
 def _hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -380,8 +381,10 @@ def alike(docs: DataFrame, own: DataFrame, pairs: DataFrame, share: float = SHAR
                 edges = np.cumsum([0, *map(len, sets)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(sets)))], ["node", "h"])
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = own.join(used, "node").groupBy("node").agg(F.min("th").alias("th"))
+    texts = stored(own.join(used, "node").groupBy("node").agg(F.min("th").alias("th")), "used-texts")
     every = texts_of(docs).select(F.xxhash64("text").alias("th"), "text")
+    if texts.count() <= FEW:  # else all texts are dealt out to find them
+        texts = F.broadcast(texts)
     sets = stored(every.join(texts, "th").select("node", "text").mapInArrow(run, "node long, h array<long>").groupBy("node").agg(F.any_value("h").alias("h")), "shingle-sets")
     both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
     common = F.size(F.array_intersect("ha", "hb"))
@@ -400,7 +403,7 @@ def _near(pairs: DataFrame, far: int, share: float) -> DataFrame:
     return pairs.select("a", "na", "sa", "b", "nb", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
-def gathered(docs: DataFrame, own: DataFrame, nodes: DataFrame, far: int, share: float, hot: int = HOT, turns: int = 8) -> tuple[DataFrame, DataFrame | None]:
+def gathered(docs: DataFrame, own: DataFrame, nodes: DataFrame, far: int, share: float, hot: int = HOT, turns: int = 2) -> tuple[DataFrame, DataFrame | None]:
     """``nodes`` with groups ``grp`` of nodes that true links connect, and these links (None: no key is hot).
 
     Only for keys that ``hot`` groups or more have: their nodes are compared with one of them, turn by turn another
@@ -449,7 +452,7 @@ def drop_near_copies(docs: DataFrame, far: int = FAR, budget: int = 5, leaf: int
     Candidates are found by trie self-joins over TABLES keys of 32 bits, ``budget`` of which may differ; two-word
     shingles make these keys, since they change least between copies.  At 0.8 a pair is missed by all of them in about
     two of a thousand cases, in three of a hundred if it has only four or five shingles.  ``far`` of 256 SimHash bits
-    may differ before the sets are compared, five deviations more than 0.8 gives.  Groups are what links connect.
+    may differ before the sets are compared, 3.6 deviations more than 0.8 gives (one pair in eight thousand there differs in more).  Groups are what links connect.
     Rows that repeat id and text stay or go together.
     """
     own = stored(sketches(docs), "sketches")
