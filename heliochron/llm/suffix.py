@@ -37,7 +37,7 @@ from .tokens import pick_runs
 V = 64
 NO_ID = -1 << 63
 BUCKET_BYTES = 48 << 20  # text behind a bucket of spans
-SLICE = 2 << 20  # characters hashed at a time: a place takes about 70 bytes meanwhile
+SLICE = 1 << 19  # characters hashed at a time: a place takes about 70 bytes meanwhile
 SPLIT = 1_000  # differing spans of one anchor that go to one task; more are dealt by their windows
 HELD = 4_000  # spans dealt by windows among which equal windows are settled before they are sent
 
