@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import partitions, rows_of, stored, texts_of
 from .tokens import encode_slices
 
+KEEP = 300_000  # words a worker holds between slices, about 150 bytes each
+
 
 def fullest(first: int, counts: dict[int, int], capacity: int) -> list[int]:
     """The lengths, ``first`` among them, that fill a bin best; long ones before short ones.
@@ -137,7 +139,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
             made = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names)
             out.clear()
             return made
-        for (doc_id, _), ids in encode_slices(rows_of(batches, "doc_id", "text"), tokenizer):
+        for (doc_id, _), ids in encode_slices(rows_of(batches, "doc_id", "text"), tokenizer, keep=KEEP):
             ids = np.append(ids.astype("<u4"), np.array([end_id], "<u4"))
             head = len(ids) % capacity or min(capacity, len(ids))
             edges = [0, *range(head, len(ids) + 1, capacity)]

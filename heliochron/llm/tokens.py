@@ -200,8 +200,9 @@ def encoder(path: str) -> Encoder:
     return state[path]
 
 
-def encode_slices(rows, path: str, weight: int = 2 << 20):
-    """(row, ids) for rows (id, text, ...), a slice of the texts at a time."""
+def encode_slices(rows, path: str, weight: int = 2 << 20, keep: int = 100_000):
+    """(row, ids) for rows (id, text, ...), a slice of the texts at a time; ``keep`` words stay between slices."""
     enc = encoder(path)
+    enc.keep = keep
     for part in in_slices(rows, weight):
         yield from zip(part, enc.encode([r[1] for r in part]))

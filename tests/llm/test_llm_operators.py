@@ -652,3 +652,16 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_packing_learns_a_word_once(monkeypatch):
+    """A hundred and twenty thousand different words stay with the worker from slice to slice."""
+    from heliochron.llm import common, packing, tokens
+    common.worker_state().pop("encoders", None)
+    learned, learn = [], tokens.Encoder._learn
+    monkeypatch.setattr(tokens.Encoder, "_learn", lambda self, words: learned.append(len(words)) or learn(self, words))
+    texts = [" ".join(f"w{'abcdefghij'[i % 10]}{chr(97 + i // 10 % 26)}{chr(97 + i // 260 % 26)}{chr(97 + i // 6760 % 26)}" for i in range(120_000))] * 6
+    made = [(r, len(ids)) for r, ids in packing.encode_slices(((i, t) for i, t in enumerate(texts)), P.path("byte_bpe_50k.json"), 1 << 18, keep=packing.KEEP)]
+    assert len({n for _, n in made}) == 1 and len(made) == 6
+    assert sum(learned) <= 120_001 + 6  # the first word of a text has no space before it
+    common.worker_state().pop("encoders", None)
