@@ -42,38 +42,63 @@ def runs_of(word: str, n: int) -> list[str]:
 
 @dataclass
 class Languages:
-    """Log frequencies per language; ``names`` in order."""
+    """Log frequencies per language, a row of ``table`` for each word and run; ``names`` in order."""
 
     names: list[str]
-    words: dict[str, np.ndarray]
-    runs: dict[str, np.ndarray]
-    memo: dict[str, np.ndarray] = field(default_factory=dict)
-    room: int = 200_000
-
-    def word(self, w: str) -> np.ndarray:
-        known = self.words.get(w)
-        if known is not None:
-            return known
-        known = self.memo.get(w)
-        if known is None:
-            known = np.zeros(len(self.names))
-            for n in range(ORDER, 0, -1):
-                found = [self.runs[r] for r in runs_of(w, n) if r in self.runs]
-                if found:
-                    known = np.mean(found, axis=0)
-                    break
-            if len(self.memo) >= self.room:
-                self.memo.clear()
-            self.memo[w] = known
-        return known
+    words: dict[str, int]
+    runs: dict[str, int]
+    table: np.ndarray
+    room: int = 200_000  # unknown words whose scores are held between texts
+    memo: dict[str, int] = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.known = len(self.table)
+        table = np.empty((self.known + self.room, len(self.names)))  # behind the model: rows of unknown words
+        table[:self.known] = self.table
+        self.table = table
+
+    def __getstate__(self):
+        return self.names, self.words, self.runs, self.table[:self.known], self.room
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def back_off(self, w: str) -> np.ndarray:
+        """The score of a word that training has not seen."""
+        get = self.runs.get
+        for n in range(min(ORDER, len(w) + 2), 0, -1):  # no run is longer than the marked word
+            found = [i for i in map(get, runs_of(w, n)) if i is not None]
+            if found:
+                return np.add.reduce(self.table[found], axis=0) / len(found)
+        return np.zeros(len(self.names))
+
+    def rows(self, words: list[str]) -> list[int]:
+        """The row of each of some different words, for whose unknown ones there must be room."""
+        get, memo = self.words.get, self.memo
+        out = []
+        for w in words:
+            i = get(w)
+            if i is None:
+                i = memo.get(w)
+                if i is None:
+                    i = self.known + len(memo)
+                    self.table[i] = self.back_off(w)
+                    memo[w] = i
+            out.append(i)
+        return out
 
     def predict(self, text: str) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.names:
+        found = words_of(text)
+        if not found or not self.names:
             return "und", 0.0
+        counts = Counter(found)
+        words, times = list(counts), np.fromiter(counts.values(), float, len(counts))[:, None]
         total = np.zeros(len(self.names))
-        for w, n in Counter(words).items():
-            total += n * self.word(w)
+        for at in range(0, len(words), self.room):
+            part = words[at:at + self.room]
+            if len(self.memo) + len(part) > self.room:
+                self.memo.clear()
+            total = np.add.reduce(np.concatenate([total[None], self.table[self.rows(part)] * times[at:at + self.room]]), axis=0)
         best = int(np.argmax(total))
         return self.names[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -117,13 +142,16 @@ def train(docs: DataFrame, sample: int = 20_000, words: int = 20_000, runs: int
             counted.groupBy("lang", "kind").agg(F.sum("n").alias("total"), F.count("*").alias("different")).collect()}
     names = sorted({k for k, _ in sums})
     at = {name: i for i, name in enumerate(names)}
-    tables: dict[int, dict[str, np.ndarray]] = {k: {} for k in range(ORDER + 1)}
+    words_at, runs_at, table = {}, {}, []
     rows = kept.collect()  # at most words + ORDER * runs a language
-    floor = {k: np.array([np.log(0.5 / (sums.get((x, k), (0, 0))[0] + sums.get((x, k), (0, 0))[1] + 1)) for x in names]) for k in tables}
+    floor = {k: np.array([np.log(0.5 / (sums.get((x, k), (0, 0))[0] + sums.get((x, k), (0, 0))[1] + 1)) for x in names]) for k in range(ORDER + 1)}
     for r in rows:
         total, different = sums[(r.lang, r.kind)]
-        tables[r.kind].setdefault(r.token, floor[r.kind].copy())[at[r.lang]] = np.log((r.n + 0.5) / (total + different + 1))
-    return Languages(names, tables[0], {t: v for k in range(1, ORDER + 1) for t, v in tables[k].items()})
+        i = (runs_at if r.kind else words_at).setdefault(r.token, len(table))
+        if i == len(table):
+            table.append(floor[r.kind].copy())
+        table[i][at[r.lang]] = np.log((r.n + 0.5) / (total + different + 1))
+    return Languages(names, words_at, runs_at, np.array(table, float).reshape(len(table), len(names)))
 
 
 def identify(docs: DataFrame, model: Languages | None = None, **how) -> DataFrame:

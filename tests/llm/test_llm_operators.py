@@ -665,3 +665,34 @@ def test_packing_learns_a_word_once(monkeypatch):
     assert len({n for _, n in made}) == 1 and len(made) == 6
     assert sum(learned) <= 120_001 + 6  # the first word of a text has no space before it
     common.worker_state().pop("encoders", None)
+
+
+def test_language_scores_by_rows_of_one_table():
+    """Sums over rows of a table, unknown words' rows behind it, whatever room they have; the model travels without them."""
+    import pickle
+    from heliochron.llm.language import Languages, runs_of
+    r = np.random.default_rng(6)
+    runs = sorted({x for w in ("abcab", "bca", "cabba") for n in range(1, 6) for x in runs_of(w, n)})
+    words = ["abcab", "ab", "cc"]
+    table = -10 * r.random((len(words) + len(runs), 3))
+    at = {t: i + len(words) for i, t in enumerate(runs)}
+
+    def word(w):
+        if w in words:
+            return table[words.index(w)]
+        for n in range(5, 0, -1):
+            found = [table[at[x]] for x in runs_of(w, n) if x in at]
+            if found:
+                return np.mean(found, axis=0)
+        return np.zeros(3)
+    texts = [" ".join("".join(r.choice(list("abcd"), int(r.integers(1, 7)))) for _ in range(int(n))) for n in r.integers(1, 80, 60)]
+    for room in (3, 40, 1000):
+        model = Languages(["x", "y", "z"], {w: i for i, w in enumerate(words)}, at, table, room)
+        for text in texts:
+            total = np.zeros(3)
+            for w, n in Counter(text.split()).items():
+                total += n * word(w)
+            name, score = model.predict(text)
+            assert name == "xyz"[int(np.argmax(total))] and score == pytest.approx(1 / np.exp(total - total.max()).sum(), rel=1e-12)
+        assert len(pickle.loads(pickle.dumps(model)).memo) == 0 and len(model.memo) <= room
+    assert model.predict("") == model.predict("12 !") == ("und", 0.0)
