@@ -696,3 +696,51 @@ def test_language_scores_by_rows_of_one_table():
             assert name == "xyz"[int(np.argmax(total))] and score == pytest.approx(1 / np.exp(total - total.max()).sum(), rel=1e-12)
         assert len(pickle.loads(pickle.dumps(model)).memo) == 0 and len(model.memo) <= room
     assert model.predict("") == model.predict("12 !") == ("und", 0.0)
+
+
+def test_candidates_are_fewer_than_nodes(spark):
+    """A task links what candidates connect; members that resemble each other just below the similarity make no pairs to be joined."""
+    from heliochron.llm import simhash
+    from heliochron.llm.common import stored
+    r = np.random.default_rng(23)
+    vocab = np.array(["".join(r.choice(list("abcdefghij"), int(r.integers(3, 9)))) for _ in range(4000)])
+    base, texts = r.choice(vocab, 400), []
+    for _ in range(120):  # about 0.72 alike, one to four
+        c = base.copy()
+        at = int(r.integers(0, 360))
+        c[at:at + 34] = r.choice(vocab, 34)
+        texts.append(" ".join(c))
+    sets = [set(simhash.shingles(t).tolist()) for t in texts]
+    alike = [(i, j) for i in range(120) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    near = sum(len(a & b) >= 0.6 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert near > 3000 and len(alike) > 50
+    label = list(range(120))
+    for _ in range(120):
+        for i, j in alike:
+            label[i] = label[j] = min(label[i], label[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = stored(simhash.sketches(docs), "sketches")
+    fps = own.select(F.lit(0).alias("tree"), F.shiftleft(F.col("keys")[0], 32).alias("fp"), "node", F.col("node").alias("grp"), "n", "sketch")
+    assert 0 < simhash.candidates(fps, 32, 90, 0.8).count() < 120
+    assert simhash.near_links(docs, own).count() < 120
+    assert sorted(x.doc_id for x in simhash.drop_near_copies(docs).collect()) == sorted(set(label))
+    parts = own.select("node", F.lit(1).alias("root"))
+    blocks = simhash.alike(docs, own, parts, 90, 0.8, block=20_000)  # dealt out: every two blocks meet
+    from heliochron.llm.graph import components
+    assert components(blocks).select("root").distinct().count() + 120 - len({x for p in alike for x in p}) == len(set(label))
+
+
+def test_key_halves_find_what_all_pairs_find():
+    """Tries that begin with either half of a key, with half the differing bits there, find all pairs of near keys."""
+    from heliochron.llm.simhash import walk
+    r = np.random.default_rng(24)
+    keys = np.unique(r.integers(0, 1 << 32, 600, dtype=np.uint64))
+    keys = np.unique(np.concatenate([keys, keys[:300] ^ sum((np.uint64(1) << r.integers(0, 32, 300, dtype=np.uint64) for _ in range(5)), np.uint64(0))]))
+    want = {(i, j) for i in range(len(keys)) for j in range(i) if int(keys[i] ^ keys[j]).bit_count() <= 5}
+    got = set()
+    for turned in (keys, ((keys & np.uint64(0xFFFF)) << np.uint64(16)) | (keys >> np.uint64(16))):
+        order = np.argsort(turned)
+        fp = turned[order] << np.uint64(32)
+        for x, y in walk(fp, fp, 0, 0, 5, True, brute=1, counted=32, first=(16, 2)):
+            got |= {(max(order[i], order[j]), min(order[i], order[j])) for i, j in zip(x.tolist(), y.tolist())}
+    assert got == want and len(want) > 100
