@@ -13,7 +13,8 @@ than a bucket:
    and the suffixes that start in them are sorted: bucket by bucket of first bytes, by their first V bytes,
    longer ties by precomputed ranks of a difference-cover sample: for any two places there is a
    distance below V at which both are sampled.  Neighbours in that order with ``width`` bytes in
-   common are the repeats.
+   common are the repeats.  Of an anchor with very many differing spans only the windows are fetched whose
+   64-bit hash stands at two places: a window whose hash stands nowhere else has no equal.
 3. The ranges found are joined to the texts by document.
 
 Documents are told apart by (id, hash of the text); a missing id comes before all others.  Rows that
@@ -40,6 +41,7 @@ BUCKET_BYTES = 48 << 20  # text behind a bucket of spans
 SLICE = 1 << 19  # characters hashed at a time: a place takes about 70 bytes meanwhile
 SPLIT = 1_000  # differing spans of one anchor that go to one task; more are dealt by their windows
 HELD = 4_000  # spans dealt by windows among which equal windows are settled before they are sent
+CHUNK = 1 << 20  # bytes whose suffixes are sorted at a time, if one anchor or window has no more; a byte takes about 60 meanwhile
 
 
 # ---- suffix order within a task ------------------------------------------------------------------
@@ -221,9 +223,33 @@ def _range_batch(doc, th, s, n, h=None, fan=None):
     return pa.RecordBatch.from_arrays(cols, ["doc", "th", "s", "n", "h", "fan"])
 
 
+def _runs(rows: np.ndarray) -> np.ndarray:
+    """Rows of windows that repeat as ranges: n = 0 marks them, with c as the number of windows; neighbours are joined."""
+    rows = rows[np.lexsort([rows[f] for f in ("s", "th", "doc")])]
+    n = rows["n"].astype(np.int64)
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["doc"][1:] != rows["doc"][:-1]) | (rows["th"][1:] != rows["th"][:-1]) | (rows["s"][1:] != rows["s"][:-1] + n[:-1])
+    out = rows[new]
+    out["h"], out["n"], out["c"] = 0, 0, np.add.reduceat(n, np.flatnonzero(new)) if len(rows) else 0
+    return out
+
+
+def _dealt(rows: np.ndarray, gone: np.ndarray, buckets: int):
+    """(bucket, spans): rows by their hash; what has been settled goes anywhere, so that common spans don't meet in one bucket."""
+    import pyarrow as pa
+    bucket = rows["h"] % buckets
+    order = np.lexsort([rows["s"], rows["th"], rows["doc"], bucket])
+    rows, edges = rows[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+    used = np.flatnonzero(np.diff(edges)).tolist()
+    packs = [_pack(rows[edges[k]:edges[k + 1]]) for k in used]
+    if len(gone):
+        gone = _runs(gone)
+        used, packs = [*used, int(gone["doc"][0]) % buckets], [*packs, _pack(gone)]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packs, pa.binary())], ["bucket", "spans"])
+
+
 def _dealt_spans(texts: DataFrame, width: int, buckets: int) -> DataFrame:
     def run(batches) -> Iterator:
-        import pyarrow as pa
         for part in in_slices(((d, t, th) for d, t, th in rows_of(batches, "doc", "text", "th")), SLICE):
             raw = [r[1].encode("utf-8", "surrogatepass") for r in part]
             ends = np.cumsum([len(x) for x in raw])
@@ -232,14 +258,7 @@ def _dealt_spans(texts: DataFrame, width: int, buckets: int) -> DataFrame:
             rows["h"], rows["c"], rows["s"], rows["n"] = h, c, s, n
             rows["doc"], rows["th"] = (np.array([r[k] for r in part], np.int64)[text] for k in (0, 2))
             rows, later = _classes(rows)
-            gone = rows[later]  # settled here; n = 0 marks them with c as their number of windows
-            gone["c"], gone["n"] = gone["n"], 0
-            rows = np.concatenate([rows[~later], gone])
-            rows = rows[np.lexsort([rows["s"], rows["th"], rows["doc"], rows["h"] % buckets])]
-            edges = np.searchsorted(rows["h"] % buckets, np.arange(buckets + 1))
-            used = np.flatnonzero(np.diff(edges))
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([_pack(rows[edges[k]:edges[k + 1]]) for k in used], pa.binary())],
-                                             ["bucket", "spans"])
+            yield _dealt(rows[~later], rows[later], buckets)
     return texts.mapInArrow(run, "bucket int, spans binary")
 
 
@@ -265,63 +284,129 @@ def _judged(dealt: DataFrame) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(judge, RANGES + ", h long, fan int")
 
 
-def _pieces(texts: DataFrame, open_: DataFrame, width: int, buckets: int) -> DataFrame:
-    """(bucket, doc, th, s, n, bytes, mine): the bytes of open spans and which windows in them are judged there.
+def _spans_of(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc, th, text, spans) of the texts with spans to look at."""
+    lists = found.groupBy("doc", "th").agg(F.collect_list(F.struct("s", "n", "h", "fan")).alias("spans"))
+    return texts.join(lists, ["doc", "th"]).select("doc", "th", "text", "spans")
 
-    Of spans dealt by window, equal windows are settled ``HELD`` spans at a time: only the earliest is sent, the
-    others are ranges (s, n) without bytes.  So a window comes to its share once per ``HELD`` spans, however often it stands.
-    """
-    lists = open_.groupBy("doc", "th").agg(F.collect_list(F.struct("s", "n", "h", "fan")).alias("spans"))
 
-    def fetch(batches) -> Iterator:
-        import pyarrow as pa
-        schema = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("th", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary()), ("mine", pa.binary())])
-        out, held = [], []
+def _candidates(texts: DataFrame, wide: DataFrame, width: int, buckets: int) -> DataFrame:
+    """Windows of spans of anchors with very many: those that may repeat as spans of one window (h, fan = 1), known ranges (fan = 0).
 
-        def row(bucket, doc, th, s, n, piece=None, mine=None):
-            out.append({"bucket": bucket % buckets, "doc": doc, "th": th, "s": s, "n": n, "bytes": piece, "mine": mine})
+    Equal windows are settled ``HELD`` spans at a time: only the earliest is sent, as a hash and a place, the others are
+    known.  So a window comes to its bucket once per ``HELD`` spans, however often it stands.  A window with a hash
+    of its own is in neither.
+    """
+    def hashes(batches) -> Iterator:
+        held = []
 
         def dealt():
-            first: dict[bytes, tuple] = {}
-            for doc, th, s, n, h, fan, piece in sorted(set(held)):
-                shares: dict[int, list[int]] = {}
-                begin = None
+            first: dict[bytes, int] = {}
+            rows, k = np.empty(sum(x[3] for x in set(held)), SPAN), 0
+            rows["h"], rows["c"], rows["n"] = 0, 0, 1
+            later = np.zeros(len(rows), bool)
+            for doc, th, s, n, piece in sorted(set(held)):
+                rows["doc"][k:k + n], rows["th"][k:k + n], rows["s"][k:k + n] = doc, th, np.arange(s, s + n)
+                h = []
                 for i in range(n):
                     w = piece[i:i + width]
-                    place = first.setdefault(w, (doc, th, s + i))
-                    if place == (doc, th, s + i):  # equal windows meet in one share, whatever else stands around them
-                        shares.setdefault(int.from_bytes(hashlib.blake2b(w, digest_size=4).digest(), "little") % fan, []).append(i)
-                        if begin is not None:
-                            row(doc, doc, th, s + begin, i - begin)
-                        begin = None
-                    elif begin is None:
-                        begin = i
-                if begin is not None:
-                    row(doc, doc, th, s + begin, n - begin)
-                for k, at in shares.items():
-                    mine = bytearray(at[-1] - at[0] + 1)
-                    for i in at:
-                        mine[i - at[0]] = 1
-                    row(h + k, doc, th, s + at[0], len(mine), piece[at[0]:at[-1] + width], bytes(mine))
+                    at = first.setdefault(w, k + i)
+                    if at == k + i:
+                        h.append(int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"))
+                    else:
+                        h.append(0)
+                        later[k + i], rows["c"][at] = True, 1  # c: has an equal here
+                rows["h"][k:k + n] = np.array(h, np.uint64)
+                k += n
             held.clear()
+            return _dealt(rows[~later], rows[later], buckets)
         for doc, th, text, found in rows_of(batches, "doc", "th", "text", "spans"):
             raw = text.encode("utf-8", "surrogatepass")
             for x in found:
-                piece, n = raw[x["s"]:x["s"] + x["n"] + width - 1], x["n"]
-                if x["fan"] == 1:
-                    row(x["h"], doc, th, x["s"], n, piece, b"\1" * n)
-                else:
-                    held.append((doc, th, x["s"], n, x["h"], x["fan"], piece))
+                held.append((doc, th, x["s"], x["n"], raw[x["s"]:x["s"] + x["n"] + width - 1]))
                 if len(held) >= HELD:
-                    dealt()
-            while len(out) >= 4000:
-                yield pa.RecordBatch.from_pylist(out[:4000], schema)
-                del out[:4000]
-        dealt()
-        for at in range(0, len(out), 4000):
-            yield pa.RecordBatch.from_pylist(out[at:at + 4000], schema)
-    return texts.join(lists, ["doc", "th"]).select("doc", "th", "text", "spans").mapInArrow(
-        fetch, "bucket int, doc long, th long, s long, n int, bytes binary, mine binary")
+                    yield dealt()
+        if held:
+            yield dealt()
+
+    def meet(table):
+        import pyarrow as pa
+        rows = np.concatenate([_unpack(x) for x in table.column("spans").to_pylist()])
+        gone, rows = rows[rows["n"] == 0], _classes(rows[rows["n"] > 0])[0]
+        same = np.zeros(len(rows) + 1, bool)
+        same[1:-1] = rows["h"][1:] == rows["h"][:-1]
+        rows = rows[same[1:] | same[:-1] | (rows["c"] > 0)]
+        doc, th, s, h = (np.concatenate([gone[f], rows[f]]) for f in ("doc", "th", "s", "h"))
+        n = np.concatenate([gone["c"].astype(np.int64), rows["n"]])
+        return pa.Table.from_batches([_range_batch(doc, th, s, n, h, np.repeat([0, 1], [len(gone), len(rows)]))])
+    return _spans_of(texts, wide).mapInArrow(hashes, "bucket int, spans binary").groupBy("bucket").applyInArrow(meet, RANGES + ", h long, fan int")
+
+
+def _pieces(texts: DataFrame, open_: DataFrame, width: int, buckets: int) -> DataFrame:
+    """(bucket, key, doc, th, s, n, bytes, mine): the bytes of open spans and which windows in them are judged there.
+
+    Equal windows have equal keys: the anchor's hash, or the window's own where an anchor has more than ``SPLIT`` spans.
+    Known ranges (s, n) have no bytes.
+    """
+    narrow = open_.where("fan = 1").unionByName(_candidates(texts, open_.where("fan > 1"), width, buckets))
+
+    def fetch(batches) -> Iterator:
+        import pyarrow as pa
+        schema = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("s", pa.int64()), ("n", pa.int32()),
+                            ("bytes", pa.binary()), ("mine", pa.binary())])
+        out = []
+        for doc, th, text, found in rows_of(batches, "doc", "th", "text", "spans"):
+            raw = text.encode("utf-8", "surrogatepass")
+            for x in found:
+                s, n = x["s"], x["n"]
+                piece, mine, key = (raw[s:s + n + width - 1], b"\1" * n, x["h"]) if x["fan"] else (None, None, doc)
+                out.append({"bucket": key % buckets, "key": key, "doc": doc, "th": th, "s": s, "n": n, "bytes": piece, "mine": mine})
+                if len(out) >= 4000:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+                    out.clear()
+        yield pa.RecordBatch.from_pylist(out, schema)
+    return _spans_of(texts, narrow).mapInArrow(fetch, "bucket int, key long, doc long, th long, s long, n int, bytes binary, mine binary")
+
+
+def _chunks(table, most: int) -> list:
+    """The pieces by key, in parts of about ``most`` bytes; pieces of one key stay together."""
+    import pyarrow.compute as pc
+    table = table.sort_by("key")
+    key, size = table.column("key").to_numpy(), pc.binary_length(table.column("bytes")).to_numpy().astype(np.int64)
+    begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+    part = (np.cumsum(size) - size)[begins] // most
+    cuts = begins[np.append(True, part[1:] != part[:-1])[:len(part)]].tolist()
+    return [table.slice(a, b - a) for a, b in zip(cuts, [*cuts[1:], len(key)])]
+
+
+def _in_order(table, width: int):
+    """The windows of these pieces that stand earlier among them, as ranges."""
+    rows = sorted(set(zip(*(table.column(c).to_pylist() for c in ("doc", "th", "s", "mine", "bytes")))))
+    # Anchors are put at multiples of V: equal windows then stand at equal places modulo V.
+    raw = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
+    sizes = np.array([len(r[4]) for r in rows], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    anchor = leftmost_smallest(run_hashes(raw), width - K + 1)[starts].astype(np.int64)
+    begins = np.empty(len(rows), np.int64)
+    gap = (-anchor) % V
+    at = 0
+    for i, (g, n) in enumerate(zip(gap.tolist(), sizes.tolist())):
+        begins[i] = at = at + (g - at) % V
+        at += n
+    ends = begins + sizes
+    text = np.zeros(int(ends[-1]), np.uint8)
+    text[pick_runs(begins, sizes)] = raw
+    mine = np.zeros(len(text), bool)
+    mine[pick_runs(begins, sizes - width + 1)] = np.frombuffer(b"".join(r[3] for r in rows), np.uint8) > 0
+    places = np.flatnonzero(mine)
+    hit = places[repeated(text, places, width)]
+    owner = np.searchsorted(begins, hit, "right") - 1
+    start = np.ones(len(hit), bool)
+    start[1:] = (np.diff(hit) != 1) | (np.diff(owner) != 0)
+    a = np.flatnonzero(start)
+    n, o = np.diff(np.append(a, len(hit))), owner[a]
+    doc, th, s = (np.array([r[k] for r in rows], np.int64)[o] for k in range(3))
+    return _range_batch(doc, th, s + hit[a] - begins[o], n)
 
 
 def _borders(texts: DataFrame, open_: DataFrame, width: int, buckets: int) -> DataFrame:
@@ -330,42 +415,8 @@ def _borders(texts: DataFrame, open_: DataFrame, width: int, buckets: int) -> Da
         import pyarrow as pa
         import pyarrow.compute as pc
         known = table.filter(pc.is_null(table.column("bytes"))).select(["doc", "th", "s", "n"])
-        table = table.filter(pc.is_valid(table.column("bytes")))
-        if not table.num_rows:
-            return known
-        rows = sorted(set(zip(*(table.column(c).to_pylist() for c in ("doc", "th", "s", "mine", "bytes")))))
-        # Anchors are put at multiples of V: equal windows then stand at equal places modulo V.
-        raw = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-        sizes = np.array([len(r[4]) for r in rows], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        anchor = leftmost_smallest(run_hashes(raw), width - K + 1)[starts].astype(np.int64)
-        begins = np.empty(len(rows), np.int64)
-        gap = (-anchor) % V
-        at = 0
-        for i, (g, n) in enumerate(zip(gap.tolist(), sizes.tolist())):
-            begins[i] = at = at + (g - at) % V
-            at += n
-        ends = begins + sizes
-        text = np.zeros(int(ends[-1]), np.uint8)
-        text[pick_runs(begins, sizes)] = raw
-        mine = np.zeros(len(text), bool)
-        mine[pick_runs(begins, sizes - width + 1)] = np.frombuffer(b"".join(r[3] for r in rows), np.uint8) > 0
-        places = np.flatnonzero(mine)
-        if any(x[:2] == y[:2] and x[2] + len(x[3]) > y[2] for x, y in zip(rows, rows[1:])):  # a document read twice, cut differently
-            o = np.searchsorted(begins, places, "right") - 1
-            place = [places - begins[o] + np.array([r[2] for r in rows], np.int64)[o], *(np.array([r[k] for r in rows], np.int64)[o] for k in (1, 0))]
-            order = np.lexsort(place)
-            again = np.zeros(len(order), bool)
-            again[1:] = np.logical_and.reduce([np.diff(v[order]) == 0 for v in place])
-            places = np.delete(places, order[again])
-        hit = places[repeated(text, places, width)]
-        owner = np.searchsorted(begins, hit, "right") - 1
-        start = np.ones(len(hit), bool)
-        start[1:] = (np.diff(hit) != 1) | (np.diff(owner) != 0)
-        a = np.flatnonzero(start)
-        n, o = np.diff(np.append(a, len(hit))), owner[a]
-        doc, th, s = (np.array([r[k] for r in rows], np.int64)[o] for k in range(3))
-        return pa.concat_tables([known, pa.Table.from_batches([_range_batch(doc, th, s + hit[a] - begins[o], n)])])
+        found = [_in_order(part, width) for part in _chunks(table.filter(pc.is_valid(table.column("bytes"))), CHUNK)]
+        return pa.concat_tables([known, *([pa.Table.from_batches(found)] if found else [])])
 
     return _pieces(texts, open_, width, buckets).groupBy("bucket").applyInArrow(settle, RANGES)
 

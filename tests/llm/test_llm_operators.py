@@ -263,6 +263,44 @@ def test_common_windows_are_sent_once_a_task(spark, monkeypatch):
         assert sorted(map(tuple, suffix.repeat_digests(twice).drop("kept").collect())) == sorted(whole + whole)
 
 
+def in_many_contexts(n=60, around=150):
+    r = np.random.default_rng(9)
+    line = "this very common line stands in all of the documents of this corpus, whatever else may stand around it in them, and is long enough to go. "
+    return [(i, "".join(map(chr, r.integers(97, 123, around))) + line + "".join(map(chr, r.integers(97, 123, around)))) for i in range(n)]
+
+
+def test_windows_without_an_equal_are_not_sent(spark, monkeypatch):
+    """Of an anchor with very many differing spans only windows that stand twice are fetched for the suffix order."""
+    from heliochron.llm import suffix
+    rows = in_many_contexts()
+    twice = Counter(t[i:i + 100] for _, t in rows for i in range(len(t) - 99))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole = sorted(map(tuple, suffix.repeat_digests(docs).drop("kept").collect()))
+    monkeypatch.setattr(suffix, "SPLIT", 7)
+    monkeypatch.setattr(suffix, "HELD", 5)
+    texts = suffix.keyed(docs)
+    wide = suffix._judged(suffix._dealt_spans(texts, 100, 4)).where("fan > 1")
+    pieces = [p for p in suffix._pieces(texts, wide, 100, 4).collect() if p.bytes is not None]
+    sent = [bytes(p.bytes[i:i + 100]).decode() for p in pieces for i, own in enumerate(p.mine) if own]
+    assert sent and all(twice[w] > 1 for w in sent)
+    assert sorted(map(tuple, suffix.repeat_digests(docs).drop("kept").collect())) == whole
+
+
+def test_suffixes_are_sorted_a_chunk_at_a_time(spark, monkeypatch):
+    """What a bucket holds is sorted in chunks that don't part the pieces of one key; the size of a chunk changes nothing."""
+    import pyarrow as pa
+    from heliochron.llm import suffix
+    docs = spark.createDataFrame(in_many_contexts(), "doc_id long, text string")
+    whole = sorted(map(tuple, suffix.repeat_digests(docs).drop("kept").collect()))
+    monkeypatch.setattr(suffix, "SPLIT", 7)
+    for chunk in (1, 700):
+        monkeypatch.setattr(suffix, "CHUNK", chunk)
+        assert sorted(map(tuple, suffix.repeat_digests(docs).drop("kept").collect())) == whole
+    table = pa.table({"key": [1, 1, 2, 3, 3, 4, 5], "bytes": [b"x" * n for n in (5, 5, 1, 30, 30, 2, 2)]})
+    assert [c.column("key").to_pylist() for c in suffix._chunks(table, 10)] == [[1, 1], [2, 3, 3], [4, 5]]
+    assert not suffix._chunks(table.slice(0, 0), 10)
+
+
 def fingerprint(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
     import xxhash
