@@ -17,7 +17,7 @@ than a bucket:
    64-bit hash stands at two places: a window whose hash stands nowhere else has no equal.
 3. The ranges found are joined to the texts by document.
 
-Documents are told apart by (id, hash of the text); a missing id comes before all others.  Rows that
+Documents are told apart by (id, hash of the text), by the id alone if none has two texts; a missing id comes before all others.  Rows that
 repeat both are one document read twice and get the same result.  Missing and empty texts, and texts
 shorter than ``width``, lose nothing.
 """
@@ -28,17 +28,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import K, leftmost_smallest, run_hashes, spans
-from .common import by_position, in_slices, partitions, position, rows_of, stored, texts_of
+from .common import by_position, in_slices, partitions, position, rows_of, shuffles_released, stored, texts_of
 from .tokens import pick_runs
 
 V = 64
 NO_ID = -1 << 63
 BUCKET_BYTES = 48 << 20  # text behind a bucket of spans
 SLICE = 1 << 19  # characters hashed at a time: a place takes about 70 bytes meanwhile
+PACKED = 1 << 17  # spans of a task that are dealt to the buckets at once
 SPLIT = 1_000  # differing spans of one anchor that go to one task; more are dealt by their windows
 HELD = 4_000  # spans dealt by windows among which equal windows are settled before they are sent
 CHUNK = 1 << 20  # bytes whose suffixes are sorted at a time, if one anchor or window has no more; a byte takes about 60 meanwhile
@@ -250,6 +251,12 @@ def _dealt(rows: np.ndarray, gone: np.ndarray, buckets: int):
 
 def _dealt_spans(texts: DataFrame, width: int, buckets: int) -> DataFrame:
     def run(batches) -> Iterator:
+        held, count = [], 0
+
+        def dealt():
+            rows, later = _classes(np.concatenate(held))
+            held.clear()
+            return _dealt(rows[~later], rows[later], buckets)
         for part in in_slices(((d, t, th) for d, t, th in rows_of(batches, "doc", "text", "th")), SLICE):
             raw = [r[1].encode("utf-8", "surrogatepass") for r in part]
             ends = np.cumsum([len(x) for x in raw])
@@ -257,8 +264,13 @@ def _dealt_spans(texts: DataFrame, width: int, buckets: int) -> DataFrame:
             rows = np.empty(len(s), SPAN)
             rows["h"], rows["c"], rows["s"], rows["n"] = h, c, s, n
             rows["doc"], rows["th"] = (np.array([r[k] for r in part], np.int64)[text] for k in (0, 2))
-            rows, later = _classes(rows)
-            yield _dealt(rows[~later], rows[later], buckets)
+            held.append(rows)
+            count += len(rows)
+            if count >= PACKED:
+                yield dealt()
+                count = 0
+        if held:
+            yield dealt()
     return texts.mapInArrow(run, "bucket int, spans binary")
 
 
@@ -427,11 +439,23 @@ def keyed(docs: DataFrame) -> DataFrame:
     return t.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text", F.xxhash64("text").alias("th"))
 
 
-def removals(texts: DataFrame, width: int = 100) -> DataFrame:
-    """(doc, th, ranges): per document with repeats the ranges (s, n) of window starts to take out."""
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+def no_hash(doc: Column) -> Column:
+    """Zero instead of th.  No literal: that would be dropped from the keys of joins, and grouped rows would be dealt out again."""
+    return doc.bitwiseAND(F.lit(0).cast("long"))
+
+
+def measured(texts: DataFrame) -> tuple[bool, int]:
+    """Whether an id has several texts, so that th is needed to tell documents apart, and the bytes of all texts."""
+    each = texts.groupBy("doc", "th").agg(F.sum(F.octet_length("text")).alias("size"))
+    most, size = each.groupBy("doc").agg(F.count("*").alias("k"), F.sum("size").alias("size")).agg(F.max("k"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return (most or 0) > 1, size
+
+
+def removals(texts: DataFrame, size: int, width: int = 100) -> DataFrame:
+    """(doc, th, ranges): per document with repeats the ranges (s, n) of window starts to take out; ``size``: bytes of all texts."""
     buckets = max(partitions(texts), size // BUCKET_BYTES)
-    judged = stored(_judged(_dealt_spans(texts, width, buckets)), "spans")
+    with shuffles_released(texts.sparkSession):
+        judged = stored(_judged(_dealt_spans(texts, width, buckets)), "spans")
     whole = judged.where("fan = 0").select("doc", "th", "s", "n")
     border = _borders(texts, judged.where("fan > 0"), width, buckets)
     return whole.unionByName(border).groupBy("doc", "th").agg(F.collect_list(F.struct("s", "n")).alias("ranges"))
@@ -464,6 +488,8 @@ def cut(raw: bytes, ranges, width: int, characters: bool = False) -> tuple[bytes
 def repeat_digests(docs: DataFrame, width: int = 100) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row; kept is what is left as bytes."""
     texts = keyed(docs)
+    several, size = measured(texts)
+    texts = texts if several else texts.withColumn("th", no_hash(F.col("doc")))
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -482,7 +508,7 @@ def repeat_digests(docs: DataFrame, width: int = 100) -> DataFrame:
             if len(out) >= 1000:
                 yield batch()
         yield batch()
-    joined = texts.join(removals(texts, width), ["doc", "th"], "left").select("doc", "text", "ranges")
+    joined = texts.join(removals(texts, size, width), ["doc", "th"], "left").select("doc", "text", "ranges")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
@@ -492,15 +518,17 @@ def without_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     A document may be left with an empty text.  ``n_chars``, where there is one, is counted anew if the text changed.
     """
     flat, text, own_id = by_position(docs), position(docs, "text"), position(docs, "doc_id")
-    ranges = removals(keyed(docs), width)
+    texts = keyed(docs)
+    several, size = measured(texts)
+    ranges = removals(texts if several else texts.withColumn("th", no_hash(F.col("doc"))), size, width)
 
     @F.pandas_udf("string")
     def left(texts, found):
         import pandas as pd
         return pd.Series([t if r is None or t is None else cut(t.encode("utf-8", "surrogatepass"), r, width, True)[0].decode("utf-8", "surrogatepass")
                           for t, r in zip(texts, found)], dtype=object)
-    marked = flat.withColumns({"doc": F.coalesce(F.col(own_id).cast("long"), F.lit(NO_ID)),
-                               "th": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))})
+    doc = F.coalesce(F.col(own_id).cast("long"), F.lit(NO_ID))
+    marked = flat.withColumns({"doc": doc, "th": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))) if several else no_hash(doc)})
     joined = marked.join(ranges, ["doc", "th"], "left")
     joined = joined.withColumn("left_", F.when(F.col("ranges").isNull(), F.col(text)).otherwise(left(F.col(text), F.col("ranges"))))
     out = {c: F.col(c) for c in flat.columns} | {text: F.col("left_")}

@@ -301,6 +301,38 @@ def test_suffixes_are_sorted_a_chunk_at_a_time(spark, monkeypatch):
     assert not suffix._chunks(table.slice(0, 0), 10)
 
 
+def test_spans_are_dealt_many_at_once(spark, monkeypatch):
+    """A bucket gets a packet for many spans of a task, however small the slices are that are hashed."""
+    from heliochron.llm import suffix
+    texts = suffix.keyed(spark.createDataFrame(in_many_contexts(), "doc_id long, text string").coalesce(1))
+    monkeypatch.setattr(suffix, "SLICE", 1000)
+    dealt = suffix._dealt_spans(texts, 100, 16).collect()
+    assert len(dealt) <= 17 and {r.bucket for r in dealt} <= {*range(16)}
+
+
+def test_shuffle_files_of_the_spans_are_released(spark, monkeypatch):
+    """Spans are stored with Spark told to delete the shuffle behind them; the setting is as before afterwards."""
+    from heliochron.llm import suffix
+    key, stored, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", suffix.stored, []
+    monkeypatch.setattr(suffix, "stored", lambda df, name: (seen.append(spark.conf.get(key)), stored(df, name))[1])
+    was = spark.conf.get(key)
+    suffix.repeat_digests(spark.createDataFrame(in_many_contexts(5), "doc_id long, text string"))
+    assert seen == ["true"] and spark.conf.get(key) == was
+
+
+def test_ids_with_two_texts_are_told_apart(spark):
+    """The hash of the text is left out of the keys only where no id has two texts; repeated rows are one document."""
+    from heliochron.llm import suffix
+    rows = in_many_contexts(6)
+    one, other = rows + rows[:2], [(3, t) for _, t in rows] + rows[3:4]
+    assert [suffix.measured(suffix.keyed(spark.createDataFrame(x, "doc_id long, text string"))) for x in (one, other)] == [
+        (False, sum(len(t) for _, t in one)), (True, sum(len(t) for _, t in other))]
+    gone = [r.n_removed for r in suffix.repeat_digests(spark.createDataFrame(other, "doc_id long, text string")).collect()]
+    assert sorted(n > 100 for n in gone) in ([False] + [True] * 6, [False] * 2 + [True] * 5)  # the first may be the document read twice
+    left = suffix.without_repeats(spark.createDataFrame(one, "doc_id long, text string")).collect()
+    assert all((r.text == dict(rows)[r.doc_id]) == (r.doc_id == 0) for r in left) and len(left) == 8
+
+
 def fingerprint(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
     import xxhash
